@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tripletide.operators.closure import closure
 from tripletide.operators.joins import input_bytes, skew_join
-from tripletide.operators.ontology import Goal, TBox, cue_key, goal_for, property_paths
+from tripletide.operators.ontology import Goal, TBox, cue_of, goal_for, property_paths
 from tripletide.scratch import BROADCAST_BYTES, pin, store
 
 LEAF = ("leaf_s", "leaf_p", "leaf_o")
@@ -112,11 +112,12 @@ class Facts:
 
 def facts_of(quads: DataFrame, goal: Goal, keep: Sequence[str] = ()) -> Facts:
     """One pass over the triples; ``keep`` lists the columns carried along (graph_no, key, ...)."""
-    rows = quads.filter(goal.prefilter) if goal.prefilter is not None else quads
+    rows = quads.select(*dict.fromkeys([*keep, "s", "p", "o", "o_kind"]))
+    rows = rows.filter(goal.prefilter) if goal.prefilter is not None else rows
     leaf = [F.col("s").alias("leaf_s"), F.col("p").alias("leaf_p"), F.col("o").alias("leaf_o")]
-    shown = skew_join(rows.withColumn("key", cue_key()), goal.cues, ["key"])
-    evidence = shown.filter((F.col("pos") == "s") | (F.col("o_kind") == "iri")).select(
-        *keep, *leaf, F.when(F.col("pos") == "s", F.col("s")).otherwise(F.col("o")).alias("node"), "cls"
+    shown = skew_join(rows.withColumn("cue", cue_of()), goal.cues, ["cue"])
+    evidence = shown.filter((F.col("side") == "s") | (F.col("o_kind") == "iri")).select(
+        *keep, *leaf, F.when(F.col("side") == "s", F.col("s")).otherwise(F.col("o")).alias("node"), "cls"
     )
     links = edges = None
     if goal.rules is not None:

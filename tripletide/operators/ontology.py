@@ -30,7 +30,7 @@ def is_typing() -> Column:
     return F.col("p").isin(*TYPE_PREDICATES)
 
 
-def cue_key() -> Column:
+def cue_of() -> Column:
     """What a triple is looked up by: the class it asserts, or the predicate it uses."""
     return F.when(is_typing(), F.concat(F.lit("is "), "o")).otherwise(F.concat(F.lit("has "), "p"))
 
@@ -160,14 +160,14 @@ def saturate_tbox(axioms: DataFrame) -> DataFrame:
 
 
 def _cues(axioms: DataFrame, order: DataFrame, paths: DataFrame) -> DataFrame:
-    """(key, pos, cls): a triple looked up by ``key`` shows that its end ``pos`` is a ``cls``."""
-    typed = order.select(F.concat(F.lit("is "), "sub").alias("key"), F.lit("s").alias("pos"), F.col("sup").alias("cls"))
+    """(cue, side, cls): a triple looked up by ``cue`` shows that its end ``side`` is a ``cls``."""
+    typed = order.select(F.concat(F.lit("is "), "sub").alias("cue"), F.lit("s").alias("side"), F.col("sup").alias("cls"))
     ends = _kind(axioms, "domain", "range").select(
         F.col("a").alias("q"), F.col("b").alias("sub"), (F.col("kind") == "domain").alias("subject")
     )
     used = paths.join(ends, "q").join(order, "sub").select(
-        F.concat(F.lit("has "), "p").alias("key"),
-        F.when(F.col("subject") != F.col("flip"), "s").otherwise("o").alias("pos"),
+        F.concat(F.lit("has "), "p").alias("cue"),
+        F.when(F.col("subject") != F.col("flip"), "s").otherwise("o").alias("side"),
         F.col("sup").alias("cls"),
     )
     return typed.unionByName(used).distinct()
@@ -194,12 +194,12 @@ def _rules(axioms: DataFrame, order: DataFrame, paths: DataFrame, cues: DataFram
     )
     rules = direct.unionByName(along).distinct()
     near, far = F.when(F.col("flip"), "o").otherwise("s"), F.when(F.col("flip"), "s").otherwise("o")
-    given = cues.filter(F.col("key").startswith("has "))
+    given = cues.filter(F.col("cue").startswith("has "))
     c_given = given.select(
-        F.expr("substring(key, 5)").alias("p"), F.col("pos").alias("near"), F.col("cls").alias("c"), F.lit(True).alias("c_given")
+        F.expr("substring(cue, 5)").alias("p"), F.col("side").alias("near"), F.col("cls").alias("c"), F.lit(True).alias("c_given")
     )
     d_given = given.select(
-        F.expr("substring(key, 5)").alias("p"), F.col("pos").alias("far"), F.col("cls").alias("d"), F.lit(True).alias("d_given")
+        F.expr("substring(cue, 5)").alias("p"), F.col("side").alias("far"), F.col("cls").alias("d"), F.lit(True).alias("d_given")
     )
     return (
         rules.withColumns({"near": near, "far": far})
@@ -275,7 +275,7 @@ def goal_for(spark: SparkSession, tbox: TBox, *classes: str) -> Goal:
             return table.df.filter(F.col(column).isin([r[0] for r in few]))
         return table.df.join(of.toDF(column), column, "left_semi")
 
-    cues = wanted.select(F.concat(F.lit("is "), "cls").alias("key"), F.lit("s").alias("pos"), "cls")
+    cues = wanted.select(F.concat(F.lit("is "), "cls").alias("cue"), F.lit("s").alias("side"), "cls")
     if tbox.cues is not None:
         cues = about(tbox.cues, "cls", names, wanted).unionByName(cues)
     cues, cue_rows = _listed(cues, "goal-cues")
@@ -318,7 +318,7 @@ def _depth(rule_rows: list) -> int | None:
 
 
 def _prefilter(cue_rows: list, used: set[str]) -> Column:
-    classes = sorted({r["key"][3:] for r in cue_rows if r["key"].startswith("is ")})
-    used = used | {r["key"][4:] for r in cue_rows if r["key"].startswith("has ")}
+    classes = sorted({r["cue"][3:] for r in cue_rows if r["cue"].startswith("is ")})
+    used = used | {r["cue"][4:] for r in cue_rows if r["cue"].startswith("has ")}
     typed = is_typing() & F.col("o").isin(classes)
     return (typed | F.col("p").isin(sorted(used))) if used else typed

@@ -49,7 +49,8 @@ def _axiom(kind: str | Column, a: Column, b: Column | None = None, c: Column | N
 
 def _elements(spark: SparkSession, path: str | list[str], tag: str, schema: str) -> DataFrame:
     rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
-    return rows.select("*", F.col("_metadata.file_path").alias("_file"))
+    me = F.coalesce(F.concat(F.lit("#"), _q("_rdf:ID")), F.col(_q("_rdf:about")))
+    return rows.select("*", F.col("_metadata.file_path").alias("_file"), me.alias("me")).filter("me is not null")
 
 
 def _bases(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -60,9 +61,6 @@ def _bases(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _class_axioms(classes: DataFrame) -> DataFrame:
-    me = F.coalesce(F.concat(F.lit("#"), _q("_rdf:ID")), F.col(_q("_rdf:about")))
-    classes = classes.withColumn("me", me)
-
     def ref(column: str) -> Column:
         about, identity = F.col(f"{column}.`_rdf:about`"), F.col(f"{column}.`_rdf:ID`")
         return F.coalesce(about, F.concat(F.lit("#"), identity))
@@ -89,28 +87,24 @@ def _class_axioms(classes: DataFrame) -> DataFrame:
     return subclass.unionByName(sub_some).unionByName(equiv_some)
 
 
-def _property_axioms(properties: DataFrame) -> DataFrame:
-    me = F.coalesce(F.concat(F.lit("#"), _q("_rdf:ID")), F.col(_q("_rdf:about")))
-    pairs = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.coalesce(F.col(_q(tag)), F.array().cast("array<struct<`_rdf:resource`: string>>")),
-                    lambda r, k=kind: F.struct(F.lit(k).alias("kind"), r.getField("_rdf:resource").alias("target")),
-                )
-                for tag, kind in PROPERTY_AXIOMS.items()
-            ]
-        )
+def _targets(tag: str, kind: str) -> Column:
+    nothing = F.array().cast("array<struct<`_rdf:resource`: string>>")
+    return F.transform(
+        F.coalesce(F.col(_q(tag)), nothing),
+        lambda r: F.struct(F.lit(kind).alias("kind"), r.getField("_rdf:resource").alias("target")),
     )
-    each = properties.select("_file", me.alias("me"), F.explode(pairs).alias("x"))
+
+
+def _property_axioms(properties: DataFrame) -> DataFrame:
+    pairs = F.flatten(F.array(*[_targets(tag, kind) for tag, kind in PROPERTY_AXIOMS.items()]))
+    each = properties.select("_file", "me", F.explode(pairs).alias("x"))
     return each.select("_file", *_axiom(F.col("x.kind"), F.col("me"), F.col("x.target")))
 
 
 def _transitive(properties: DataFrame, tag: str) -> DataFrame:
-    me = F.coalesce(F.concat(F.lit("#"), _q("_rdf:ID")), F.col(_q("_rdf:about")))
     if tag != "owl:TransitiveProperty":
         properties = properties.filter(F.exists(_q("rdf:type"), lambda r: r.getField("_rdf:resource") == TRANSITIVE_IRI))
-    return properties.select("_file", *_axiom("transitive", me))
+    return properties.select("_file", *_axiom("transitive", F.col("me")))
 
 
 def read_ontology(spark: SparkSession, path: str | list[str], base: str | None = None) -> DataFrame:
