@@ -28,7 +28,7 @@ def nt_scan_compat(spark, sf_dir):
 
 @query("ontology_axioms")
 def ontology_axioms(spark, sf_dir):
-    path = files.write_lines(files.part_classes(table(spark, sf_dir, "part")), "classes")
+    path = files.write_lines(files.documents(files.part_classes(table(spark, sf_dir, "part"))), "classes")
     return read_ontology(spark, path, base="http://example.org/parts")
 
 

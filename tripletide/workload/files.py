@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,6 +52,22 @@ def part_classes(part: DataFrame) -> DataFrame:
     )
 
 
+ROOT_OPEN = (
+    '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
+    'xmlns:rdfs="http://www.w3.org/2000/01/rdf-schema#" xmlns:owl="http://www.w3.org/2002/07/owl#">'
+)
+
+
+def documents(elements: DataFrame) -> DataFrame:
+    """The elements with a root element around those of each partition, so that every file is a document."""
+    def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([ROOT_OPEN])], ["value"])
+        yield from batches
+        yield pa.RecordBatch.from_arrays([pa.array(["</rdf:RDF>"])], ["value"])
+
+    return elements.mapInArrow(wrap, "value string")
+
+
 def named_file(lines: DataFrame, folder: str, name: str) -> str:
     """Writes lines as one file of the given name (result files are told apart by name)."""
     spark: SparkSession = lines.sparkSession

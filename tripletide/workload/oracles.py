@@ -148,7 +148,7 @@ GRID_QUALITY = (
 )
 
 
-def replay_sql(configs: list[tuple], steps: int, columns: str = "*") -> str:
+def replay_sql(configs: list[tuple], steps: int, columns: str = "* EXCLUDE (complete)", only: str = "true") -> str:
     """The epoch loop unrolled: configs are (id, policy, segments, size, evict), run to the end of the stream.
 
     Each step's tables carry its number. A config's row in st<k> holds its cursor and
@@ -189,7 +189,8 @@ rk{k} AS (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY
     CASE policy WHEN 'FEFO' THEN epoch_us(expire_ts) WHEN 'LRU' THEN epoch_us(arrival_ts) ELSE use_count END, graph_no) AS rn FROM up{k}),
 ke{k} AS MATERIALIZED (SELECT config_id, n, graph_no, use_count, arrival_ts, expire_ts FROM rk{k} WHERE rn > k),
 mv{k} AS (SELECT s.config_id, CAST({k} AS BIGINT) AS epoch, CAST(n_expired AS BIGINT) AS n_expired,
-    (SELECT count(*) FROM rk{k} r WHERE r.config_id = s.config_id AND rn <= k) AS n_evicted FROM sa{k} s),
+    (SELECT count(*) FROM rk{k} r WHERE r.config_id = s.config_id AND rn <= k) AS n_evicted,
+    (SELECT count(*) FROM cu{k} c WHERE c.config_id = s.config_id) = size AS complete FROM sa{k} s),
 ef{k} AS (SELECT s.config_id, policy, n, size, evict, n_graphs, filled AS cursor,
     size - (SELECT count(*) FROM ke{k} e WHERE e.config_id = s.config_id) AS free FROM sa{k} s),
 st{k + 1} AS MATERIALIZED (SELECT config_id, policy, n, size, evict, n_graphs, cursor + free AS cursor FROM ef{k} WHERE n_graphs - cursor >= free),
@@ -199,7 +200,30 @@ en{k + 1} AS MATERIALIZED (SELECT e.* FROM ke{k} e SEMI JOIN st{k + 1} USING (co
     moves = " UNION ALL ".join(f"SELECT * FROM mv{k}" for k in range(steps))
     answers = " UNION ALL ".join(f"SELECT config_id, CAST({k} AS BIGINT) AS epoch, s FROM an{k}" for k in range(steps))
     ctes.append(f"moves AS ({moves}),\nans AS ({answers}),\nscored AS ({quality('moves', 'ans', 'truth', 'config_id, epoch')})")
-    return f"{TRUTH},\n" + ",\n".join(ctes) + f"\nSELECT {columns} FROM scored JOIN moves USING (config_id, epoch)"
+    return f"{TRUTH},\n" + ",\n".join(ctes) + f"\nSELECT {columns} FROM scored JOIN moves USING (config_id, epoch) WHERE {only}"
+
+
+def keyed_sql(size: int, evict: int, steps: int) -> str:
+    """Per-user windows ranked by use count, unrolled; a user steps while whole refills are there."""
+    ctes = [f"""al AS (SELECT * FROM entries),
+st0 AS (SELECT user_id, count(*) AS n_graphs, least({size}, count(*)) AS cursor FROM al GROUP BY user_id),
+en0 AS (SELECT al.* FROM al JOIN st0 USING (user_id) WHERE graph_no < cursor)"""]
+    for k in range(steps):
+        ctes.append(f"""ck{k} AS (SELECT *, max(arrival_ts) OVER (PARTITION BY user_id) AS now FROM en{k}),
+rd{k} AS MATERIALIZED (SELECT user_id, n_graphs, cursor, count(*) FILTER (expire_ts < now) AS gone
+  FROM ck{k} JOIN st{k} USING (user_id) GROUP BY user_id, n_graphs, cursor
+  HAVING count(*) = {size} AND count(*) FILTER (expire_ts < now) <= n_graphs - cursor),
+cu{k} AS (SELECT user_id, graph_no, use_count, arrival_ts, expire_ts FROM ck{k} SEMI JOIN rd{k} USING (user_id) WHERE expire_ts >= now
+  UNION ALL SELECT al.* FROM al JOIN rd{k} USING (user_id) WHERE graph_no >= cursor AND graph_no < cursor + gone),
+rk{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY use_count, graph_no) AS rn FROM cu{k}),
+out{k} AS (SELECT user_id, CAST({k} AS BIGINT) AS epoch, graph_no, 'expired' AS cause FROM ck{k} SEMI JOIN rd{k} USING (user_id) WHERE expire_ts < now
+  UNION ALL SELECT user_id, {k}, graph_no, 'evicted' FROM rk{k} JOIN rd{k} USING (user_id) WHERE rn <= {evict} - gone),
+st{k + 1} AS MATERIALIZED (SELECT user_id, n_graphs, cursor + gone AS start,
+  cursor + gone + least(greatest(0, {evict} - gone), n_graphs - cursor - gone) AS cursor FROM rd{k}),
+en{k + 1} AS MATERIALIZED (SELECT user_id, graph_no, use_count, arrival_ts, expire_ts FROM rk{k} JOIN rd{k} USING (user_id) WHERE rn > {evict} - gone
+  UNION ALL SELECT al.* FROM al JOIN st{k + 1} USING (user_id) WHERE graph_no >= start AND graph_no < cursor)""")
+    left = " UNION ALL ".join(f"SELECT * FROM out{k}" for k in range(steps))
+    return f"{USERS},\n" + ",\n".join(ctes) + f"\n{left}"
 
 
 PART_EDGES = """WITH RECURSIVE edge AS (
@@ -219,7 +243,8 @@ NT = f"""SELECT CAST(event_id * 2 + i AS BIGINT) AS seq,
   CASE WHEN i = 0 THEN '{BASE}/user/' || user_id ELSE '{BASE}/event/' || event_id END AS s,
   CASE WHEN i = 0 THEN '{BASE}/did' ELSE '{BASE}/props' END AS p"""
 
-REPLAY_STEPS, SWEEP_STEPS = 16, 16
+# More steps than any of the windows takes before its stream ends.
+REPLAY_STEPS, SWEEP_STEPS, KEYED_STEPS = 16, 16, 16
 
 ORACLES: dict[str, str] = {
     "match_distinct": f"WITH {EV} SELECT DISTINCT s FROM ev WHERE p = 'rdf:type' AND o = 'c:Purchase'",
@@ -295,6 +320,10 @@ INTERSECT SELECT node FROM types WHERE cls = 'c:Buyer'""",
   max(fmeasure) FILTER (config = 'n90') AS n90 FROM averaged GROUP BY size""",
     "window_replay": replay_sql([("run", "LFU", SEGMENTS, SIZE, SIZE // 2)], REPLAY_STEPS),
     "policy_sweep": replay_sql([(config_id(*c), *c) for c in SWEEP], SWEEP_STEPS),
+    "semantic_window_stream": replay_sql(
+        [("run", "LRU", SEGMENTS, SIZE, SIZE // 2)], REPLAY_STEPS, "* EXCLUDE (complete, config_id)", "complete"
+    ),
+    "keyed_policy_window": keyed_sql(6, 3, KEYED_STEPS),
     "nt_scan": f"{NT}, CASE WHEN i = 0 THEN '{BASE}/event/' || event_id ELSE props END AS o, "
                "CASE WHEN i = 0 THEN 'iri' ELSE 'lit' END AS o_kind FROM events, (VALUES (0), (1)) AS two(i)",
     "nt_scan_compat": f"""{NT}, CASE WHEN i = 0 THEN '{BASE}/event/' || event_id ELSE
