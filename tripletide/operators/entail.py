@@ -113,19 +113,23 @@ class Facts:
 def facts_of(quads: DataFrame, goal: Goal, keep: Sequence[str] = ()) -> Facts:
     """One pass over the triples; ``keep`` lists the columns carried along (graph_no, key, ...)."""
     rows = quads.select(*dict.fromkeys([*keep, "s", "p", "o", "o_kind"]))
-    rows = rows.filter(goal.prefilter) if goal.prefilter is not None else rows
+    resources = rows.filter(F.col("o_kind") == "iri")
+
+    def among(df: DataFrame, condition: Column | None) -> DataFrame:
+        return df if condition is None else df.filter(condition)
+
     leaf = [F.col("s").alias("leaf_s"), F.col("p").alias("leaf_p"), F.col("o").alias("leaf_o")]
-    shown = skew_join(rows.withColumn("cue", cue_of()), goal.cues, ["cue"])
+    shown = skew_join(among(rows, goal.cue_filter).withColumn("cue", cue_of()), goal.cues, ["cue"])
     evidence = shown.filter((F.col("side") == "s") | (F.col("o_kind") == "iri")).select(
         *keep, *leaf, F.when(F.col("side") == "s", F.col("s")).otherwise(F.col("o")).alias("node"), "cls"
     )
     links = edges = None
     if goal.rules is not None:
-        linked = skew_join(rows.filter(F.col("o_kind") == "iri"), goal.rules.filter("via is null").drop("via"), ["p"])
+        direct = goal.rules.filter("via is null").drop("via")
+        linked = skew_join(among(resources, goal.link_filter), direct, ["p"])
         links = linked.select(*keep, *leaf, _near(), _far(), "need", "c", "d", "c_given", "d_given")
     if goal.steps is not None:
-        steps = goal.steps.withColumnRenamed("q", "via")
-        stepped = skew_join(rows.filter(F.col("o_kind") == "iri"), steps, ["p"])
+        stepped = skew_join(among(resources, goal.step_filter), goal.steps.withColumnRenamed("q", "via"), ["p"])
         edges = stepped.select(*keep, *leaf, _near().alias("src"), _far().alias("dst"), "via")
     return Facts(evidence, links, edges)
 
@@ -170,10 +174,14 @@ def path_links(facts: Facts, goal: Goal, by: Sequence[str], leaves: bool = False
     return links.unionByName(placed.select(*by, x, y, "need", "c", "d", "c_given", "d_given", *leaf_cols))
 
 
-def _apply_rules(types: DataFrame, links: DataFrame, by: Sequence[str]) -> DataFrame:
+def _apply_rules(types: DataFrame, links: DataFrame, by: Sequence[str], goal: Goal | None = None) -> DataFrame:
     """(node, cls) newly shown by the links, given the types known so far."""
-    ends = types.select(*by, F.col("node").alias("y"), F.col("cls").alias("d"))
-    starts = types.select(*by, F.col("node").alias("x"), F.col("cls").alias("c"))
+    def among(classes: tuple[str, ...] | None) -> DataFrame:
+        return types if classes is None else types.filter(F.col("cls").isin(*classes))
+
+    far, near = (goal.far, goal.near) if goal else (None, None)
+    ends = among(far).select(*by, F.col("node").alias("y"), F.col("cls").alias("d"))
+    starts = among(near).select(*by, F.col("node").alias("x"), F.col("cls").alias("c"))
     far_ok = skew_join(links.filter(~F.col("d_given")), ends, [*by, "y", "d"], "left_semi").unionByName(
         links.filter("d_given")
     )
@@ -192,13 +200,13 @@ def types_of(facts: Facts, goal: Goal, by: Sequence[str] = ()) -> DataFrame:
     if links is None:
         return types
     if goal.rounds == 1:
-        return types.unionByName(_apply_rules(types, links, by)).distinct()
+        return types.unionByName(_apply_rules(types, links, by, goal)).distinct()
     # Each round reads the last one several times, so rounds are written down.
     links = store(links.distinct(), "links").df
     known = store(types, "types")
     rounds = 0
     while goal.rounds is None or rounds < goal.rounds:
-        new = store(_apply_rules(known.df, links, by).join(known.df, [*by, "node", "cls"], "left_anti"), "types")
+        new = store(_apply_rules(known.df, links, by, goal).join(known.df, [*by, "node", "cls"], "left_anti"), "types")
         if not new.rows:
             break
         known, rounds = known.plus(new), rounds + 1

@@ -69,7 +69,7 @@ def explain_leaves(
     regime: str = "restriction",
 ) -> DataFrame:
     """Lineage of every answer at once; the ontology itself never counts as a leaf."""
-    goal = goal_for(quads.sparkSession, TBox.of(axioms, regime), target)
+    goal = goal_for(quads.sparkSession, TBox.of(axioms, regime), explained=(target,))
     return leaves_of(answers, facts_of(quads, goal, [*by, "graph_no"]), goal, target, by)
 
 

@@ -215,14 +215,20 @@ def _rules(axioms: DataFrame, order: DataFrame, paths: DataFrame, cues: DataFram
 
 @dataclass(frozen=True)
 class TBox:
-    """The finished rule tables of one ontology under one entailment regime."""
+    """The finished rule tables of one ontology under one entailment regime.
+
+    ``rests_on`` (src, dst): membership of src can rest on membership of dst.
+    ``proven_by`` leaves out what the linking triple already proves by itself: enough
+    for finding members, not for explaining them.
+    """
 
     regime: str
     order: Stored | None = None
     paths: Stored | None = None
     cues: Stored | None = None
     rules: Stored | None = None
-    reach: Stored | None = None
+    rests_on: Stored | None = None
+    proven_by: Stored | None = None
 
     @staticmethod
     def of(axioms: DataFrame | TBox, regime: str = "restriction", existential: bool = True) -> TBox:
@@ -239,8 +245,13 @@ class TBox:
         if regime == "rdfs++":
             return TBox(regime, order, paths, cues)
         rules = pin(_rules(axioms, order.df, paths.df, cues.df), "rules")
-        wants = rules.df.select(F.col("need").alias("src"), F.explode(F.array("c", "d")).alias("dst"))
-        return TBox(regime, order, paths, cues, rules, closed(wants))
+        every = F.array("c", "d")
+        looked_up = F.array(F.when(~F.col("c_given"), F.col("c")), F.when(~F.col("d_given"), F.col("d")))
+        rests_on, proven_by = (
+            closed(rules.df.select(F.col("need").alias("src"), F.explode(classes).alias("dst")))
+            for classes in (every, looked_up)
+        )
+        return TBox(regime, order, paths, cues, rules, rests_on, proven_by)
 
 
 @dataclass(frozen=True)
@@ -250,24 +261,32 @@ class Goal:
     ``cues``, ``rules`` and ``steps`` (predicates feeding transitive properties that
     rules follow) are marked for broadcast when measured small. ``rounds`` is how
     often the rules have to be applied, or None when they depend on each other in a
-    circle. ``needs`` lists the wanted classes and those they rest on. ``prefilter`` keeps only triples that can matter, as plain comparisons
-    that reach the file scan; None when the lists would be long.
+    circle. ``needs`` lists the wanted classes and those looked up on the way, ``far``
+    and ``near`` those looked up at either end of a link. The ``_filter`` columns keep
+    only triples that can matter, as plain comparisons that reach the file scan. All
+    of these lists are None when they would be long.
     """
 
-    classes: tuple[str, ...]
     needs: tuple[str, ...] | None
     cues: DataFrame
     rules: DataFrame | None
     steps: DataFrame | None
     rounds: int | None
-    prefilter: Column | None
-
-
-def goal_for(spark: SparkSession, tbox: TBox, *classes: str) -> Goal:
-    wanted = literal_rows(spark, [(c,) for c in classes], T.StructType([T.StructField("cls", T.StringType())]))
-    if tbox.reach is not None and tbox.reach.rows:
-        below = tbox.reach.df.filter(F.col("src").isin(*classes)).select(F.col("dst").alias("cls"))
-        wanted = wanted.unionByName(below)
+    far: tuple[str, ...] | None
+    near: tuple[str, ...] | None
+    cue_filter: Column | None
+    link_filter: Column | None
+    step_filter: Column | None
+
+
+def goal_for(spark: SparkSession, tbox: TBox, *classes: str, explained: tuple[str, ...] = ()) -> Goal:
+    """What finding the members of ``classes``, and explaining those of ``explained``, takes."""
+    start = T.StructType([T.StructField("cls", T.StringType())])
+    wanted = literal_rows(spark, [(c,) for c in (*classes, *explained)], start)
+    for reach, sources in ((tbox.proven_by, classes), (tbox.rests_on, explained)):
+        if reach is not None and reach.rows and sources:
+            below = reach.df.filter(F.col("src").isin(*sources)).select(F.col("dst").alias("cls"))
+            wanted = wanted.unionByName(below)
     wanted, names = _listed(wanted, "wanted")
 
     def about(table: Stored, column: str, few: list | None, of: DataFrame) -> DataFrame:
@@ -288,11 +307,22 @@ def goal_for(spark: SparkSession, tbox: TBox, *classes: str) -> Goal:
         via, followed = _listed(rules.filter("via is not null").select(F.col("via").alias("q")), "goal-via")
         if followed != []:
             steps, step_rows = _listed(about(tbox.paths, "q", followed, via), "goal-steps")
-    prefilter = None
-    if None not in (cue_rows, rule_rows, step_rows):
-        prefilter = _prefilter(cue_rows, {r["p"] for r in rule_rows + step_rows})
-    needs = None if cue_rows is None else tuple(sorted({r["cls"] for r in cue_rows}))
-    return Goal(classes, needs, cues, rules, steps, _depth(rule_rows) if rule_rows is not None else None, prefilter)
+
+    def listed(rows: list | None, value) -> tuple[str, ...] | None:
+        return None if rows is None else tuple(sorted({v for v in map(value, rows) if v is not None}))
+
+    return Goal(
+        needs=listed(cue_rows, lambda r: r["cls"]),
+        cues=cues,
+        rules=rules,
+        steps=steps,
+        rounds=None if rule_rows is None else _depth(rule_rows, bool(explained)),
+        far=listed(rule_rows, lambda r: None if r["d_given"] else r["d"]),
+        near=listed(rule_rows, lambda r: None if r["c_given"] else r["c"]),
+        cue_filter=None if cue_rows is None else _cue_filter([r["cue"] for r in cue_rows]),
+        link_filter=_uses(listed(rule_rows, lambda r: r["p"])),
+        step_filter=_uses(listed(step_rows, lambda r: r["p"])),
+    )
 
 
 def _listed(df: DataFrame, name: str) -> tuple[DataFrame, list | None]:
@@ -303,11 +333,13 @@ def _listed(df: DataFrame, name: str) -> tuple[DataFrame, list | None]:
     return F.broadcast(literal_rows(df.sparkSession, [tuple(r) for r in rows], df.schema)), rows
 
 
-def _depth(rule_rows: list) -> int | None:
+def _depth(rule_rows: list, whole: bool) -> int | None:
     """Longest chain of classes that are each proven by rules on the next; None if it closes."""
     wants: dict[str, set[str]] = {}
     for r in rule_rows:
-        wants.setdefault(r["need"], set()).update({r["c"], r["d"]})
+        looked_up = {r["c"]} if whole or not r["c_given"] else set()
+        looked_up |= {r["d"]} if whole or not r["d_given"] else set()
+        wants.setdefault(r["need"], set()).update(looked_up)
     depth = {c: 1 for c in wants}
     for _ in range(len(wants) + 1):
         raised = {c: 1 + max((depth.get(w, 0) for w in wants[c]), default=0) for c in wants}
@@ -317,8 +349,12 @@ def _depth(rule_rows: list) -> int | None:
     return None
 
 
-def _prefilter(cue_rows: list, used: set[str]) -> Column:
-    classes = sorted({r["cue"][3:] for r in cue_rows if r["cue"].startswith("is ")})
-    used = used | {r["cue"][4:] for r in cue_rows if r["cue"].startswith("has ")}
-    typed = is_typing() & F.col("o").isin(classes)
-    return (typed | F.col("p").isin(sorted(used))) if used else typed
+def _uses(predicates: tuple[str, ...] | None) -> Column | None:
+    return F.col("p").isin(*predicates) if predicates else None
+
+
+def _cue_filter(cues: list[str]) -> Column:
+    classes = sorted(c[3:] for c in cues if c.startswith("is "))
+    typed = is_typing() & F.col("o").isin(*classes)
+    used = sorted({c[4:] for c in cues if c.startswith("has ")})
+    return (typed | F.col("p").isin(*used)) if used else typed

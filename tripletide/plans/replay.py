@@ -24,11 +24,12 @@ def reasoning_over(
     Later steps only read this extract: unrelated triples and columns are gone.
     """
     spark, tbox = quads.sparkSession, TBox.of(axioms, regime)
-    both = goal_for(spark, tbox, query_class, explain_class)
+    both = goal_for(spark, tbox, query_class, explained=(explain_class,))
     facts = facts_of(quads, both, keep)
     facts = Facts(*(None if part is None else store(part, "facts").df for part in (facts.evidence, facts.links, facts.edges)))
     return Reasoning(
-        facts, goal_for(spark, tbox, query_class), query_class, goal_for(spark, tbox, explain_class), explain_class
+        facts, goal_for(spark, tbox, query_class), query_class,
+        goal_for(spark, tbox, explained=(explain_class,)), explain_class,
     )
 
 

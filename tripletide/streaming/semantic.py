@@ -61,9 +61,9 @@ class SemanticWindow:
         self.by = ["config_id", *self.source]
         self.entries = entries or (lambda quads: assign_ttl(quads, ttl, self.source))
         tbox = TBox.of(axioms, spec.regime)
-        self.both = goal_for(spark, tbox, spec.query_class, spec.explain_class)
+        self.both = goal_for(spark, tbox, spec.query_class, explained=(spec.explain_class,))
         self.query: Goal = goal_for(spark, tbox, spec.query_class)
-        self.explain: Goal = goal_for(spark, tbox, spec.explain_class)
+        self.explain: Goal = goal_for(spark, tbox, explained=(spec.explain_class,))
 
     # --- state tables
 
