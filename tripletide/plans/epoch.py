@@ -15,7 +15,7 @@ triples, which are only touched through ``facts``.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,18 +35,34 @@ WINDOW_ROW_BYTES = 256
 
 @dataclass(frozen=True)
 class Reasoning:
-    """What the windows ask (``query``) and what they explain (``explain``), over shared facts."""
+    """What the windows ask (``query``) and what they explain (``explain``), over shared facts.
+
+    ``place`` is the column the stored facts are sorted by, and ``first``/``last`` say for
+    a window row which places its graph takes up; ``into`` turns facts into facts with
+    ``graph_no`` where they do not have one yet.
+    """
 
     facts: Facts
     query: Goal
     query_class: str
     explain: Goal
     explain_class: str
+    place: str = "graph_no"
+    first: str = "graph_no"
+    last: str = "graph_no"
+    into: Callable[[DataFrame], DataFrame] | None = None
+
+    def between(self, span: tuple, goal: Goal) -> Facts:
+        """The goal's facts in a stretch of the stream; a plain range, so the scan skips the rest."""
+        def cut(df: DataFrame | None) -> DataFrame | None:
+            if df is None:
+                return None
+            if None not in span:
+                df = df.filter(F.col(self.place).between(*span))
+            return self.into(df) if self.into else df
 
-    def cut(self, into: Callable[[DataFrame], DataFrame]) -> Reasoning:
-        """The same with ``into`` applied to every fact table."""
-        parts = (self.facts.evidence, self.facts.links, self.facts.edges)
-        return replace(self, facts=Facts(*(None if df is None else into(df) for df in parts)))
+        facts = self.facts.for_goal(goal)
+        return Facts(cut(facts.evidence), cut(facts.links), cut(facts.edges))
 
 
 @dataclass(frozen=True)
@@ -90,6 +106,20 @@ def held(win: Windows) -> Column:
     return F.count("graph_no").over(win.over())
 
 
+def store_windows(rows: DataFrame, reasoning: Reasoning | None) -> Stored:
+    """Writes window rows, noting how far their cursors and the graphs they hold reach."""
+    spans = {"cursor": (F.col("cursor"), F.col("cursor") + 2 * F.col("size"))}
+    if reasoning is not None:
+        spans["place"] = (F.expr(reasoning.first), F.expr(reasoning.last))
+    return store(rows, "window", spans=spans)
+
+
+def within_reach(all_entries: DataFrame, rows: Stored) -> DataFrame:
+    """The entries the next step can take: a range the scan can skip by."""
+    low, high = rows.spans["cursor"]
+    return all_entries if low is None else all_entries.filter(F.col("graph_no").between(low, high))
+
+
 def refill(rows: DataFrame, all_entries: DataFrame, win: Windows) -> DataFrame:
     """Adds the next ``take`` graphs (a column of every row) of its stream to each window."""
     moved = rows.withColumn("_from", F.col("cursor")).withColumn("cursor", F.col("cursor") + F.col("take"))
@@ -136,17 +166,19 @@ def wants_usage() -> Column:
     return (F.col("policy") != "FEFO") & (F.col("evict") != F.col("size")) & ~is_last()
 
 
-def answer(current: DataFrame, reasoning: Reasoning, win: Windows) -> DataFrame:
+def answer(current: Stored, reasoning: Reasoning, win: Windows) -> DataFrame:
     """(by..., s) over what each window holds now."""
-    inside = current.filter(F.col("graph_no").isNotNull())
-    facts = reasoning.facts.for_goal(reasoning.query).within(win.hint(inside), [*win.source, "graph_no"], win.by)
+    inside = current.df.filter(F.col("graph_no").isNotNull())
+    facts = reasoning.between(current.spans["place"], reasoning.query)
+    facts = facts.within(win.hint(inside), [*win.source, "graph_no"], win.by)
     return members(facts, reasoning.query, reasoning.query_class, win.by)
 
 
-def usage_of(current: DataFrame, answers: DataFrame, reasoning: Reasoning, win: Windows) -> DataFrame:
+def usage_of(current: Stored, answers: DataFrame, reasoning: Reasoning, win: Windows) -> DataFrame:
     """(by..., graph_no, usage) of the windows whose policy looks at use."""
-    inside = current.filter(F.col("graph_no").isNotNull() & wants_usage())
-    facts = reasoning.facts.for_goal(reasoning.explain).within(win.hint(inside), [*win.source, "graph_no"], win.by)
+    inside = current.df.filter(F.col("graph_no").isNotNull() & wants_usage())
+    facts = reasoning.between(current.spans["place"], reasoning.explain)
+    facts = facts.within(win.hint(inside), [*win.source, "graph_no"], win.by)
     lineage = leaves_of(answers, facts, reasoning.explain, reasoning.explain_class, win.by)
     return graph_usage(lineage, win.by)
 
@@ -193,7 +225,7 @@ class Step:
 
 
 def advance(
-    rows: DataFrame,
+    rows: Stored,
     all_entries: DataFrame,
     reasoning: Reasoning | None,
     win: Windows,
@@ -201,13 +233,13 @@ def advance(
     stop_when_short: bool = True,
 ) -> Step:
     """Expire, refill, ask, explain, evict, refill - for every window in ``rows``."""
-    columns = win.columns
-    filled = refill(drop_expired(rows, win), all_entries, win)
-    current = store(filled.select(*columns, "now", "n_expired"), "window")
+    supply = within_reach(all_entries, rows)
+    filled = refill(drop_expired(rows.df, win), supply, win)
+    current = store_windows(filled.select(*win.columns, "now", "n_expired"), reasoning)
     answers, used = None, current.df
     if reasoning is not None:
-        answers = store(answer(current.df, reasoning, win), "answers")
+        answers = store(answer(current, reasoning, win), "answers")
         if any_usage:
-            used = apply_usage(current.df, usage_of(current.df, answers.df, reasoning, win), win)
-    following = refill(evict_step(used, win, stop_when_short), all_entries, win)
-    return Step(current, answers, store(following.select(columns), "window"))
+            used = apply_usage(current.df, usage_of(current, answers.df, reasoning, win), win)
+    following = refill(evict_step(used, win, stop_when_short), supply, win)
+    return Step(current, answers, store_windows(following.select(win.columns), reasoning))

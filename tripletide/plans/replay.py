@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -12,24 +13,33 @@ from tripletide.operators.entail import Facts, facts_of
 from tripletide.operators.ontology import TBox, goal_for
 from tripletide.operators.quality import window_quality
 from tripletide.operators.window import assign_ttl
-from tripletide.plans.epoch import Reasoning, Step, Windows, advance, open_windows, to_evict, top_up
+from tripletide.plans.epoch import Reasoning, Step, Windows, advance, open_windows, store_windows, to_evict, top_up
 from tripletide.plans.spec import WindowSpec
 from tripletide.scratch import store
 
 def reasoning_over(
-    quads: DataFrame, axioms: DataFrame | TBox, query_class: str, explain_class: str, regime: str, keep: Sequence[str]
+    quads: DataFrame,
+    axioms: DataFrame | TBox,
+    query_class: str,
+    explain_class: str,
+    regime: str,
+    keep: Sequence[str],
+    place: str = "graph_no",
 ) -> Reasoning:
-    """Scans the triples once for everything both classes need, and writes it down.
+    """Scans the triples once for everything both classes need, and writes it down by ``place``.
 
-    Later steps only read this extract: unrelated triples and columns are gone.
+    Later steps only read this extract, and of it only the stretch their windows span.
     """
     spark, tbox = quads.sparkSession, TBox.of(axioms, regime)
-    both = goal_for(spark, tbox, query_class, explained=(explain_class,))
-    facts = facts_of(quads, both, keep)
-    facts = Facts(*(None if part is None else store(part, "facts").df for part in (facts.evidence, facts.links, facts.edges)))
+    found = facts_of(quads, goal_for(spark, tbox, query_class, explained=(explain_class,)), keep)
+    parts = (found.evidence, found.links, found.edges)
     return Reasoning(
-        facts, goal_for(spark, tbox, query_class), query_class,
-        goal_for(spark, tbox, explained=(explain_class,)), explain_class,
+        Facts(*(None if df is None else store(df, "facts", sort_by=[place]).df for df in parts)),
+        goal_for(spark, tbox, query_class),
+        query_class,
+        goal_for(spark, tbox, explained=(explain_class,)),
+        explain_class,
+        place,
     )
 
 
@@ -47,10 +57,11 @@ def run_windows(
         F.count_if((F.col("policy") != "FEFO") & (F.col("evict") != F.col("size"))).alias("tracked"),
     ).first()
     win = Windows(tuple(by), tuple(source), bound["slots"])
-    rows = store(top_up(open_windows(settings, all_entries, win), all_entries, win).select(win.columns), "window")
+    opened = top_up(open_windows(settings, all_entries, win), all_entries, win)
+    rows = store_windows(opened.select(win.columns), reasoning)
     steps: list[Step] = []
     while rows.rows:
-        steps.append(advance(rows.df, all_entries, reasoning, win, any_usage=bound["tracked"] > 0))
+        steps.append(advance(rows, all_entries, reasoning, win, any_usage=bound["tracked"] > 0))
         rows = steps[-1].following
     return steps
 
@@ -102,9 +113,14 @@ def sweep(
 
     if all_entries is None:
         all_entries = assign_ttl(cut(stream.select(position, "ts")), ttl, ["n_triples"])
-    all_entries = store(all_entries, "entries").df
-    reasoning = reasoning_over(stream, axioms, query_class, explain_class, regime, [position])
-    steps = run_windows(configs, all_entries, reasoning.cut(cut), ["config_id"], ["n_triples"])
+    all_entries = store(all_entries, "entries", sort_by=["graph_no"]).df
+    reasoning = replace(
+        reasoning_over(stream, axioms, query_class, explain_class, regime, [position], position),
+        first="graph_no * n_triples",
+        last="graph_no * n_triples + n_triples - 1",
+        into=cut,
+    )
+    steps = run_windows(configs, all_entries, reasoning, ["config_id"], ["n_triples"])
     return epoch_metrics(steps, truth, ["config_id"])
 
 
@@ -122,7 +138,7 @@ def replay(
     ``quads`` carry ``graph_no`` (and ``key``); ``all_entries`` has one row per graph.
     """
     keys = [key] if key else []
-    all_entries = store(all_entries, "entries").df
+    all_entries = store(all_entries, "entries", sort_by=["graph_no"]).df
     streams = all_entries.select(key).distinct() if key else quads.sparkSession.range(1).select()
     settings = streams.select(
         *keys,

@@ -10,10 +10,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -25,11 +25,12 @@ _roots: dict[str, str] = {}
 
 @dataclass(frozen=True)
 class Stored:
-    """A written DataFrame with its measured size."""
+    """A written DataFrame with its measured size, and the spans asked for."""
 
     df: DataFrame
     rows: int
     bytes: int
+    spans: dict[str, tuple] = field(default_factory=dict)
 
     def small(self) -> bool:
         return self.bytes <= BROADCAST_BYTES
@@ -63,19 +64,32 @@ def _row_bytes(schema: T.StructType):
     return sum(text, F.lit(16 * len(schema)))
 
 
-def store(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Stored:
-    """Write ``df`` once and return it as a scan with its measured size."""
+def store(
+    df: DataFrame,
+    name: str,
+    sort_by: Sequence[str] = (),
+    spans: dict[str, tuple[Column, Column]] | None = None,
+) -> Stored:
+    """Write ``df`` once and return it as a scan with its measured size.
+
+    ``sort_by`` orders the rows of each file, so that later filters on a range skip
+    row groups. ``spans`` names pairs of columns; the write reports the least value
+    of the first and the greatest of the second.
+    """
     path = scratch_path(df.sparkSession, name)
-    seen = Observation()
+    seen, spans = Observation(), spans or {}
     measured = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.sum(_row_bytes(df.schema)).alias("bytes"),
+        *[F.min(low).alias(f"low_{k}") for k, (low, _) in spans.items()],
+        *[F.max(high).alias(f"high_{k}") for k, (_, high) in spans.items()],
     )
-    measured.write.partitionBy(*partition_by).parquet(path)
+    (measured.sortWithinPartitions(*sort_by) if sort_by else measured).write.parquet(path)
     size = seen.get
-    back = df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
-    return Stored(back, size.get("rows") or 0, size.get("bytes") or 0)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    found = {k: (size.get(f"low_{k}"), size.get(f"high_{k}")) for k in spans}
+    return Stored(back, size.get("rows") or 0, size.get("bytes") or 0, found)
 
 
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:

@@ -27,6 +27,7 @@ from tripletide.plans.epoch import (
     advance,
     held,
     open_windows,
+    store_windows,
     to_evict,
     top_up,
 )
@@ -90,8 +91,8 @@ class SemanticWindow:
         new_facts = facts_of(finished, self.both, [*self.source, "graph_no"])
         parts = {"evidence": new_facts.evidence, "links": new_facts.links, "edges": new_facts.edges}
         facts = {n: self._with_before(df, batch_id, n) for n, df in parts.items() if df is not None}
-        entries = store(self._with_before(self.entries(finished), batch_id, "entries"), "entries").df
-        facts = {n: store(df, n).df for n, df in facts.items()}
+        entries = store(self._with_before(self.entries(finished), batch_id, "entries"), "entries", sort_by=["graph_no"]).df
+        facts = {n: store(df, n, sort_by=["graph_no"]).df for n, df in facts.items()}
         reasoning = Reasoning(
             Facts(facts["evidence"], facts.get("links"), facts.get("edges")),
             self.query, self.spec.query_class, self.explain, self.spec.explain_class,
@@ -187,7 +188,7 @@ class SemanticWindow:
             marked = store(clock.withColumn("_ready", able).drop("_now"), "window").df
             if marked.filter("_ready").isEmpty():
                 break
-            ready = marked.filter("_ready").drop("_ready")
+            ready = store_windows(marked.filter("_ready").drop("_ready"), reasoning)
             done = advance(ready, entries, reasoning, win, any_usage=tracked, stop_when_short=False)
             epoch = (F.col("evict_no") - 1).alias("epoch")
             header = done.current.df.filter("graph_no is null").select(*self.by, epoch)
