@@ -66,13 +66,13 @@ def test_truth_file(spark, tmp_path):
 
 def test_result_files_with_and_without_explain(spark, tmp_path):
     header = "sparql, precision, recall, fmeasure, explain, evict, memory\n"
-    (tmp_path / "sdLRUmem_bench_1_10_2.csv").write_text(header + "6, 1.0, 3.5E-5, 7.0E-5, 3248, 10, 55\n")
-    (tmp_path / "agFEFOdisk_bench_100_1000_250.csv").write_text(header + "48, 1.0, 0.25, 0.5, 87, 20\n")
+    (tmp_path / "oneLRUmem_bench_1_10_2.csv").write_text(header + "6, 1.0, 3.5E-5, 7.0E-5, 3248, 10, 55\n")
+    (tmp_path / "twoFEFOdisk_bench_100_1000_250.csv").write_text(header + "48, 1.0, 0.25, 0.5, 87, 20\n")
     rows = {r.store: r for r in read_bench(spark, str(tmp_path)).collect()}
-    sd, ag = rows["sd"], rows["ag"]
-    assert (sd.policy, sd.storage, sd.n_triples, sd.size, sd.evict) == ("LRU", "mem", 1, 10, 2)
-    assert (sd.recall, sd.explain, sd.evict_ms, sd.memory) == (3.5e-5, 3248, 10, 55)
-    assert (ag.policy, ag.storage, ag.explain, ag.evict_ms, ag.memory) == ("FEFO", "disk", None, 87, 20)
+    one, two = rows["one"], rows["two"]
+    assert (one.policy, one.storage, one.n_triples, one.size, one.evict) == ("LRU", "mem", 1, 10, 2)
+    assert (one.recall, one.explain, one.evict_ms, one.memory) == (3.5e-5, 3248, 10, 55)
+    assert (two.policy, two.storage, two.explain, two.evict_ms, two.memory) == ("FEFO", "disk", None, 87, 20)
 
 
 def test_metrics_per_window_and_averaged(spark, tmp_path):

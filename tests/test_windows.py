@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tests import university
-from tripletide import WindowSpec, bump, evict, expire, fill, replay, run_average, touch, trace, window_quality
+from tripletide import WindowSpec, assign_ttl, bump, evict, expire, fill, replay, run_average, touch, trace, window_quality
+from tripletide.operators.window import graph_label, random_ttl
 from tripletide.scratch import literal_rows
 from tripletide.workload.tables import axioms, clock_entries
 
@@ -90,6 +91,15 @@ def test_empty_windows_count_in_the_average(spark):
     assert (row.precision, row.recall, row.fmeasure) == (0.5, 0.5, 0.5)
 
 
+def test_time_to_live_and_labels(spark):
+    quads = spark.range(400).select((F.col("id") / 2).cast("bigint").alias("graph_no"), F.lit(0).cast("timestamp").alias("ts"))
+    made = assign_ttl(quads, random_ttl(7)).withColumn("ttl", F.unix_micros("expire_ts") / 1e6 - F.unix_micros("arrival_ts") / 1e6)
+    ttls = [r.ttl for r in made.collect()]
+    assert len(ttls) == 200 and len(set(ttls)) > 150
+    assert all(1 <= t <= 25000 and t == int(t) for t in ttls)
+    assert made.select(graph_label(F.col("graph_no")).alias("g")).filter("g like '%graphID7'").count() == 1
+
+
 # --- the whole loop ------------------------------------------------------------
 
 N_GRAPHS, N_USERS = 24, 5

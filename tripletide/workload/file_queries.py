@@ -60,7 +60,7 @@ def bench_results_scan(spark, sf_dir):
     kinds = {"click": "FEFO", "purchase": "LRU", "view": "LFU"}
     paths = []
     for kind, policy in kinds.items():
-        for store, explain in (("sd", "7, "), ("ag", "")):
+        for store, explain in (("one", "7, "), ("two", "")):
             n, low, high = F.count(F.lit(1)), F.min("event_id"), F.max("event_id")
             row = events.filter(F.col("event_type") == kind).agg(
                 F.array(F.lit(header), F.concat(n, F.lit(", 1.0, 0.5, 0.25, " + explain), low, F.lit(", "), high)).alias("v")

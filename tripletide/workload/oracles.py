@@ -340,6 +340,6 @@ UNION SELECT 'equiv_some', a, '{BASE}/parts#Product', '{BASE}/parts#madeAs', t F
   CAST(count(*) AS DOUBLE) AS sparql, CAST(1 AS DOUBLE) AS precision, CAST(0.5 AS DOUBLE) AS recall, CAST(0.25 AS DOUBLE) AS fmeasure,
   CAST(explain AS DOUBLE) AS explain, CAST(min(event_id) AS DOUBLE) AS evict_ms, CAST(max(event_id) AS DOUBLE) AS memory
 FROM events JOIN (VALUES ('click', 'FEFO'), ('purchase', 'LRU'), ('view', 'LFU')) AS k(event_type, policy) USING (event_type),
-     (VALUES ('sd', 7), ('ag', NULL)) AS s(store, explain) GROUP BY store, policy, explain""",
+     (VALUES ('one', 7), ('two', NULL)) AS s(store, explain) GROUP BY store, policy, explain""",
     "quad_store_scan": f"WITH {quads()} SELECT graph_no, s, o FROM q WHERE p = 'p:purchased'",
 }
