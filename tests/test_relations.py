@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tests import university
 from tests.university import names
 from tripletide import assign_graphs, bgp, closure, count_quads, match, number_rows, union_graphs
-from tripletide.operators.joins import hot_keys, skew_join
+from tripletide.operators.joins import hot_keys, marked_small, skew_join
 from tripletide.scratch import literal_rows
 
 PAIRS = T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType())])
@@ -82,3 +82,9 @@ def test_hot_keys_are_dealt_without_changing_the_join(spark, how):
     want = sorted(map(tuple, left.join(right, ["k"], how).collect()))
     assert sorted(map(tuple, skew_join(left, right, ["k"], how, check_bytes=0).collect())) == want
     assert names(left.limit(1), "k") == {0}
+
+
+def test_broadcast_sides_need_no_sketch(spark):
+    small = spark.range(3).withColumnRenamed("id", "k")
+    assert marked_small(F.broadcast(small).filter("k > 0").withColumnRenamed("k", "j"))
+    assert not marked_small(small)

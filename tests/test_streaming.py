@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests import university
-from tests.test_windows import modelled, stream
+from tests.test_windows import keyed_quads, modelled, stream
 from tripletide import WindowSpec
 from tripletide.streaming.keyed import keyed_policy_window
 from tripletide.streaming.semantic import read_steps, start_semantic_window
@@ -53,3 +53,23 @@ def test_keyed_window_keeps_state_between_batches(spark, tmp_path):
     left = {(r.key, r.epoch): (r.graph_no, r.cause) for r in spark.read.parquet(out).collect()}
     # The later a graph comes the sooner it expires: the newest of the three leaves each time.
     assert left == {(k, e): (e + 2, "evicted") for k in (0, 1) for e in range(6)}
+
+
+def test_keyed_semantic_windows(spark, tmp_path):
+    per_key = {1: stream(1)[:60], 2: stream(2)[:44]}
+    spec = WindowSpec(6, 6, "FEFO", "c:Buyer", "c:User", 4)
+    rows = keyed_quads(spark, per_key).select(F.col("seq").alias("at"), "key", "s", "p", "o", "o_kind")
+    files(rows, str(tmp_path / "in"), [0, 30, 60])
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = start_semantic_window(
+        source, axioms(spark, "events"), spec, str(tmp_path / "state"), ["at"], key="key",
+        entries=lambda quads: clock_entries(quads, ("key",)),
+    )
+    query.awaitTermination()
+    tables = str(tmp_path / "state" / "tables")
+    moves = {(r.key, r.epoch): (r.n_expired, r.n_evicted) for r in read_steps(spark, tables, "moves").collect()}
+    counts = {(r.key, r.epoch): r["count"] for r in read_steps(spark, tables, "answers").groupBy("key", "epoch").count().collect()}
+    assert {k for k, _ in moves} == {1, 2}
+    for (k, epoch), move in moves.items():
+        want = modelled(per_key[k], spec, 4)
+        assert (counts.get((k, epoch), 0), *move) == want[epoch]

@@ -174,3 +174,23 @@ def test_replay_follows_the_model(spark, policy, size, out, evictions):
     want = modelled(triples, spec, 4)
     assert [(r.n_results, r.n_expired, r.n_evicted) for r in got] == want
     assert all(r.precision in (0.0, 1.0) for r in got)
+
+
+def keyed_quads(spark, per_key):
+    """Graphs of four triples for every key's own stream."""
+    parts = [
+        university.quads(spark, triples, n=4).withColumn("key", F.lit(k).cast("bigint")) for k, triples in per_key.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def test_keyed_windows_follow_their_own_streams(spark):
+    per_key = {1: stream(1), 2: stream(2)[:64]}
+    quads = keyed_quads(spark, per_key)
+    spec = WindowSpec(6, 3, "LRU", "c:Buyer", "c:User", 4, 1)
+    truth = university.subjects(spark, *[f"u:{i}" for i in range(N_USERS)])
+    entries = clock_entries(quads, ("key",))
+    rows = replay(quads, entries, axioms(spark, "events"), spec, truth, key="key").orderBy("key", "epoch").collect()
+    for k, triples in per_key.items():
+        got = [(r.n_results, r.n_expired, r.n_evicted) for r in rows if r.key == k]
+        assert got == modelled(triples, spec, 4)

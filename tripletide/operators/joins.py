@@ -15,6 +15,17 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
 
 
+def marked_small(df: DataFrame) -> bool:
+    """Whether ``df`` carries a broadcast mark, so that a join with it moves nothing of the other side."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() != "ResolvedHint":
+        below = plan.children()
+        if below.size() != 1:
+            return False
+        plan = below.apply(0)
+    return True
+
+
 def hot_keys(df: DataFrame, on: list[str], share: float = HOT_SHARE) -> list[int]:
     """Hashes of the keys holding at least ``share`` of the rows; at most ``1/share`` of them."""
     top = int(1 / share)
@@ -34,12 +45,12 @@ def skew_join(
 ) -> DataFrame:
     """``left.join(right, on, how)`` with the frequent keys of ``left`` spread over many tasks.
 
-    Inputs below ``check_bytes`` are joined directly. Above, one sketch pass finds
+    Inputs below ``check_bytes``, or against a broadcast side, are joined directly. Else one sketch pass finds
     the frequent keys. Their left rows are dealt over salts and their right rows
     are repeated once per salt; all other keys take the ordinary join. Works for
     inner, left_semi and left_anti, and for a right side of any size.
     """
-    if input_bytes(left) < check_bytes:
+    if input_bytes(left) < check_bytes or marked_small(right):
         return left.join(right, on, how)
     hot = hot_keys(left, on)
     if not hot:
