@@ -37,7 +37,10 @@ def test_compat_lines(spark, tmp_path):
 
 def element(row):
     kind, a, b, c, d = row
-    some = f'<owl:Restriction><owl:onProperty rdf:resource="#{c}"/><owl:someValuesFrom><owl:Class rdf:about="#{d}"/></owl:someValuesFrom></owl:Restriction>'
+    some = (
+        f'<owl:Restriction><owl:onProperty rdf:resource="#{c}"/><owl:someValuesFrom>'
+        f'<owl:Class rdf:about="#{d}"/></owl:someValuesFrom></owl:Restriction>'
+    )
     if kind == "subclass":
         return f'<owl:Class rdf:ID="{a}"><rdfs:label>x</rdfs:label><rdfs:subClassOf rdf:resource="#{b}"/></owl:Class>'
     if kind == "sub_some":

@@ -48,7 +48,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the session's checkpoint folder."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        set_on_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = spark.conf.get("spark.checkpoint.dir", None) or (
+            set_on_context.get() if set_on_context.isDefined() else None
+        )
         if not folder:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")

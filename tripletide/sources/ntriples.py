@@ -13,8 +13,9 @@ def read_ntriples(spark: SparkSession, path: str | list[str], mode: str = "stric
     """Triples ``seq, s, p, o, o_kind`` (strict mode adds ``o_datatype, o_lang``).
 
     ``seq`` is the line order over all files, by file path, counting statements
-    only. It takes a first pass that counts the statements of every file split; no
-    row is moved. ``number=False`` leaves it and that pass out.
+    only. For it the parsed lines are written once with their place in their file
+    split, and the splits are counted; no row is shuffled. (Scanning the text twice
+    could cut it into other splits the second time.) ``number=False`` leaves it out.
     """
     if mode not in ("strict", "compat"):
         raise ValueError("mode must be strict or compat")
@@ -26,10 +27,11 @@ def read_ntriples(spark: SparkSession, path: str | list[str], mode: str = "stric
     terms = strict_terms(line) if mode == "strict" else compat_terms(line)
     if not number:
         return lines.select(*terms)
-    placed = lines.withColumn("_at", F.monotonically_increasing_id())
-    starts = split_starts(placed)
+    parsed = lines.select("_file", "_block", F.monotonically_increasing_id().alias("_at"), *terms)
+    placed = store(parsed, "lines").df
     seq = (F.col("_at") - F.col("_first") + F.col("_start")).alias("seq")
-    return placed.join(starts, ["_file", "_block"]).select(seq, *terms)
+    names = [c for c in placed.columns if not c.startswith("_")]
+    return placed.join(split_starts(placed), ["_file", "_block"]).select(seq, *names)
 
 
 def split_starts(placed: DataFrame) -> DataFrame:
