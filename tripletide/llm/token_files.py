@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import os
 import re
-import sys
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,9 +46,9 @@ _FINE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s
 
 
 def _odd_pattern() -> str:
-    """Characters that Python's classes and the tokenizer's Unicode classes see differently."""
+    """Characters of the basic plane that Python's classes and the tokenizer's Unicode classes see differently."""
     odd = []
-    for i in range(sys.maxunicode + 1):
+    for i in range(1 << 16):
         c = chr(i)
         if 0xD800 <= i <= 0xDFFF:
             continue
@@ -72,8 +71,8 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.width = "<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4"
-        special = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
-        self.odd = re.compile("|".join([_odd_pattern(), *special]))
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = re.compile(_odd_pattern())
         spelled = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
         rest = [b for b in range(256) if b not in set(spelled)]
         self.letters = {b: b for b in spelled} | {b: 256 + k for k, b in enumerate(rest)}
@@ -106,8 +105,12 @@ class Encoder:
         held = self.words[piece] = b"".join(out)
         return held
 
+    def _is_odd(self, text: str) -> bool:
+        beyond = len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text)
+        return beyond or any(t in text for t in self.special) or self.odd.search(text) is not None
+
     def encode(self, text: str) -> bytes:
-        if not self.plain or self.odd.search(text):
+        if not self.plain or self._is_odd(text):
             return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
