@@ -10,8 +10,9 @@ ROWS coordinates are bands; classes that share a band are candidates.
 No bucket of candidates is expanded into pairs. Its hub (the class whose bands are the most
 common) is verified against all members. Jaccard distance is a metric, so members that are
 not joined to the hub are then compared with only those members whose distance to the hub
-lies within 1 - threshold of their own, and only where both are not connected yet. Every pair
-of a bucket is therefore verified, excluded by the triangle inequality, or already connected.
+lies within 1 - threshold of their own, only where both are not connected yet, and only if the
+shingles which each shares with any other class of such buckets are enough for the threshold.
+Every pair of a bucket is therefore verified, excluded by a bound, or already connected.
 
 Banding misses a pair at the threshold 0.85 with a chance of (1 - 0.85**5)**26 = 2.4e-7.
 
@@ -133,7 +134,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, with_class: bool = False
     )
     # the sets of candidates only; on large inputs Spark filters the texts by a Bloom filter first
     wanted = central.select("first_id", F.lit(True).alias("wanted"))
-    found = texts.join(wanted.distinct(), texts["doc_id"].eqNullSafe(wanted["first_id"]), "left_semi")
+    wanted = wanted.distinct().hint("merge")  # the same plan at every size
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]), "left_semi")
     sets = found.mapInArrow(_shingled, _SETS).filter("class is not null").dropDuplicates(["class"])
     sets, _ = saved(sets.join(central.select("class"), "class", "left_semi"), "sets")
 
@@ -157,20 +159,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, with_class: bool = False
         )
     )
     placed, _ = saved(placed, "placed")
-    rest = placed.filter("part != hub_part").select(
-        "bucket", F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("far").alias("far_a"), F.col("part").alias("part_a")
-    )
-    others = placed.filter("far > 0").select(
-        "bucket", F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("far").alias("far_b"), F.col("part").alias("part_b")
-    )
+    unsettled = placed.filter("part != hub_part").select("bucket").distinct()
+    pool, _ = saved(placed.join(unsettled, "bucket", "left_semi"), "pool")
+    # a shingle that no other class of these buckets holds is in no intersection
+    held = sets.join(pool.select("class").distinct(), "class", "left_semi").select("class", F.explode("shingles").alias("x"))
+    alone = held.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.first("class").alias("class")).filter("k = 1")
+    alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
+    pool = pool.join(alone, "class", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+    pool, _ = saved(pool.filter(100 * F.col("most") >= percent * F.col("n")), "sharing")
+    rest = pool.filter("part != hub_part").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "most", "far", "part")])
+    others = pool.filter("far > 0").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "most", "far", "part")])
     reach = (100 - percent) / 100 + 1e-9
+    shared_most = F.least("most_a", "most_b")
     pairs = rest.join(
         others,
         (rest["bucket"] == others["bucket"])
         & (F.col("part_a") != F.col("part_b"))
         & (F.abs(F.col("far_a") - F.col("far_b")) <= reach)
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")),
-    ).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        & (100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most)),
+    ).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
     more = _verified(pairs, sets).filter(enough).select("a", "b")
     joined = components(links.unionByName(more))
 
