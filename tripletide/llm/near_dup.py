@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tripletide.llm.components import components
 from tripletide.llm.tables import fresh_name, runs, saved
@@ -212,7 +213,7 @@ def keep_first(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("best")
     best = found.groupBy("component").agg(first)
     best = best.select(F.col("best.doc_id").alias(best_id), F.col("best.class").alias(best_class))
-    named = docs.mapInArrow(_with_class("text", own), docs.withColumn(own, F.lit(b"").cast("binary")).schema)
+    named = docs.mapInArrow(_with_class("text", own), T.StructType([*docs.schema, T.StructField(own, T.BinaryType())]))
     alone = named.filter(F.col(own).isNull()).drop(own)
     kept = named.filter(F.col(own).isNotNull()).join(
         best, F.col(own).eqNullSafe(F.col(best_class)) & F.col("doc_id").eqNullSafe(F.col(best_id)), "left_semi"
