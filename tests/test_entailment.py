@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tests import university
 from tests.university import names, subjects
+from tripletide.operators.ontology import _listed
 from tripletide import (
     TBox,
     close_property,
@@ -163,3 +164,11 @@ def test_classes_defined_by_each_other(spark):
     assert names(instances_of(quads, tbox, "Even")) == {"n0", "n2", "n4", "n6"}
     leaves = explain_leaves(subjects(spark, "n4"), quads, tbox, "Even")
     assert names(leaves, "graph_no") == {4, 5, 6}
+
+
+def test_lists_of_many_repeated_rows_are_whole(spark):
+    rows = spark.range(9000).selectExpr("concat('c', id % 1900) AS cls")
+    listed, known = _listed(rows, "wanted")
+    assert listed.count() == len(known) == 1900
+    listed, known = _listed(spark.range(9000).selectExpr("concat('c', id % 2500) AS cls"), "wanted")
+    assert listed.count() == 2500 and known is None

@@ -29,6 +29,16 @@ def test_strict_lines(spark, tmp_path):
     assert (rows[3].o_datatype, rows[4].o_lang, rows[4].s) == ("http://x/int", "en-GB", "_:b1")
 
 
+def test_long_and_escaped_terms(spark, tmp_path):
+    long = "a long text " * 90_000
+    lines = [f'<http://x/a> <http://x/text> "{long}" .', r"<http://x/\u00E9> <http://x/p\u0041> <http://x/\u00FC> ."]
+    lines.append('<http://x/a> <http://x/text> "' + r"x\n" * 3_000 + '" .')
+    (tmp_path / "1.nt").write_text("\n".join(lines) + "\n")
+    rows = read_ntriples(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.o for r in rows] == [long, "http://x/ü", "x\n" * 3_000]
+    assert (rows[1].s, rows[1].p) == ("http://x/é", "http://x/pA")
+
+
 def test_compat_lines(spark, tmp_path):
     (tmp_path / "1.nt").write_text("\n".join([LINES[0], LINES[2], LINES[3], LINES[7]]) + "\n")
     rows = read_ntriples(spark, str(tmp_path), mode="compat").orderBy("seq").collect()

@@ -6,9 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The parts of a line in the N-Triples grammar.
-_RESOURCE = r"(?:<([^<>\"{}|^`\\\x00-\x20]*)>|(_:[^\s<>\"]+))"
-_LITERAL = r'"((?:[^"\\\n\r]|\\.)*)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
-LINE = rf"^\s*{_RESOURCE}\s*<([^<>\s]*)>\s*(?:{_RESOURCE}|{_LITERAL})\s*\.\s*(?:#.*)?$"
+# Possessive runs keep the matcher's stack flat on long terms.
+_IRI = r"[^<>\"{}|^`\\\x00-\x20]*+(?:\\(?:u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8})[^<>\"{}|^`\\\x00-\x20]*+)*+"
+_RESOURCE = rf"(?:<({_IRI})>|(_:[^\s<>\"]+))"
+_LITERAL = r'"([^"\\\n\r]*+(?:\\.[^"\\\n\r]*+)*+)"(?:\^\^<([^<>\s]*)>|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?'
+LINE = rf"^\s*{_RESOURCE}\s*<({_IRI})>\s*(?:{_RESOURCE}|{_LITERAL})\s*\.\s*(?:#.*)?$"
 
 
 def is_statement(line: Column) -> Column:
@@ -28,11 +30,11 @@ def unescape(text: Column) -> Column:
 
 def strict_terms(line: Column) -> list[Column]:
     """s, p, o, o_kind, o_datatype, o_lang by the grammar."""
-    resource = F.concat(_part(line, 4), _part(line, 5))
+    resource = F.concat(unescape(_part(line, 4)), _part(line, 5))
     is_resource = resource != ""
     return [
-        F.concat(_part(line, 1), _part(line, 2)).alias("s"),
-        _part(line, 3).alias("p"),
+        F.concat(unescape(_part(line, 1)), _part(line, 2)).alias("s"),
+        unescape(_part(line, 3)).alias("p"),
         F.when(is_resource, resource).otherwise(unescape(_part(line, 6))).alias("o"),
         F.when(is_resource, "iri").otherwise("lit").alias("o_kind"),
         F.nullif(_part(line, 7), F.lit("")).alias("o_datatype"),

@@ -154,7 +154,7 @@ def path_links(facts: Facts, goal: Goal, by: Sequence[str], leaves: bool = False
     if facts.links is None:
         return None
     links = facts.links.select(cols)
-    if facts.edges is None:
+    if facts.edges is None or goal.rules is None:
         return links
     edges = facts.edges
     pairs = closure(edges.select(*by, "via", "src", "dst"), by=[*by, "via"])

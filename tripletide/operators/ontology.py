@@ -327,9 +327,10 @@ def goal_for(spark: SparkSession, tbox: TBox, *classes: str, explained: tuple[st
 
 def _listed(df: DataFrame, name: str) -> tuple[DataFrame, list | None]:
     """The distinct rows, marked for broadcast when small, and as a list when they are few."""
-    rows = list(dict.fromkeys(df.limit(LISTED_ROWS + 1).collect()))
+    df = df.distinct()
+    rows = df.limit(LISTED_ROWS + 1).collect()
     if len(rows) > LISTED_ROWS:
-        return store(df.distinct(), name).hinted(), None
+        return store(df, name).hinted(), None
     return F.broadcast(literal_rows(df.sparkSession, [tuple(r) for r in rows], df.schema)), rows
 
 

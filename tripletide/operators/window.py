@@ -23,15 +23,15 @@ def seconds(n: Column | int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), n.cast("decimal(18,6)"))
 
 
-def random_ttl(seed: int | None = None) -> Column:
-    """Uniform 1 .. 25000 seconds."""
-    return (F.floor(F.rand(seed) * MAX_TTL_SECONDS) + 1).cast("bigint")
+def random_ttl(seed: int = 0, by: Sequence[str] = ()) -> Column:
+    """Uniform 1 .. 25000 seconds, the same for a graph whenever it is computed again."""
+    return F.pmod(F.xxhash64(F.lit(seed), *by, "graph_no"), F.lit(MAX_TTL_SECONDS)) + 1
 
 
 def assign_ttl(quads: DataFrame, ttl: Column | None = None, by: Sequence[str] = (), ts: str = "ts") -> DataFrame:
     """Window entries: a graph arrives with its last triple and expires ``ttl`` seconds later."""
     arrived = quads.groupBy(*by, "graph_no").agg(F.max(ts).alias("arrival_ts"))
-    ttl = random_ttl() if ttl is None else ttl
+    ttl = random_ttl(by=by) if ttl is None else ttl
     return arrived.select(
         *by,
         "graph_no",
