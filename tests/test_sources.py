@@ -1,10 +1,12 @@
 """Readers and writers on small files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.university import AXIOM_ROWS, names
 from tripletide import read_bench, read_ntriples, read_ontology, read_quads, read_truth, write_metrics, write_quads
 from tests import university
+from tripletide.sources.ntriples import rejected_lines
 
 LINES = [
     '<http://x/a> <http://x/name> "Full name" .',
@@ -39,6 +41,26 @@ def test_long_and_escaped_terms(spark, tmp_path):
     assert (rows[1].s, rows[1].p) == ("http://x/é", "http://x/pA")
 
 
+def test_characters_above_the_basic_plane(spark, tmp_path):
+    line = r'<http://x/a> <http://x/says> "smile \U0001F600 \n \U00000022 \\U0001F600" .'
+    (tmp_path / "1.nt").write_text(line + "\n")
+    assert [r.o for r in read_ntriples(spark, str(tmp_path)).collect()] == ['smile \U0001F600 \n " \\U0001F600']
+
+
+def test_bad_lines_fail_or_are_returned(spark, tmp_path):
+    (tmp_path / "1.nt").write_text("\n".join([*LINES, "<http://x/a> no statement ."]) + "\n")
+    with pytest.raises(Exception, match="not an N-Triples statement"):
+        read_ntriples(spark, str(tmp_path), number=False).collect()
+    assert read_ntriples(spark, str(tmp_path), on_error="rejects").count() == 6
+    assert [r.line for r in rejected_lines(spark, str(tmp_path)).collect()] == ["<http://x/a> no statement ."]
+
+
+def test_predicates_stay_text(spark, tmp_path):
+    rows = [(1, "a", "2024", "b", "iri"), (2, "a", "007", "b", "iri")]
+    write_quads(spark.createDataFrame(rows, "graph_no long, s string, p string, o string, o_kind string"), f"{tmp_path}/q")
+    assert {r.p for r in read_quads(spark, f"{tmp_path}/q").collect()} == {"2024", "007"}
+
+
 def test_compat_lines(spark, tmp_path):
     (tmp_path / "1.nt").write_text("\n".join([LINES[0], LINES[2], LINES[3], LINES[7]]) + "\n")
     rows = read_ntriples(spark, str(tmp_path), mode="compat").orderBy("seq").collect()

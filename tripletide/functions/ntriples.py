@@ -17,12 +17,24 @@ def is_statement(line: Column) -> Column:
     return line.rlike(LINE)
 
 
+def is_blank(line: Column) -> Column:
+    """Lines that state nothing by the grammar: empty ones and remarks."""
+    return line.rlike(r"^\s*(?:#.*)?$")
+
+
 def _part(line: Column, group: int) -> Column:
     return F.regexp_extract(line, LINE, group)
 
 
 def unescape(text: Column) -> Column:
-    r"""Decodes ``\n \t \" \\`` and ``\uXXXX`` by reading the text as a JSON string."""
+    r"""Decodes ``\n \t \" \\``, ``\uXXXX`` and ``\UXXXXXXXX`` by reading the text as a JSON string."""
+    # JSON has no long form: up to U+FFFF it becomes the short one, above it the character itself
+    tokens = F.regexp_extract_all(text, F.lit(r"\\U[0-9A-Fa-f]{8}|\\.|[^\\]++"), F.lit(0))
+    digits = lambda t: F.substr(t, F.lit(3), F.lit(8))
+    short = F.transform(tokens, lambda t: F.when(
+        t.startswith("\\U0000"), F.concat(F.lit("\\u"), F.substr(t, F.lit(7), F.lit(4)))
+    ).when(t.startswith("\\U"), F.decode(F.unhex(digits(t)), "UTF-32")).otherwise(t))
+    text = F.when(text.contains("\\U"), F.array_join(short, "")).otherwise(text)
     body = F.replace(text, F.lit("\\'"), F.lit("'"))
     decoded = F.get_json_object(F.concat(F.lit('{"v":"'), body, F.lit('"}')), "$.v")
     return F.when(text.contains("\\"), F.coalesce(decoded, text)).otherwise(text)

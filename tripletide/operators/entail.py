@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripletide.operators.closure import closure
-from tripletide.operators.joins import input_bytes, skew_join
+from tripletide.operators.joins import skew_join
 from tripletide.operators.ontology import Goal, TBox, cue_of, goal_for, property_paths
-from tripletide.scratch import BROADCAST_BYTES, pin, store
+from tripletide.scratch import pin, store
 
 LEAF = ("leaf_s", "leaf_p", "leaf_o")
 
@@ -25,7 +25,7 @@ LEAF = ("leaf_s", "leaf_p", "leaf_o")
 
 def propagate_types(types: DataFrame, order: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """(node, cls) extended to all super-classes in ``order`` (sub, sup)."""
-    above = types.join(F.broadcast(order) if input_bytes(order) <= BROADCAST_BYTES else order, F.col("cls") == F.col("sub"))
+    above = types.join(pin(order.select("sub", "sup"), "order").hinted(), F.col("cls") == F.col("sub"))
     return types.select(*by, "node", "cls").unionByName(above.select(*by, "node", F.col("sup").alias("cls"))).distinct()
 
 
@@ -102,12 +102,13 @@ class Facts:
 
     def for_goal(self, goal: Goal) -> Facts:
         """Only what the goal rests on, when these facts were gathered for several goals."""
-        if goal.needs is None:
-            return self
-        links = self.links
-        if links is not None:
-            links = None if goal.rules is None else links.filter(F.col("need").isin(*goal.needs))
-        return Facts(self.evidence.filter(F.col("cls").isin(*goal.needs)), links, self.edges if goal.steps is not None else None)
+        def among(df: DataFrame, column: str) -> DataFrame:
+            if goal.needs is not None:
+                return df.filter(F.col(column).isin(*goal.needs))
+            return df.join(goal.wanted.toDF(column), column, "left_semi").select(df.columns)
+
+        links = None if self.links is None or goal.rules is None else among(self.links, "need")
+        return Facts(among(self.evidence, "cls"), links, self.edges if goal.steps is not None else None)
 
 
 def facts_of(quads: DataFrame, goal: Goal, keep: Sequence[str] = ()) -> Facts:

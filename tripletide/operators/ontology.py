@@ -261,12 +261,14 @@ class Goal:
     ``cues``, ``rules`` and ``steps`` (predicates feeding transitive properties that
     rules follow) are marked for broadcast when measured small. ``rounds`` is how
     often the rules have to be applied, or None when they depend on each other in a
-    circle. ``needs`` lists the wanted classes and those looked up on the way, ``far``
-    and ``near`` those looked up at either end of a link. The ``_filter`` columns keep
-    only triples that can matter, as plain comparisons that reach the file scan. All
-    of these lists are None when they would be long.
+    circle. ``wanted`` (cls) and ``needs`` hold the wanted classes and those looked up
+    on the way, ``far`` and ``near`` list those looked up at either end of a link. The
+    ``_filter`` columns keep only triples that can matter, as plain comparisons that
+    reach the file scan. Lists and filters are None when they would be long: joins with
+    the tables do the same then, and the results are equal.
     """
 
+    wanted: DataFrame
     needs: tuple[str, ...] | None
     cues: DataFrame
     rules: DataFrame | None
@@ -312,6 +314,7 @@ def goal_for(spark: SparkSession, tbox: TBox, *classes: str, explained: tuple[st
         return None if rows is None else tuple(sorted({v for v in map(value, rows) if v is not None}))
 
     return Goal(
+        wanted=wanted,
         needs=listed(cue_rows, lambda r: r["cls"]),
         cues=cues,
         rules=rules,

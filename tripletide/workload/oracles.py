@@ -294,9 +294,14 @@ WHERE graph_no >= 3 AND graph_no < 3 + {SIZE} - coalesce(c, 0)""",
     "evict_fefo": evicted("expire_ts"),
     "evict_lru": evicted("arrival_ts"),
     "evict_lfu": evicted("use_count"),
-    "evict_net_of_expired": evicted(
-        "expire_ts", "5 - coalesce((SELECT count(*) FROM timed t WHERE t.user_id = r.user_id AND expire_ts < now AND graph_no < 4), 0)"
-    ),
+    "evict_net_of_expired": f"""{USERS}, first AS (
+  SELECT *, max(arrival_ts) OVER (PARTITION BY user_id) AS clock FROM entries WHERE graph_no < {SIZE}),
+counts AS (SELECT user_id, count(*) FILTER (expire_ts < clock) AS gone, count(*) FILTER (expire_ts >= clock) AS held FROM first GROUP BY user_id),
+filled AS (SELECT user_id, graph_no, expire_ts FROM first WHERE expire_ts >= clock UNION ALL
+  SELECT e.user_id, e.graph_no, e.expire_ts FROM entries e JOIN counts c USING (user_id)
+  WHERE e.graph_no >= {SIZE} AND e.graph_no < 2 * {SIZE} - c.held),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY expire_ts, graph_no) AS rn FROM filled)
+SELECT user_id, graph_no FROM ranked JOIN counts USING (user_id) WHERE rn <= 5 - gone""",
     "evict_all": f"""WITH {quads()} SELECT graph_no // {SIZE} AS epoch, count(DISTINCT graph_no) AS n_graphs, count(*) AS n_triples
 FROM q GROUP BY 1""",
     "drop_graphs": f"""WITH {quads()}, {ENTRIES} SELECT graph_no, s, p, o FROM q WHERE graph_no IN (

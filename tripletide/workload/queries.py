@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripletide.operators.closure import close_property, closure
@@ -66,14 +66,18 @@ def match_distinct(spark, sf_dir):
 
 
 def kind_quads(spark, sf_dir):
-    """(user, did, class of event): many graphs repeat the same triple. With background rows."""
+    """(user, did, class of event): many graphs repeat the same triple."""
     quads = event_triples(table(spark, sf_dir, "events")).filter(is_typing())
     kinds = quads.select(
         F.expr(f"pos div {N}").alias("graph_no"),
         F.concat(F.lit("u:"), F.col("user_id").cast("string")).alias("s"),
         F.lit("p:did").alias("p"), "o", "o_kind",
     )
-    return kinds.unionByName(background(spark), allowMissingColumns=True)
+    return kinds
+
+
+def kind_quads_on_background(spark, sf_dir):
+    return kind_quads(spark, sf_dir).unionByName(background(spark), allowMissingColumns=True)
 
 
 def background(spark):
@@ -85,12 +89,12 @@ def background(spark):
 
 @query("match_all_graphs")
 def match_all_graphs(spark, sf_dir):
-    return match(kind_quads(spark, sf_dir))
+    return match(kind_quads_on_background(spark, sf_dir))
 
 
 @query("match_graph_var")
 def match_graph_var(spark, sf_dir):
-    return match(kind_quads(spark, sf_dir), graph=True)
+    return match(kind_quads_on_background(spark, sf_dir), graph=True)
 
 
 @query("bgp_join")
@@ -278,13 +282,14 @@ def window_fill(spark, sf_dir):
     return fill(entries, entries.filter("graph_no < 3 and use_count > 0"), SIZE, 3, by=["user_id"])
 
 
-def at_last_arrival() -> Column:
-    return F.max("arrival_ts").over(Window.partitionBy("user_id"))
+def at_last_arrival(entries: DataFrame) -> DataFrame:
+    """Every entry with the latest arrival of its user, ``now``."""
+    return entries.join(entries.groupBy("user_id").agg(F.max("arrival_ts").alias("now")), "user_id")
 
 
 @query("expire")
 def expire_query(spark, sf_dir):
-    entries = user_entries(spark, sf_dir).withColumn("now", at_last_arrival())
+    entries = at_last_arrival(store(user_entries(spark, sf_dir), "entries").df)
     live, gone = expire(entries, F.col("now"))
     return live.withColumn("state", F.lit("live")).unionByName(gone.withColumn("state", F.lit("expired"))).select(
         "user_id", "graph_no", "state"
@@ -298,12 +303,8 @@ def window_trace(spark, sf_dir):
     return trace(entries, now, "events", 0)
 
 
-def _evicted(spark, sf_dir, policy: str, n_expired=0) -> DataFrame:
-    entries = store(user_entries(spark, sf_dir), "entries").df
-    if n_expired == "counted":
-        _, gone = expire(entries.withColumn("now", at_last_arrival()), F.col("now"))
-        n_expired = gone.filter("graph_no < 4").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_expired"))
-    _, out = evict(entries, policy, 5, n_expired, key="user_id")
+def _evicted(spark, sf_dir, policy: str) -> DataFrame:
+    _, out = evict(store(user_entries(spark, sf_dir), "entries").df, policy, 5, key="user_id")
     return out.select("user_id", "graph_no")
 
 
@@ -324,14 +325,22 @@ def evict_lfu(spark, sf_dir):
 
 @query("evict_net_of_expired")
 def evict_net_of_expired(spark, sf_dir):
-    return _evicted(spark, sf_dir, "FEFO", "counted")
+    """A step of every user's first window: expire, refill, and evict what is left of five."""
+    entries = store(user_entries(spark, sf_dir), "entries").df
+    live, gone = expire(at_last_arrival(entries.filter(f"graph_no < {SIZE}")), F.col("now"))
+    n_expired = gone.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_expired"))
+    window = fill(entries, live.select(entries.columns), SIZE, SIZE, by=["user_id"])
+    _, out = evict(window, "FEFO", 5, n_expired, key="user_id")
+    return out.select("user_id", "graph_no")
 
 
 @query("evict_all")
 def evict_all(spark, sf_dir):
-    """A window that loses everything each step is a tumbling window: plain grouping."""
-    quads = event_quads(spark, sf_dir).withColumn("epoch", F.expr(f"graph_no div {SIZE}"))
-    return quads.groupBy("epoch").agg(
+    """A window that loses everything each step is a tumbling window: its evicted graphs by step."""
+    quads = event_quads(spark, sf_dir)
+    entries = store(clock_entries(quads), "entries").df.withColumn("epoch", F.expr(f"graph_no div {SIZE}"))
+    _, out = evict(entries, "FEFO", SIZE, size=SIZE, key="epoch")
+    return quads.join(out.select("epoch", "graph_no"), "graph_no").groupBy("epoch").agg(
         F.countDistinct("graph_no").alias("n_graphs"), F.count(F.lit(1)).alias("n_triples")
     )
 
