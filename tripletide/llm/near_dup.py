@@ -8,10 +8,10 @@ is filled even by a single shingle; a coordinate keeps its least (round, hash).
 ROWS coordinates are bands; classes that share a band are candidates.
 
 No bucket of candidates is expanded into pairs. Its hub (the class whose bands are the most
-common) is verified against all members. Jaccard distance is a metric, so members that are
-not joined to the hub are then compared with only those members whose distance to the hub
-lies within 1 - threshold of their own, only where both are not connected yet, and only if the
-shingles which each shares with any other class of such buckets are enough for the threshold.
+common) is verified against all members. A member that is not joined to the hub can be linked only
+with members that differ from the hub in some of the same shingles. So these differences, rarest
+first, are joined by shingle instead: only as many of each set as a link needs, and only if the
+places of the common shingle leave room for enough others.
 Every pair of a bucket is therefore verified, excluded by a bound, or already connected.
 
 Banding misses a pair at the threshold 0.85 with a chance of (1 - 0.85**5)**26 = 2.4e-7.
@@ -29,12 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tripletide.llm.components import components
-from tripletide.llm.tables import fresh_name, runs, saved
+from tripletide.llm.tables import dropped, fresh_name, runs, saved
 from tripletide.llm.words import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -105,6 +105,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, n: str = "shingles") -> DataFra
     return both.select("a", "b", shared.alias("shared"), (F.size("set_a") + F.size("set_b") - shared).alias("joined"))
 
 
+def _differences(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A row per class and shingle in which it differs from its hub, rarest first by ``place``.
+
+    With D the differences from the hub H, two sets are linked only if 2 |Da & Db| >= |Da| + |Db|
+    - r (|A| + |B|), where r = (100 - percent) / (100 + percent). If A is not linked to H, this is at
+    least (1 - r) |Db|, and at least |Da| - r (|A| + |H|) + (1 - r). So the first ``reach`` places of A
+    and the first ``near_reach`` places of B hold a common shingle.
+    """
+    left = sets.select(F.col("class").alias("hub"), F.col("shingles").alias("of_hub"))
+    both = spokes.join(left, "hub").join(sets, "class")
+    found = both.select(
+        "hub", "class", "part", "apart", F.size("shingles").cast("long").alias("n"),
+        (F.col("joined") + F.col("shared")).alias("total"), (F.col("joined") - F.col("shared")).alias("differ"),
+        F.explode(F.concat(F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles"))).alias("x"),
+    )
+    found, _ = saved(found, "differing")
+    held = found.groupBy("hub", "x").agg(F.count(F.lit(1)).alias("k"))
+    place = F.row_number().over(Window.partitionBy("hub", "class").orderBy("k", "x"))
+    whole = 100 + percent
+    near_least = F.ceil(percent * F.col("differ") / whole - 1e-9)
+    least = F.ceil((whole * F.col("differ") - (100 - percent) * F.col("total") + 2 * percent) / (2 * whole) - 1e-9)
+    return found.join(held, ["hub", "x"]).withColumn("place", place).filter("k > 1").select(
+        "hub", "class", "part", "apart", "n", "differ", "x", "place",
+        (F.col("differ") - F.greatest(least, F.lit(1)) + 1).alias("reach"),
+        (F.col("differ") - F.greatest(near_least, F.lit(1)) + 1).alias("near_reach"),
+    )
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, with_class: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs`` (doc_id, text).
 
@@ -118,66 +146,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85, with_class: bool = False
         .groupBy("class")
         .agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     )
-    rows, _ = saved(
+    rows, rows_at = saved(
         classes.select("class", "n", "first_id", F.posexplode("bands").alias("band", "mark")).select(
             "class", "n", "first_id", F.xxhash64("band", "mark").alias("bucket")
         ),
         "bands",
     )
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared, _ = saved(rows.join(buckets, "bucket"), "buckets")
+    shared, shared_at = saved(rows.join(buckets, "bucket"), "buckets")
+    dropped(docs.sparkSession, rows_at)
     # the more common its bands, the nearer a class is to the middle of its group
     central = shared.groupBy("class").agg(F.sum("size").alias("weight"), F.first("first_id").alias("first_id"))
     weighted = shared.select("class", "n", "bucket").join(central.select("class", "weight"), "class")
     hubs = weighted.groupBy("bucket").agg(F.max_by(F.col("class"), F.struct("weight", "class")).alias("hub"))
-    members, _ = saved(
-        weighted.select("class", "n", "bucket").join(hubs, "bucket").select("bucket", "class", "n", "hub"), "members"
-    )
+    members, members_at = saved(weighted.select("class", "bucket").join(hubs, "bucket").select("class", "hub").distinct(), "members")
     # the sets of candidates only; on large inputs Spark filters the texts by a Bloom filter first
     wanted = central.select("first_id", F.lit(True).alias("wanted"))
     wanted = wanted.distinct().hint("merge")  # the same plan at every size
     found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["first_id"]), "left_semi")
     sets = found.mapInArrow(_shingled, _SETS).filter("class is not null").dropDuplicates(["class"])
     sets, _ = saved(sets.join(central.select("class"), "class", "left_semi"), "sets")
+    dropped(docs.sparkSession, shared_at)
 
     enough = F.lit(100) * F.col("shared") >= F.lit(percent) * F.col("joined")
     stars = members.filter("class != hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
     star, _ = saved(_verified(stars, sets).withColumn("linked", enough), "stars")
+    dropped(docs.sparkSession, members_at)
     links = star.filter("linked").select("a", "b")
     group = components(links)
 
-    # Members outside their hub's component, against members as far from the hub as they are.
+    # Members outside their hub's component, against all members of the hub by shared differences.
     label = group.select(F.col("id").alias("class"), F.col("component").alias("part"))
     hub_label = group.select(F.col("id").alias("hub"), F.col("component").alias("hub_part"))
-    far = star.select(F.col("a").alias("hub"), F.col("b").alias("class"), (1 - F.col("shared") / F.col("joined")).alias("far"))
-    placed = (
-        members.join(far, ["hub", "class"], "left")
-        .join(label, "class", "left")
-        .join(hub_label, "hub", "left")
-        .select(
-            "bucket", "class", "n", F.coalesce("far", F.lit(0.0)).alias("far"),
-            F.coalesce("part", "class").alias("part"), F.coalesce("hub_part", "hub").alias("hub_part"),
-        )
-    )
-    placed, _ = saved(placed, "placed")
-    unsettled = placed.filter("part != hub_part").select("bucket").distinct()
-    pool, _ = saved(placed.join(unsettled, "bucket", "left_semi"), "pool")
-    # a shingle that no other class of these buckets holds is in no intersection
-    held = sets.join(pool.select("class").distinct(), "class", "left_semi").select("class", F.explode("shingles").alias("x"))
-    alone = held.groupBy("x").agg(F.count(F.lit(1)).alias("k"), F.first("class").alias("class")).filter("k = 1")
-    alone = alone.groupBy("class").agg(F.count(F.lit(1)).alias("alone"))
-    pool = pool.join(alone, "class", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    pool, _ = saved(pool.filter(100 * F.col("most") >= percent * F.col("n")), "sharing")
-    rest = pool.filter("part != hub_part").select("bucket", *[F.col(c).alias(f"{c}_a") for c in ("class", "n", "most", "far", "part")])
-    others = pool.filter("far > 0").select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("class", "n", "most", "far", "part")])
-    reach = (100 - percent) / 100 + 1e-9
-    shared_most = F.least("most_a", "most_b")
+    spokes = star.select(F.col("a").alias("hub"), F.col("b").alias("class"), "shared", "joined")
+    spokes = spokes.join(label, "class", "left").join(hub_label, "hub", "left")
+    part, hub_part = F.coalesce("part", "class"), F.coalesce("hub_part", "hub")
+    spokes, _ = saved(spokes.select("hub", "class", "shared", "joined", part.alias("part"), (part != hub_part).alias("apart")), "spokes")
+    unsettled = spokes.filter("apart").select("hub").distinct()
+    ranked, _ = saved(_differences(spokes.join(unsettled, "hub", "left_semi"), sets, percent), "differences")
+    columns = ("class", "part", "apart", "n", "differ", "place")
+    rest = ranked.filter("apart and place <= reach").select("hub", "x", *[F.col(c).alias(f"{c}_a") for c in columns])
+    others = ranked.filter("place <= near_reach").select("hub", "x", *[F.col(c).alias(f"{c}_b") for c in columns])
+    common = 1 + F.least(F.col("differ_a") - F.col("place_a"), F.col("differ_b") - F.col("place_b"))
+    needed = (100 + percent) * (F.col("differ_a") + F.col("differ_b")) - (100 - percent) * (F.col("n_a") + F.col("n_b"))
     pairs = rest.join(
         others,
-        (rest["bucket"] == others["bucket"])
-        & (F.col("part_a") != F.col("part_b"))
-        & (F.abs(F.col("far_a") - F.col("far_b")) <= reach)
-        & (100 * shared_most >= percent * (F.col("n_a") + F.col("n_b") - shared_most)),
+        (rest["hub"] == others["hub"]) & (rest["x"] == others["x"]) & (F.col("part_a") != F.col("part_b"))
+        & (2 * (100 + percent) * common >= needed),
     ).select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
     more = _verified(pairs, sets).filter(enough).select("a", "b")
     joined = components(links.unionByName(more))
