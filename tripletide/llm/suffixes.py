@@ -7,7 +7,8 @@ Suffixes whose seed occurs once end there. The others are sorted by seed and by
 follows it; neighbours of different documents are compared and their match is extended to the
 right and to the left. A suffix can share passages with documents that are not its neighbours,
 so where a neighbour's match leaves a window of PASSAGE words around a seed uncovered, all
-windows around that seed are looked up by their hashes. Spans of a document are merged at the end.
+windows around that seed are looked up by their hashes, once for all suffixes with equal words
+around their seed. Spans of a document are merged at the end.
 
 The sort is a range partitioning by seed, following words and document, so a passage that a
 third of all documents share is spread over tasks; the first and last suffixes of the partitions are
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -153,22 +153,22 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of all windows of PASSAGE words around each seed."""
+    """Hashes of all windows of PASSAGE words around each seed; ``back`` counts the words before it."""
     for batch in batches:
-        docs, starts, marks = [], [], []
-        for r in zip(*[batch.column(c).to_pylist() for c in ("seed", "after", "before", "doc", "at")]):
-            seed, after, before, doc, at = r
+        n, backs, marks = [], [], []
+        for seed, after, before in zip(*[batch.column(c).to_pylist() for c in ("seed", "after", "before")]):
             a, b = np.frombuffer(after, ">u4").astype(np.uint64), np.frombuffer(before, ">u4").astype(np.uint64)
             after_to = np.concatenate([np.zeros(1, np.uint64), np.cumsum((a + _U(1)) * _PLACES[: len(a)])])
             before_to = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + _U(1)) * _PLACES[REACH : REACH + len(b)])])
             back = np.arange(max(0, REACH - len(a)), min(REACH, len(b)) + 1)
-            if len(back):
-                h = mix(mix(before_to[back], 1) + mix(after_to[REACH - back], 2) + _U(seed & 0xFFFFFFFFFFFFFFFF))
-                docs.append(np.full(len(back), doc, np.int64))
-                starts.append((at - back).astype(np.int32))
-                marks.append(h.view(np.int64))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (docs, starts, marks)], ["doc", "start", "mark"])
+            h = mix(mix(before_to[back], 1) + mix(after_to[REACH - back], 2) + _U(seed & 0xFFFFFFFFFFFFFFFF)) if len(back) else np.zeros(0, np.uint64)
+            n.append(len(back))
+            backs.append(back.astype(np.int8))
+            marks.append(h.view(np.int64))
+        if n:
+            row = pa.array(np.repeat(np.arange(len(n)), n))
+            found = [batch.column(c).take(row) for c in ("context", "one", "two")]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(np.concatenate(backs)), pa.array(np.concatenate(marks))], ["context", "one", "two", "back", "mark"])
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,22 +182,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_SPAN = "doc_id long, start int, end int, n_words int, other_id long"
-
-
-def _merged(key, rows: pd.DataFrame) -> pd.DataFrame:
-    """The spans of one document, overlapping ones as one."""
-    rows = rows.sort_values(["start", "end"])
-    start, end = rows["start"].to_numpy(), rows["end"].to_numpy()
-    until = np.maximum.accumulate(end)
-    new = np.concatenate([[True], start[1:] > until[:-1]])
-    cut = np.flatnonzero(new)
-    out = pd.DataFrame({"start": start[cut], "end": np.maximum.reduceat(end, cut)})
-    out.insert(0, "doc_id", rows["doc_id"].iloc[0])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    out["n_words"] = out["end"] - out["start"]
-    out["other_id"] = rows["other_id"].astype("Int64").groupby(np.cumsum(new)).min().to_numpy()
-    return out
+def _merged(spans: DataFrame) -> DataFrame:
+    """The spans of each document, overlapping ones as one."""
+    order = Window.partitionBy("doc").orderBy("start", "end")
+    until = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begun = spans.withColumn("new", F.coalesce(F.col("start") > until, F.lit(True)).cast("int"))
+    numbered = begun.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = numbered.groupBy("doc", "part").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"), F.min("other_id").alias("other_id")
+    )
+    return whole.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("start", "end")], (F.col("end") - F.col("start")).cast("int").alias("n_words"), "other_id")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -229,12 +223,23 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     most = F.least(F.lit(REACH), F.octet_length("before") / 4)  # words a window may begin before the seed
     least = F.greatest(F.lit(0), REACH - F.octet_length("after") / 4)
     covered = F.coalesce((most <= F.col("left")) & (REACH - least <= F.col("right")), F.lit(False))
-    left_open = suffixes.join(best, ["doc", "at"], "left").filter((least <= most) & ~covered).select("seed").distinct()
-    open_, _ = saved(suffixes.join(left_open, "seed", "left_semi").mapInArrow(_windows, "doc long, start int, mark long"), "windows")
-    shared = open_.groupBy("mark").agg(F.min("doc").alias("one"), F.max("doc").alias("two")).filter("one != two")
-    late = open_.join(shared, "mark").select(
-        "doc", "start", (F.col("start") + PASSAGE).alias("end"), F.when(F.col("doc") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other")
-    ).distinct()
+    context = F.xxhash64("seed", "after", "before")
+    uncovered = suffixes.join(best, ["doc", "at"], "left").filter((least <= most) & ~covered)
+    uncovered, _ = saved(uncovered.select("seed", context.alias("context"), "doc", "at"), "uncovered")
+    # equal contexts have equal windows: they are looked up once for all documents that hold them
+    asked = suffixes.join(uncovered.select("seed").distinct(), "seed", "left_semi")
+    asked = asked.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
+    asked = asked.select(context.alias("context"), "seed", "after", "before", "one", "two")
+    open_, _ = saved(asked.mapInArrow(_windows, "context long, one long, two long, back byte, mark long"), "windows")
+    shared = open_.groupBy("mark").agg(F.min("one").alias("least"), F.max("two").alias("most")).filter("least != most")
+    # all windows around a seed overlap, so those that others hold make one span
+    wide = open_.select("context", "back", "mark").join(shared, "mark").groupBy("context").agg(
+        F.min("back").alias("low"), F.max("back").alias("high"), F.min("least").alias("one"), F.max("most").alias("two")
+    )
+    late = uncovered.join(wide, "context").select(
+        "doc", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + PASSAGE).alias("end"),
+        F.when(F.col("doc") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"),
+    )
     early = matches.select("doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + SEED + F.col("right")).alias("end"), "other")
     found = early.unionByName(late).groupBy("doc", "start", "end").agg(F.min("other").alias("other"))
     names = keyed.select("doc", "doc_id").join(chosen.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
@@ -242,4 +247,4 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     other = names.select(F.col("doc").alias("other"), F.col("doc_id").alias("other_id"))
     spans = found.join(names, "doc").join(other, "other", "left").select("doc", "doc_id", "start", "end", "other_id")
     twice = keyed.join(names.filter("rows > 1").select("doc"), "doc").dropDuplicates(["doc"]).mapInArrow(_counted, "doc long, doc_id long, start int, end int, other_id long")
-    return spans.unionByName(twice).groupBy("doc").applyInPandas(_merged, _SPAN)
+    return _merged(spans.unionByName(twice))
