@@ -204,7 +204,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     seeds, _ = saved(keyed.select("doc", "text").mapInArrow(_seeded, "doc long, at int, seed long"), "seeds")
     # a row that is there twice has every seed twice, all in one document
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    chosen = seeds.join(often, "seed", "left_semi").distinct().groupBy("doc").agg(F.collect_list(F.struct("at", "seed")).alias("s"))
+    often, _ = saved(often, "often")  # a table of its own, so that a seed of very many suffixes can be split in the join
+    chosen = seeds.join(often, "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("at", "seed")).alias("s"))
     chosen = chosen.select("doc", F.col("s.at").alias("places"), F.col("s.seed").alias("seeds"))
     texts = keyed.join(chosen, "doc").select("doc_id", "doc", "text", "places", "seeds")
     suffixes = texts.mapInArrow(_contexts, _SUFFIX).dropDuplicates(["doc", "at"])
@@ -227,7 +228,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     uncovered = suffixes.join(best, ["doc", "at"], "left").filter((least <= most) & ~covered)
     uncovered, _ = saved(uncovered.select("seed", context.alias("context"), "doc", "at"), "uncovered")
     # equal contexts have equal windows: they are looked up once for all documents that hold them
-    asked = suffixes.join(uncovered.select("seed").distinct(), "seed", "left_semi")
+    asked_seeds, _ = saved(uncovered.select("seed").distinct(), "open-seeds")
+    asked = suffixes.join(asked_seeds, "seed", "left_semi")
     asked = asked.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
     asked = asked.select(context.alias("context"), "seed", "after", "before", "one", "two")
     open_, _ = saved(asked.mapInArrow(_windows, "context long, one long, two long, back byte, mark long"), "windows")
