@@ -16,6 +16,9 @@ from tripletide.llm.tables import saved, table
 from tripletide.llm.templates import without_leaks
 from tripletide.llm.token_files import token_digest
 
+# Documents that share so many hundredths of their five-word shingles, or more, are near-duplicates.
+NEAR = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -24,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return keep_first(docs)
+    return keep_first(docs, percent=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

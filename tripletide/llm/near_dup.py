@@ -2,7 +2,7 @@
 
 A document is the set of its distinct five-word shingles (`words` of bytes other than white
 space, A-Z lower-cased). Equal sets make one class at once, so copies are compared once. Each
-class is sketched in rounds: in the first COORDINATES rounds every shingle falls into a random
+class is sketched in rounds: in as many rounds as there are coordinates every shingle falls into a random
 coordinate, in the following ones into the coordinate of the round, so that every coordinate
 is filled even by a single shingle; a coordinate keeps its least (round, hash). Rows of
 ROWS coordinates are bands; classes that share a band are candidates.
@@ -14,7 +14,8 @@ first, are joined by shingle instead: only as many of each set as a link needs,
 places of the common shingle leave room for enough others.
 Every pair of a bucket is therefore verified, excluded by a bound, or already connected.
 
-Banding misses a pair at the threshold 0.85 with a chance of (1 - 0.85**5)**26 = 2.4e-7.
+The number of bands follows from the threshold t, so that banding misses a pair at t with a chance
+(1 - t**5)**bands of at most MISSED: 26 bands (2.4e-7) at 0.85, 39 (1.9e-7) at 0.80.
 
 Cases: a text without words, or null, has no shingles and links with nothing; a shorter text
 has its whole sequence as its only shingle. Documents with a null id take part in links; they
@@ -25,6 +26,7 @@ table gives an empty result. Extra columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,14 +40,19 @@ from tripletide.llm.tables import dropped, fresh_name, runs, saved
 from tripletide.llm.words import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
-ROWS, BANDS = 5, 26
-COORDINATES = ROWS * BANDS
+ROWS = 5
+MISSED = 2.5e-7
 _U = np.uint64
 _SKETCH = "doc_id long, n_shingles long, class binary, bands array<long>"
 _SETS = "class binary, shingles array<long>"
 
 
-def sketch(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands with which a pair at the threshold is missed with a chance of at most MISSED."""
+    return max(1, math.ceil(math.log(MISSED) / math.log1p(-((percent / 100) ** ROWS)))) if percent < 100 else 1
+
+
+def sketch(shingles: np.ndarray, size: int) -> np.ndarray:
     """The fast similarity sketch of a non-empty set of 64-bit hashes."""
     out = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for r in range(2 * size):
@@ -61,8 +68,8 @@ def sketch(shingles: np.ndarray, size: int = COORDINATES) -> np.ndarray:
 
 
 def bands(sketched: np.ndarray) -> np.ndarray:
-    parts = sketched.reshape(BANDS, ROWS)
-    total = np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
+    parts = sketched.reshape(-1, ROWS)
+    total = np.arange(1, len(parts) + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)
     for i in range(ROWS):
         total = mix(total ^ parts[:, i], i)
     return total.view(np.int64)
@@ -80,13 +87,16 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
             yield part, sets, ids
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part, sets, ids in _sets(batches):
-        marks = [bands(sketch(s)) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "class", "bands"],
-        )
+def _sketched(size: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, sets, ids in _sets(batches):
+            marks = [bands(sketch(s, size)) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "class", "bands"],
+            )
+
+    return work
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +150,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, with_class: bool = False
     ``class``, the digest of the set, by which rows can be joined with their texts again.
     """
     texts = docs.select("doc_id", "text")
-    sketched, _ = saved(texts.mapInArrow(_sketched, _SKETCH), "sketches")
+    sketched, _ = saved(texts.mapInArrow(_sketched(ROWS * bands_for(percent)), _SKETCH), "sketches")
     classes = (
         sketched.filter("class is not null")
         .groupBy("class")
