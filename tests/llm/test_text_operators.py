@@ -169,6 +169,14 @@ def test_leaks_by_template(spark):
     assert templates.leaks(docs, items.limit(0)).collect() == [] == templates.leaks(docs.limit(0), items).collect()
 
 
+def test_leaks_of_items_rich_in_slots(spark):
+    texts = ["Compute 12 + 34 - 56 * 78 / 9 + 10", "we met Anna Berg, Carl Dahl, Eva Falk, Georg Holm and Ida Juhl", "the table 1 2 3 4 5 6 7 8 9 10 11 12 13 14"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    docs = [(i, f"before it all {t} after it all") for i, t in enumerate(texts)] + [(9, "Compute 12 + 34 - 56 * 78 / 9 + 11")]
+    got = templates.leaks(spark.createDataFrame(docs, DOC), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["matched"] == r["item_words"], r["exact"]) for r in got} == {(i, i, True, True) for i in range(3)}
+
+
 def test_boilerplate_lines(spark):
     rows = [(i, f"own line {i}\n shared  \n\nnear {i // 12}", f"s{i % 11}") for i in range(44)]
     rows += [(100, None, "s1"), (101, "", None), (102, "shared", None), (102, "shared", None)]

@@ -10,8 +10,9 @@ item's windows, or LONG of its words, are a leak.
 
 Before the join, document windows pass a bitmap of the benchmark's hashes of fixed size
 (2**BITS bits), so only windows that may match leave their task. The join itself is an
-ordinary hash join of any two sizes. Windows with fewer than half literal words say too
-little and are no windows.
+ordinary hash join of any two sizes. A template window with fewer than half literal words says
+too little and has no template hash. Every window also has a hash of its actual values, so
+verbatim copies are found whatever they are made of.
 
 An item with fewer than WINDOW template words has one window of all of them, which documents
 match with windows of that size.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripletide.llm.tables import fresh_name, runs, saved
-from tripletide.llm.words import shingle_hashes, span_hashes, text_bytes, word_spans
+from tripletide.llm.words import mix, shingle_hashes, span_hashes, text_bytes, word_spans
 
 WINDOW = 8
 SHARE = 0.5
@@ -52,6 +53,7 @@ UNITS = (
     "cent cents euro euros percent degree degrees kmh mph kw watt watts volt volts"
 ).split()
 LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+EXACT = 7  # salt of the hashes of values
 _SLOT = np.array([0, 0x6C62272E07BB0142, 0x62B821756295C58D, 0x27D4EB2F165667C5], np.uint64)
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -117,13 +119,14 @@ def _known() -> list[np.ndarray]:
 
 
 def windows(values: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the template windows of a text and where each begins."""
+    """Hashes of the windows of a text, by template and by value, and where each begins."""
     if len(values) < size or not size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     words = np.where(kinds == LITERAL, values, _SLOT[kinds])
     literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
     at = np.flatnonzero(2 * (literal[size:] - literal[:-size]) >= size)
-    return shingle_hashes(words, size)[at], at
+    exact = mix(shingle_hashes(values, size), EXACT)
+    return np.concatenate([shingle_hashes(words, size)[at], exact]), np.concatenate([at, np.arange(len(exact))])
 
 
 _HITS = "id long, own long, size int, hash long, at long, words long, values array<long>, kinds binary"
