@@ -177,6 +177,18 @@ def test_leaks_of_items_rich_in_slots(spark):
     assert {(r["doc_id"], r["item_id"], r["matched"] == r["item_words"], r["exact"]) for r in got} == {(i, i, True, True) for i in range(3)}
 
 
+def test_one_inconsistent_slot_leaves_the_rest_of_a_leak(spark):
+    item = ["so"] + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(58)]
+    item[10], item[45], item[30] = "7", "7", "8"
+    one, other = list(item), list(item)
+    one[45] = "9"
+    other[10], other[45], other[30] = "5", "6", "4"
+    docs = spark.createDataFrame([(1, " ".join(one)), (2, " ".join(other)), (3, " ".join(item))], DOC)
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["matched"], r["item_words"], r["exact"]) for r in templates.leaks(docs, items).collect()}
+    assert got == {1: (58, 59, True), 2: (57, 59, False), 3: (59, 59, True)}
+
+
 def test_boilerplate_lines(spark):
     rows = [(i, f"own line {i}\n shared  \n\nnear {i // 12}", f"s{i % 11}") for i in range(44)]
     rows += [(100, None, "s1"), (101, "", None), (102, "shared", None), (102, "shared", None)]

@@ -3,10 +3,12 @@
 Numbers, names and units become typed placeholders, other words lose case and punctuation at
 their edges; what is left is a template, the same for a question and for its
 re-parameterised copies. Windows of WINDOW template words are hashed and joined with
-those of the benchmark. Matches of one document and item on one diagonal make a run, and a run
-counts if its slots are consistent: every value of the item stands for one value of the
-document and the other way round, type by type. Runs that together cover at least SHARE of an
-item's windows, or LONG of its words, are a leak.
+those of the benchmark. Matches of one document and item on one diagonal make a run. In a run,
+every value of the item stands for one value of the document and the other way round, type by
+type: the one it meets most often. Places with another value, or without a most frequent
+one, cut the run as a changed literal does, but windows equal to the item's value by value
+always count. Windows that together cover at least SHARE of an item's words, or LONG of them,
+are a leak.
 
 Before the join, document windows pass a bitmap of the benchmark's hashes of fixed size
 (2**BITS bits), so only windows that may match leave their task. The join itself is an
@@ -25,6 +27,7 @@ passes them on and keeps documents without hits, whatever their columns hold.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,15 +165,24 @@ def _keyed(df: DataFrame, doc_id: str) -> DataFrame:
     return df.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64("text").alias("own"), "text")
 
 
-def _consistent(rows: pd.DataFrame) -> bool:
-    """Whether the slots of a run map values one to one, type by type."""
-    there: dict = {}
-    back: dict = {}
-    for values, item_values, kinds in zip(rows["values"], rows["item_values"], rows["kinds"]):
-        for v, w, k in zip(values, item_values, kinds):
-            if k != LITERAL and (there.setdefault((k, w), v) != v or back.setdefault((k, v), w) != w):
-                return False
-    return True
+def _agreeing(run: pd.DataFrame) -> np.ndarray:
+    """Which windows of a run, all of one size, equal the item's or hold no slot in conflict with the run's others."""
+    there, item, kinds = np.stack(run["values"]), np.stack(run["item_values"]), np.stack([np.frombuffer(k, np.int8) for k in run["kinds"]])
+    equal = (there == item).all(axis=1)
+    if equal.all():
+        return equal
+    at = run["at"].to_numpy()[:, None] + np.arange(there.shape[1])
+    _, once = np.unique(at, return_index=True)
+    slots = once[kinds.ravel()[once] != LITERAL]
+    places = list(zip(kinds.ravel()[slots].tolist(), item.ravel()[slots].tolist(), there.ravel()[slots].tolist()))
+    met = Counter(places)
+    most: dict = {}  # the highest count of each side's value, and how many pairs have it
+    for (k, w, v), n in met.items():
+        for side in (("item", k, w), ("there", k, v)):
+            top, ties = most.get(side, (0, 0))
+            most[side] = (n, 1) if n > top else (top, ties + (n == top))
+    bad = [p for p, (k, w, v) in zip(at.ravel()[slots], places) if not most["item", k, w] == most["there", k, v] == (met[k, w, v], 1)]
+    return equal | ~np.isin(at, bad).any(axis=1)
 
 
 _FOUND = "id long, own long, item_id long, start long, end long, matched long, item_words long, exact boolean"
@@ -187,7 +199,8 @@ def _judged(share: float, long: int):
             cuts = np.flatnonzero(np.diff(at) > run["size"].to_numpy()[:-1])
             for piece in np.split(np.arange(len(run)), cuts + 1):
                 part = run.iloc[piece]
-                if not _consistent(part):
+                part = part[_agreeing(part)]
+                if not len(part):
                     continue
                 for i, n in zip(part["item_at"], part["size"]):
                     covered.update(range(i, i + n))
