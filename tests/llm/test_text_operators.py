@@ -177,6 +177,15 @@ def test_leaks_of_items_rich_in_slots(spark):
     assert {(r["doc_id"], r["item_id"], r["matched"] == r["item_words"], r["exact"]) for r in got} == {(i, i, True, True) for i in range(3)}
 
 
+def test_leaks_with_names_that_open_sentences(spark):
+    ask = "{0} has {1} red apples. {0} buys {2} more apples. {0} eats {3} of them."
+    items = spark.createDataFrame([(1, ask.format("Tom", 3, 4, 2)), (2, "The cat sleeps on the mat while the dog barks.")], "item_id long, text string")
+    rows = [(1, ask.format("Sam", 5, 6, 3)), (2, "We know that {}".format(ask.format("Sam", 5, 6, 3))), (3, "but the cat sleeps on the mat while the dog barks")]
+    mixed_up = (4, "Sam has 5 red apples. Ann buys 6 more apples. Joe eats 3 of them.")
+    got = templates.leaks(spark.createDataFrame([*rows, mixed_up], DOC), items).collect()
+    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got} == {(1, 1, False), (2, 1, False), (3, 2, True)}
+
+
 def test_one_inconsistent_slot_leaves_the_rest_of_a_leak(spark):
     item = ["so"] + [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(58)]
     item[10], item[45], item[30] = "7", "7", "8"

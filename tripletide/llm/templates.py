@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, other words lose case and punctuation at
 their edges; what is left is a template, the same for a question and for its
-re-parameterised copies. Windows of WINDOW template words are hashed and joined with
+re-parameterised copies. A capitalised word that opens a sentence may be a name or not, so windows
+with one are hashed under both readings and the slots decide. Windows of WINDOW template words are hashed and joined with
 those of the benchmark. Matches of one document and item on one diagonal make a run. In a run,
 every value of the item stands for one value of the document and the other way round, type by
 type: the one it meets most often. Places with another value, or without a most frequent
@@ -55,7 +56,7 @@ UNITS = (
     "gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years dollar dollars "
     "cent cents euro euros percent degree degrees kmh mph kw watt watts volt volts"
 ).split()
-LITERAL, NUMBER, NAME, UNIT = 0, 1, 2, 3
+LITERAL, NUMBER, NAME, UNIT, OPENER = 0, 1, 2, 3, 4
 EXACT = 7  # salt of the hashes of values
 _SLOT = np.array([0, 0x6C62272E07BB0142, 0x62B821756295C58D, 0x27D4EB2F165667C5], np.uint64)
 
@@ -104,7 +105,8 @@ def canonical(column: pa.Array, typed: bool = True) -> tuple[np.ndarray, np.ndar
         opens[first[:-1][first[:-1] < len(begin)]] = True
         head = raw[np.minimum(low, len(raw) - 1)]
         accented = (head == 0xC3) & (raw[np.minimum(low + 1, len(raw) - 1)] <= 0x9E)
-        kind[(_UPPER[head] | accented) & ~opens] = NAME
+        upper = _UPPER[head] | accented
+        kind[upper] = np.where(opens[upper], OPENER, NAME)
         kind[np.isin(value, _known()[0])] = NUMBER
         kind[np.isin(value, _known()[1])] = UNIT
         kind[_DIGIT[head]] = NUMBER
@@ -121,15 +123,26 @@ def _known() -> list[np.ndarray]:
     return _lists
 
 
+def _within(marks: np.ndarray, size: int) -> np.ndarray:
+    """How many of each ``size`` marks in a row are set."""
+    total = np.concatenate([[0], np.cumsum(marks)])
+    return total[size:] - total[:-size]
+
+
 def windows(values: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the windows of a text, by template and by value, and where each begins."""
     if len(values) < size or not size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    words = np.where(kinds == LITERAL, values, _SLOT[kinds])
-    literal = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    at = np.flatnonzero(2 * (literal[size:] - literal[:-size]) >= size)
     exact = mix(shingle_hashes(values, size), EXACT)
-    return np.concatenate([shingle_hashes(words, size)[at], exact]), np.concatenate([at, np.arange(len(exact))])
+    hashes, places = [exact], [np.arange(len(exact))]
+    opens = _within(kinds == OPENER, size) > 0
+    for reading in (NAME, LITERAL) if opens.any() else (NAME,):
+        read = np.where(kinds == OPENER, reading, kinds)
+        some = 2 * _within(read == LITERAL, size) >= size
+        at = np.flatnonzero(some & opens if reading == LITERAL else some)
+        hashes.append(shingle_hashes(np.where(read == LITERAL, values, _SLOT[read]), size)[at])
+        places.append(at)
+    return np.concatenate(hashes), np.concatenate(places)
 
 
 _HITS = "id long, own long, size int, hash long, at long, words long, values array<long>, kinds binary"
@@ -168,6 +181,7 @@ def _keyed(df: DataFrame, doc_id: str) -> DataFrame:
 def _agreeing(run: pd.DataFrame) -> np.ndarray:
     """Which windows of a run, all of one size, equal the item's or hold no slot in conflict with the run's others."""
     there, item, kinds = np.stack(run["values"]), np.stack(run["item_values"]), np.stack([np.frombuffer(k, np.int8) for k in run["kinds"]])
+    kinds = np.where(kinds == OPENER, NAME, kinds)
     equal = (there == item).all(axis=1)
     if equal.all():
         return equal
