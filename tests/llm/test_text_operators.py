@@ -146,6 +146,31 @@ def test_language_accuracy_and_probabilities(spark):
     assert language.languages(odd.limit(0)).collect() == []
 
 
+def test_languages_in_the_shadow_of_a_hot_one(spark):
+    r = random.Random(2)
+    scripts = {"ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "ka": range(0x10D0, 0x10F1), "zh": range(0x4E00, 0x5A00), "ja": range(0x5A00, 0x6600)}
+    rows = []
+    for i in range(1500):
+        letters = [chr(x) for x in r.choices([*range(97, 123), *range(0xE0, 0xF7), *range(0x100, 0x140, 2)], k=120)]
+        rows.append((i, "en", " ".join("".join(letters[k : k + 6]) for k in range(0, 120, 6))))
+    for n, (lang, script) in enumerate(scripts.items()):
+        rows += [(10000 * (n + 1) + i, lang, "".join(chr(r.choice(script)) for _ in range(80))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = {x["doc_id"]: x["lang_pred"] for x in language.languages(docs).filter("held_out").collect()}
+    assert len(got) > 300
+    right = Counter(lang for d, lang, _ in rows if d in got and got[d] == lang)
+    assert all(right[lang] >= 0.9 * sum(d in got and k == lang for d, k, _ in rows) for lang in ("en", *scripts))
+
+
+def test_every_letter_has_a_spelling_of_its_own():
+    letters = np.unique(language._folded())[1:]
+    alphabet = language.alphabet_of([(int(x), 1 + int(x) % 1000) for x in letters])
+    spelled = {bytes(alphabet[x]).rstrip(b"\0") for x in letters}
+    assert len(spelled) == len(letters) and b"" not in spelled
+    some = {bytes(x) for x in language.alphabet_of([(97, 1)])[letters]}
+    assert len(some) == len(letters)
+
+
 def test_quality_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
