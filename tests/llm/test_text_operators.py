@@ -146,6 +146,26 @@ def test_language_accuracy_and_probabilities(spark):
     assert language.languages(odd.limit(0)).collect() == []
 
 
+def test_main_text_in_languages_without_stop_words():
+    russian = "Это длинный рассказ о людях, которые жили тогда в маленьком городе у реки и помнили всё, что там случилось."
+    polish = "Jest to długa opowieść o ludziach, którzy mieszkali wtedy w małym mieście nad rzeką i pamiętali wszystko."
+    chinese = "这是一个关于当时住在河边小城里的人们的长篇故事他们记得在那里发生的一切事情" * 3
+    english = "This is the text of the story and it is told by the people who were there for a long time, with all of it."
+    code = "for (int i = 0; i < count; i++) { total += values[i] * weights[i]; result.push(total); }"
+    menu = "<nav><a href=x>Menu</a></nav>"
+    foot = "<footer>Impressum</footer>"
+    for text in (russian, polish, chinese):
+        assert html_text.main_text(f"{menu}<h1>Head</h1><p>{text}</p><p>{text}</p>{foot}").endswith(f"{text}\n{text}")
+    assert html_text.main_text(f"{menu}<p>{english}<p>{russian}<p>{english}") == f"{english}\n{russian}\n{english}"
+    assert html_text.main_text(f"<p>{english}</p><pre>{code.replace('<', '&lt;')}</pre><p>{english}") == f"{english}\n{code}\n{english}"
+    assert html_text.main_text(code.replace("<", "&lt;")) == code
+    assert html_text.main_text(f"{menu}<p>Only this.</p>{foot}") == "Only this."
+    listed = "cheap flights hotels cars deals offers prices booking travel summer winter beach city tours"
+    assert html_text.main_text(f"<p>{english}<p>{english}<div>{listed}</div>") == f"{english}\n{english}"
+    linked = "<article><ul><li><a href=x>tag</a></ul><h1><a href=x>Head of it</a></h1><ul><li><a href=x>tag</a></ul>"
+    assert html_text.main_text(f"{linked}<p>{english}</article>") == f"Head of it\n{english}"
+
+
 def test_languages_in_the_shadow_of_a_hot_one(spark):
     r = random.Random(2)
     scripts = {"ru": range(0x430, 0x450), "el": range(0x3B1, 0x3CA), "ka": range(0x10D0, 0x10F1), "zh": range(0x4E00, 0x5A00), "ja": range(0x5A00, 0x6600)}

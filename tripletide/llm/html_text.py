@@ -4,13 +4,15 @@ Pass one gives every block a label from its stop-word density, length and link d
 the container it stands in (navigation, footers, forms, asides, or what a class, id or role
 names) and from whether it is part of an article. Short and middling blocks stay undecided;
 in pass two they inherit the label of the nearest decided neighbour, one of the same
-container kind before others.
+container kind before others. Stop words are known for a few languages only: on a page without
+an article and with too few of them, and for blocks in other scripts, length and links decide.
 
 A page is worked on alone, so pages need no shuffle and a task holds one batch of them.
 
 Cases: null or empty html gives an empty text; so does a page in which no block is kept. Text
 without any markup is one block and is kept. Cut-off tags, comments, quotes and character
-references end with the page. Null urls and ids are passed on, repeated rows are each
+references end with the page. Without an article, the only block outside boilerplate is kept
+unless it is mostly links. Null urls and ids are passed on, repeated rows are each
 returned, extra columns are not read, and an empty table gives an empty result.
 """
 
@@ -30,6 +32,7 @@ SHORT = 70  # characters of a block below which only its neighbours decide
 LONG = 200
 LINKED = 0.5  # share of characters in links
 STOP_HIGH, STOP_LOW = 0.30, 0.15
+COVERED = 0.22  # share of stop words from which a page's language is one of theirs
 
 STOP_WORDS = frozenset(
     """
@@ -82,6 +85,7 @@ class Block:
     linked: int
     boiler: bool
     article: bool
+    tag: str = ""
     label: int = OPEN
 
 
@@ -117,8 +121,8 @@ def blocks_of(html: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                _, boiler, article = stack[-1] if stack else ("", 0, False)
-                out.append(Block(text, len(" ".join("".join(linked).split())), boiler > 0, article))
+                tag, boiler, article = stack[-1] if stack else ("", 0, False)
+                out.append(Block(text, len(" ".join("".join(linked).split())), boiler > 0, article, tag))
             pieces.clear()
             linked.clear()
 
@@ -188,24 +192,41 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
+def _latin(text: str) -> bool:
+    """Whether most letters of a text are Latin ones."""
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
+
+
 def label(blocks: list[Block]) -> list[Block]:
     """Both passes; afterwards every block is GOOD or BAD."""
     some_article = any(b.article and not b.boiler for b in blocks)
-    for b in blocks:
-        words = b.text.lower().split()
-        stops = sum(w.strip(_EDGE) in STOP_WORDS for w in words) / len(words)
+    counts = [(sum(w.strip(_EDGE) in STOP_WORDS for w in words), len(words)) for words in (b.text.lower().split() for b in blocks)]
+    plain = [not b.boiler and b.linked <= LINKED * len(b.text) for b in blocks]
+    stop_words, all_words = (sum(c[i] for c, p in zip(counts, plain) if p) for i in (0, 1))
+    covered = some_article or stop_words >= COVERED * all_words
+    only = not some_article and sum(not b.boiler for b in blocks) == 1
+    for b, (n, of) in zip(blocks, counts):
+        stops = n / of
+        heading = b.article and len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit()
         if b.boiler:
             b.label = BAD
+        elif heading and b.linked > LINKED * len(b.text):
+            b.label = GOOD
         elif b.linked > LINKED * len(b.text) and not (b.article and len(b.text) >= LONG and stops >= STOP_HIGH):
             b.label = BAD
+        elif only:
+            b.label = GOOD
         elif len(b.text) < SHORT:
             b.label = OPEN
         elif b.article:
             b.label = GOOD
         elif stops >= STOP_HIGH:
             b.label = OPEN if some_article else GOOD
+        elif not some_article and not (covered and _latin(b.text)):
+            b.label = GOOD
         elif stops < STOP_LOW:
-            b.label = BAD
+            b.label = OPEN if b.tag == "pre" and not some_article else BAD
     decided = [i for i, b in enumerate(blocks) if b.label]
     inherited = {}
     before, after = _nearest(blocks, decided), _nearest(blocks, decided, backwards=True)
