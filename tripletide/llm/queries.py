@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tripletide.llm.divergence import divergence
 from tripletide.llm.html_text import extract_text
 from tripletide.llm.language import languages
+from tripletide.llm.licenses import license_labels
 from tripletide.llm.lines import without_boilerplate
 from tripletide.llm.mixing import mix
 from tripletide.llm.near_dup import near_duplicates
@@ -73,11 +75,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_labels(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_mixing, op3_html_text, op4_similar_vectors, op5_quality, op6_boilerplate_lines,
         op7_near_duplicates, op8_repeated_passages, op9_leaks, op10_language,
+        op11_divergence, op12_licenses,
     )
 }
 
@@ -134,5 +145,24 @@ pairs AS (SELECT p.doc_id AS a, q.doc_id AS b, p.n AS n, q.n AS m, count(*) AS s
 edges AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (n + m - shared)),
 {_COMPONENTS.format(id="doc_id", nodes="documents")}
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM sh JOIN component ON a = doc_id
+""",
+    "op11_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, (1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * v))::BIGINT AS p FROM dense JOIN v USING (lang)),
+l AS (SELECT lang, term, sum(n) AS n FROM dense GROUP BY ALL),
+q AS (SELECT lang, term, (1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v))::BIGINT AS q FROM l JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source != b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+terms AS (SELECT p.lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
 """,
 }
