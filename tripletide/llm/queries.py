@@ -14,6 +14,7 @@ from tripletide.llm.licenses import license_labels
 from tripletide.llm.lines import without_boilerplate
 from tripletide.llm.mixing import mix
 from tripletide.llm.near_dup import near_duplicates
+from tripletide.llm.prefixes import regrouped_trie
 from tripletide.llm.quality import quality_scores
 from tripletide.llm.suffixes import repeated_passages
 from tripletide.llm.tables import table
@@ -83,12 +84,16 @@ def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_labels(table(spark, sf_dir, "documents"))
 
 
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regrouped_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_token_files, op2_mixing, op3_html_text, op4_similar_vectors, op5_quality, op6_boilerplate_lines,
         op7_near_duplicates, op8_repeated_passages, op9_leaks, op10_language,
-        op11_divergence, op12_licenses,
+        op11_divergence, op12_licenses, op13_prefixes,
     )
 }
 
@@ -164,5 +169,28 @@ pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.
 terms AS (SELECT p.lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
 SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank
 FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms) QUALIFY part = 'pair' OR rank <= 10
+""",
+    "op13_prefixes": r"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor(list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT),
+  lambda crc, byte: list_reduce(range(8), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(crc, byte)), 4294967295::BIGINT), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS part, i, role, text FROM c JOIN t ON t.conv_id = base AND i < h
+  UNION ALL SELECT c.conv_id, 1, i, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
+p AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY part, i) AS turns FROM r GROUP BY conv_id),
+m AS (SELECT c.conv_id, coalesce(turns, []) AS turns FROM c LEFT JOIN p USING (conv_id)),
+d AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM m),
+k AS (SELECT conv_id, depth, turns[1:depth] AS prefix, md5(to_json(turns[1:depth])::VARCHAR) AS node, len(turns) = depth AS ended FROM d),
+g AS (SELECT node, depth, any_value(prefix) AS prefix, min(conv_id) AS conv_id, count(*) AS n_convs,
+  coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM k GROUP BY node, depth),
+u AS (SELECT *, md5(to_json(prefix[1:depth - 1])::VARCHAR) AS up,
+  CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * len(regexp_extract_all(prefix[depth].t, '[^\x20\x09-\x0D]+')) END AS saved FROM g),
+kids AS (SELECT up AS node, count(*) AS n_children FROM u WHERE depth > 0 GROUP BY up),
+o AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN kids USING (node)),
+below AS (SELECT md5(to_json(prefix[1:d])::VARCHAR) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS d FROM o) GROUP BY 1)
+SELECT o.conv_id, o.depth, parent.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(o.ends) AS ends_sha256
+FROM o JOIN below USING (node) LEFT JOIN o AS parent ON o.depth > 0 AND parent.node = o.up
 """,
 }
