@@ -63,10 +63,16 @@ def run_average(epoch_metrics: DataFrame, evictions: int | Column | None, by: Se
     if evictions is None:
         windows = F.count(F.lit(1))
     else:
-        windows = evictions + 1 if isinstance(evictions, Column) else F.lit(evictions + 1)
+        windows = F.max(evictions) + 1 if isinstance(evictions, Column) else F.lit(evictions + 1)
     return epoch_metrics.groupBy(*by).agg(*[(F.sum(m) / windows).alias(m) for m in MEASURES])
 
 
-def policy_pivot(metrics: DataFrame, metric: str, rows: str = "evict_pct", columns: str = "config", values: Sequence[str] | None = None) -> DataFrame:
+def policy_pivot(
+    metrics: DataFrame,
+    metric: str,
+    rows: str | Sequence[str] = "evict_pct",
+    columns: str = "config",
+    values: Sequence[str] | None = None,
+) -> DataFrame:
     """One metric as a matrix: a row per evict share, a column per setting."""
-    return metrics.groupBy(rows).pivot(columns, list(values) if values else None).agg(F.first(metric))
+    return metrics.groupBy(*([rows] if isinstance(rows, str) else rows)).pivot(columns, list(values) if values else None).agg(F.first(metric))

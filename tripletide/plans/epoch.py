@@ -21,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripletide.operators.entail import Facts, members
-from tripletide.operators.lineage import graph_usage, leaves_of
+from tripletide.operators.joins import skew_join
+from tripletide.operators.lineage import usage_counts
 from tripletide.operators.ontology import Goal
 from tripletide.operators.window import ENTRY, policy_order
 from tripletide.scratch import BROADCAST_BYTES, Stored, store
@@ -39,7 +40,10 @@ class Reasoning:
 
     ``place`` is the column the stored facts are sorted by, and ``first``/``last`` say for
     a window row which places its graph takes up; ``into`` turns facts into facts with
-    ``graph_no`` where they do not have one yet.
+    ``graph_no`` where they do not have one yet. With ``width``, stored facts have a folder
+    per ``width`` places, and only those of graphs in a window are listed and read.
+    ``weights`` (source..., graph_no, node, n): how many leaves of a graph show that a node is of the explained
+    class, where single triples can show it; then explaining needs no triples at all.
     """
 
     facts: Facts
@@ -51,12 +55,32 @@ class Reasoning:
     first: str = "graph_no"
     last: str = "graph_no"
     into: Callable[[DataFrame], DataFrame] | None = None
+    width: int | None = None
+    weights: DataFrame | None = None
+
+    def spans(self) -> dict[str, tuple[Column, Column]]:
+        return {"place": (F.expr(self.first), F.expr(self.last))}
+
+    def sets(self) -> dict[str, Column]:
+        """The folders of a window row's graph: a graph is no longer than one is wide."""
+        if self.width is None:
+            return {}
+        return {end: F.expr(f"({place}) div {self.width}") for end, place in (("first", self.first), ("last", self.last))}
+
+    def held(self, rows: Stored, df: DataFrame) -> DataFrame:
+        """The part of a stored table that the graphs of ``rows`` may lie in."""
+        if self.width is None:
+            return df
+        return df.filter(F.col("bucket").isin(sorted({*rows.spans["first"], *rows.spans["last"]}))).drop("bucket")
+
+    def reach(self, rows: Stored, goal: Goal) -> Facts:
+        """The goal's facts in the stretch of the stream that ``rows`` hold; plain filters, so the scan skips the rest."""
+        span = rows.spans["place"]
 
-    def between(self, span: tuple, goal: Goal) -> Facts:
-        """The goal's facts in a stretch of the stream; a plain range, so the scan skips the rest."""
         def cut(df: DataFrame | None) -> DataFrame | None:
             if df is None:
                 return None
+            df = self.held(rows, df)
             if None not in span:
                 df = df.filter(F.col(self.place).between(*span))
             return self.into(df) if self.into else df
@@ -106,12 +130,12 @@ def held(win: Windows) -> Column:
     return F.count("graph_no").over(win.over())
 
 
-def store_windows(rows: DataFrame, reasoning: Reasoning | None) -> Stored:
+def store_windows(rows: DataFrame, reasoning: Reasoning | None, path: str | None = None) -> Stored:
     """Writes window rows, noting how far their cursors and the graphs they hold reach."""
-    spans = {"cursor": (F.col("cursor"), F.col("cursor") + 2 * F.col("size"))}
+    spans, sets = {"cursor": (F.col("cursor"), F.col("cursor") + 2 * F.col("size"))}, {}
     if reasoning is not None:
-        spans["place"] = (F.expr(reasoning.first), F.expr(reasoning.last))
-    return store(rows, "window", spans=spans)
+        spans, sets = spans | reasoning.spans(), reasoning.sets()
+    return store(rows, "window", spans=spans, sets=sets, path=path)
 
 
 def within_reach(all_entries: DataFrame, rows: Stored) -> DataFrame:
@@ -169,7 +193,7 @@ def wants_usage() -> Column:
 def answer(current: Stored, reasoning: Reasoning, win: Windows) -> DataFrame:
     """(by..., s) over what each window holds now."""
     inside = current.df.filter(F.col("graph_no").isNotNull())
-    facts = reasoning.between(current.spans["place"], reasoning.query)
+    facts = reasoning.reach(current, reasoning.query)
     facts = facts.within(win.hint(inside), [*win.source, "graph_no"], win.by)
     return members(facts, reasoning.query, reasoning.query_class, win.by)
 
@@ -177,10 +201,14 @@ def answer(current: Stored, reasoning: Reasoning, win: Windows) -> DataFrame:
 def usage_of(current: Stored, answers: DataFrame, reasoning: Reasoning, win: Windows) -> DataFrame:
     """(by..., graph_no, usage) of the windows whose policy looks at use."""
     inside = current.df.filter(F.col("graph_no").isNotNull() & wants_usage())
-    facts = reasoning.between(current.spans["place"], reasoning.explain)
+    if reasoning.weights is not None:
+        asked = win.hint(inside.select(*dict.fromkeys([*win.by, *win.source, "graph_no"])))
+        shown = reasoning.held(current, reasoning.weights).join(asked, [*win.source, "graph_no"])
+        used = skew_join(shown, answers.withColumnRenamed("s", "node"), [*win.by, "node"])
+        return used.groupBy(*win.by, "graph_no").agg(F.sum("n").alias("usage"))
+    facts = reasoning.reach(current, reasoning.explain)
     facts = facts.within(win.hint(inside), [*win.source, "graph_no"], win.by)
-    lineage = leaves_of(answers, facts, reasoning.explain, reasoning.explain_class, win.by)
-    return graph_usage(lineage, win.by)
+    return usage_counts(answers, facts, reasoning.explain, reasoning.explain_class, win.by)
 
 
 def apply_usage(current: DataFrame, usage: DataFrame, win: Windows) -> DataFrame:
@@ -231,14 +259,18 @@ def advance(
     win: Windows,
     any_usage: bool = True,
     stop_when_short: bool = True,
+    paths: tuple[str | None, str | None] = (None, None),
 ) -> Step:
-    """Expire, refill, ask, explain, evict, refill - for every window in ``rows``."""
+    """Expire, refill, ask, explain, evict, refill - for every window in ``rows``.
+
+    ``paths`` are folders for the rows the query saw and for its answers.
+    """
     supply = within_reach(all_entries, rows)
     filled = refill(drop_expired(rows.df, win), supply, win)
-    current = store_windows(filled.select(*win.columns, "now", "n_expired"), reasoning)
+    current = store_windows(filled.select(*win.columns, "now", "n_expired"), reasoning, paths[0])
     answers, used = None, current.df
     if reasoning is not None:
-        answers = store(answer(current, reasoning, win), "answers")
+        answers = store(answer(current, reasoning, win), "answers", path=paths[1])
         if any_usage:
             used = apply_usage(current.df, usage_of(current, answers.df, reasoning, win), win)
     following = refill(evict_step(used, win, stop_when_short), supply, win)

@@ -72,29 +72,52 @@ def store(
     name: str,
     sort_by: Sequence[str] = (),
     spans: dict[str, tuple[Column, Column]] | None = None,
+    sets: dict[str, Column] | None = None,
+    folder_by: str | None = None,
+    path: str | None = None,
 ) -> Stored:
     """Write ``df`` once and return it as a scan with its measured size.
 
     ``sort_by`` orders the rows of each file, so that later filters on a range skip
     row groups. ``spans`` names pairs of columns; the write reports the least value
-    of the first and the greatest of the second.
+    of the first and the greatest of the second. ``sets`` names columns of few
+    different values, which the write reports. ``folder_by`` gives every value of a
+    column a folder of its own. ``path`` is a fresh folder of the caller's.
     """
-    path = scratch_path(df.sparkSession, name)
-    seen, spans = Observation(), spans or {}
+    path = path or scratch_path(df.sparkSession, name)
+    seen, spans, sets = Observation(), spans or {}, sets or {}
     measured = df.observe(
         seen,
         F.count(F.lit(1)).alias("rows"),
         F.sum(_row_bytes(df.schema)).alias("bytes"),
         *[F.min(low).alias(f"low_{k}") for k, (low, _) in spans.items()],
         *[F.max(high).alias(f"high_{k}") for k, (_, high) in spans.items()],
+        *[F.collect_set(c).alias(f"set_{k}") for k, c in sets.items()],
     )
-    (measured.sortWithinPartitions(*sort_by) if sort_by else measured).write.parquet(path)
+    written = (measured.sortWithinPartitions(*sort_by) if sort_by else measured).write
+    (written.partitionBy(folder_by) if folder_by else written).parquet(path)
     size = seen.get
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     found = {k: (size.get(f"low_{k}"), size.get(f"high_{k}")) for k in spans}
+    found |= {k: tuple(sorted(size.get(f"set_{k}") or ())) for k in sets}
     return Stored(back, size.get("rows") or 0, size.get("bytes") or 0, found)
 
 
+class Appended:
+    """A table that grows by a folder per step; however many steps, it is read by one scan."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.root = spark, scratch_path(spark, name)
+
+    def path(self, step: int) -> str:
+        return f"{self.root}/step={step}"
+
+    def read(self, schema: T.StructType, number: str) -> DataFrame:
+        """All steps so far, of rows of ``schema``, the step as the column ``number``."""
+        numbered = T.StructType([*schema, T.StructField("step", T.LongType())])
+        return self.spark.read.schema(numbered).parquet(self.root).withColumnRenamed("step", number)
+
+
 def literal_rows(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
     """A short list of rows as a table held in the plan itself."""
     fields = to_arrow_schema(schema)

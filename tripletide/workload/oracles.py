@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tripletide.workload.queries import GRID, N, SEGMENTS, SIZE, SWEEP, config_id
+from tripletide.operators.window import POLICIES
+from tripletide.workload.queries import LENGTHS, N, PUBLISHED, RUN, SIZE, STREAM
 from tripletide.workload.tables import EVENT_AXIOMS, TRADE_AXIOMS
 
 EV = """ev AS (
@@ -140,22 +141,15 @@ quality_{tag} AS ({quality(f'windows_{tag}', f'answers_{tag}', 'truth', 'epoch')
 
 TRUTH = f"{EVENT_TYPES},\ntruth AS (SELECT node AS s FROM types WHERE cls = 'c:Buyer')"
 TUMBLING = f"{TRUTH},\n{tumbling(N, SIZE, 'one')}"
-GRID_QUALITY = (
-    f"{TRUTH},\n" + ",\n".join(tumbling(n, size, f"{n}_{size}") for n, size in GRID)
-    + ",\ngrid AS (" + " UNION ALL ".join(f"SELECT 'n{n}' AS config, {size} AS size, * FROM quality_{n}_{size}" for n, size in GRID)
-    + "),\naveraged AS (SELECT config, size, round(avg(precision), 9) AS precision, round(avg(recall), 9) AS recall,"
-    " round(avg(fmeasure), 9) AS fmeasure FROM grid GROUP BY config, size)"
-)
-
-
-def replay_sql(configs: list[tuple], steps: int, columns: str = "* EXCLUDE (complete)", only: str = "true") -> str:
-    """The epoch loop unrolled: configs are (id, policy, segments, size, evict), run to the end of the stream.
+def replay_ctes(configs: list[tuple], steps: int) -> str:
+    """The epoch loop unrolled: configs are (id, policy, triples per graph, size, evict, evictions or None for
+    the whole stream). CTEs end in ``scored`` and ``moves``.
 
     Each step's tables carry its number. A config's row in st<k> holds its cursor and
     whether it still runs; en<k> holds its window at the start of step k.
     """
-    ctes = [f"""cf AS (SELECT config_id, policy, (SELECT (count(*) + segments - 1) // segments FROM ev) AS n, size, evict
-  FROM {values(configs)} AS t(config_id, policy, segments, size, evict)),
+    ctes = [f"""cf AS (SELECT config_id, policy, n, size, evict, CAST(evictions AS BIGINT) AS evictions
+  FROM {values(configs)} AS t(config_id, policy, n, size, evict, evictions)),
 supply AS (SELECT n, CAST(((SELECT count(*) FROM ev) + n - 1) // n AS BIGINT) AS n_graphs FROM (SELECT DISTINCT n FROM cf)),
 al AS (SELECT n, CAST(g AS BIGINT) AS graph_no, CAST(0 AS BIGINT) AS use_count,
   TIMESTAMP '2024-01-01' + to_seconds(g * 1000) AS arrival_ts,
@@ -183,24 +177,28 @@ us{k} AS (SELECT config_id, graph_no, count(*) AS usage FROM (
 up{k} AS (SELECT c.config_id, c.n, c.graph_no, policy,
     CASE WHEN policy = 'LFU' AND evict < size THEN use_count + coalesce(usage, 0) ELSE use_count END AS use_count,
     CASE WHEN policy = 'LRU' AND evict < size AND usage IS NOT NULL THEN now ELSE arrival_ts END AS arrival_ts, expire_ts,
-    CASE WHEN evict = size THEN size ELSE greatest(0, evict - n_expired) END AS k
+    CASE WHEN {k} >= evictions THEN 0 WHEN evict = size THEN size ELSE greatest(0, evict - n_expired) END AS k
   FROM cu{k} c JOIN sa{k} USING (config_id) LEFT JOIN us{k} u ON u.config_id = c.config_id AND u.graph_no = c.graph_no),
 rk{k} AS (SELECT *, row_number() OVER (PARTITION BY config_id ORDER BY
     CASE policy WHEN 'FEFO' THEN epoch_us(expire_ts) WHEN 'LRU' THEN epoch_us(arrival_ts) ELSE use_count END, graph_no) AS rn FROM up{k}),
 ke{k} AS MATERIALIZED (SELECT config_id, n, graph_no, use_count, arrival_ts, expire_ts FROM rk{k} WHERE rn > k),
 mv{k} AS (SELECT s.config_id, CAST({k} AS BIGINT) AS epoch, CAST(n_expired AS BIGINT) AS n_expired,
-    (SELECT count(*) FROM rk{k} r WHERE r.config_id = s.config_id AND rn <= k) AS n_evicted,
-    (SELECT count(*) FROM cu{k} c WHERE c.config_id = s.config_id) = size AS complete FROM sa{k} s),
-ef{k} AS (SELECT s.config_id, policy, n, size, evict, n_graphs, filled AS cursor,
+    (SELECT count(*) FROM rk{k} r WHERE r.config_id = s.config_id AND rn <= k) AS n_evicted FROM sa{k} s),
+ef{k} AS (SELECT s.config_id, policy, n, size, evict, evictions, n_graphs, filled AS cursor,
     size - (SELECT count(*) FROM ke{k} e WHERE e.config_id = s.config_id) AS free FROM sa{k} s),
-st{k + 1} AS MATERIALIZED (SELECT config_id, policy, n, size, evict, n_graphs, cursor + free AS cursor FROM ef{k} WHERE n_graphs - cursor >= free),
+st{k + 1} AS MATERIALIZED (SELECT config_id, policy, n, size, evict, evictions, n_graphs, cursor + free AS cursor FROM ef{k}
+  WHERE n_graphs - cursor >= free AND ({k} < evictions OR evictions IS NULL)),
 en{k + 1} AS MATERIALIZED (SELECT e.* FROM ke{k} e SEMI JOIN st{k + 1} USING (config_id) UNION ALL
   SELECT config_id, al.* FROM ef{k} f SEMI JOIN st{k + 1} USING (config_id) JOIN al USING (n)
   WHERE al.graph_no >= f.cursor AND al.graph_no < f.cursor + f.free)""")
     moves = " UNION ALL ".join(f"SELECT * FROM mv{k}" for k in range(steps))
     answers = " UNION ALL ".join(f"SELECT config_id, CAST({k} AS BIGINT) AS epoch, s FROM an{k}" for k in range(steps))
     ctes.append(f"moves AS ({moves}),\nans AS ({answers}),\nscored AS ({quality('moves', 'ans', 'truth', 'config_id, epoch')})")
-    return f"{TRUTH},\n" + ",\n".join(ctes) + f"\nSELECT {columns} FROM scored JOIN moves USING (config_id, epoch) WHERE {only}"
+    return f"{TRUTH},\n" + ",\n".join(ctes)
+
+
+def replay_sql(configs: list[tuple], steps: int, columns: str = "*") -> str:
+    return f"{replay_ctes(configs, steps)}\nSELECT {columns} FROM scored JOIN moves USING (config_id, epoch)"
 
 
 def keyed_sql(size: int, evict: int, steps: int) -> str:
@@ -243,8 +241,13 @@ NT = f"""SELECT CAST(event_id * 2 + i AS BIGINT) AS seq,
   CASE WHEN i = 0 THEN '{BASE}/user/' || user_id ELSE '{BASE}/event/' || event_id END AS s,
   CASE WHEN i = 0 THEN '{BASE}/did' ELSE '{BASE}/props' END AS p"""
 
-# More steps than any of the windows takes before its stream ends.
-REPLAY_STEPS, SWEEP_STEPS, KEYED_STEPS = 16, 16, 16
+# A run with T evictions has T + 1 steps; the stream of 30 graphs ends before STREAM_STEPS.
+SWEEP = [c[:6] for c in PUBLISHED]
+SWEEP_STEPS = max(c[5] for c in SWEEP) + 1
+STREAM_STEPS, KEYED_STEPS = 16, 16
+AVERAGED = f"""{replay_ctes(SWEEP, SWEEP_STEPS)},
+averaged AS (SELECT config_id, policy, n, size, evict, {", ".join(f"round(sum({m}) / (evictions + 1), 9) AS {m}" for m in ("precision", "recall", "fmeasure"))}
+  FROM scored JOIN cf USING (config_id) GROUP BY config_id, policy, n, size, evict, evictions)"""
 
 ORACLES: dict[str, str] = {
     "match_distinct": f"WITH {EV} SELECT DISTINCT s FROM ev WHERE p = 'rdf:type' AND o = 'c:Purchase'",
@@ -320,14 +323,13 @@ FROM entries e LEFT JOIN used USING (graph_no)""",
     "truth_hits": f"""{EVENT_TYPES} SELECT node AS s FROM types WHERE cls = 'c:ActiveUser'
 INTERSECT SELECT node FROM types WHERE cls = 'c:Buyer'""",
     "window_quality": f"{TUMBLING} SELECT * FROM quality_one",
-    "run_average": f"{GRID_QUALITY} SELECT * FROM averaged",
-    "policy_pivot": f"""{GRID_QUALITY} SELECT size, max(fmeasure) FILTER (config = 'n30') AS n30,
-  max(fmeasure) FILTER (config = 'n90') AS n90 FROM averaged GROUP BY size""",
-    "window_replay": replay_sql([("run", "LFU", SEGMENTS, SIZE, SIZE // 2)], REPLAY_STEPS),
-    "policy_sweep": replay_sql([(config_id(*c), *c) for c in SWEEP], SWEEP_STEPS),
-    "semantic_window_stream": replay_sql(
-        [("run", "LRU", SEGMENTS, SIZE, SIZE // 2)], REPLAY_STEPS, "* EXCLUDE (complete, config_id)", "complete"
-    ),
+    "run_average": f"{AVERAGED} SELECT * EXCLUDE (n), n AS n_triples FROM averaged",
+    "policy_pivot": f"""{AVERAGED}, shares AS (SELECT * FROM {values(sorted({(size, evict, share) for _, _, _, size, evict, _, share in PUBLISHED}))} AS t(size, evict, evict_pct))
+SELECT size, evict_pct, {", ".join(f"max(fmeasure) FILTER (policy = '{p}' AND n = {n}) AS {p}_{n}" for p in POLICIES for n in LENGTHS)}
+FROM averaged JOIN shares USING (size, evict) GROUP BY size, evict_pct""",
+    "window_replay": replay_sql([("run", *RUN)], RUN[-1] + 1),
+    "policy_sweep": replay_sql(SWEEP, SWEEP_STEPS),
+    "semantic_window_stream": replay_sql([("run", *STREAM)], STREAM_STEPS, "* EXCLUDE (config_id)"),
     "keyed_policy_window": keyed_sql(6, 3, KEYED_STEPS),
     "nt_scan": f"{NT}, CASE WHEN i = 0 THEN '{BASE}/event/' || event_id ELSE props END AS o, "
                "CASE WHEN i = 0 THEN 'iri' ELSE 'lit' END AS o_kind FROM events, (VALUES (0), (1)) AS two(i)",

@@ -16,12 +16,12 @@ from tripletide.operators.entail import (
     types_from_range,
     types_from_restrictions,
 )
-from tripletide.operators.lineage import explain_leaves, graph_usage
+from tripletide.operators.lineage import explain_leaves, graph_usage_of
 from tripletide.operators.match import bgp, count_quads, drop_graphs, match, union_graphs
 from tripletide.operators.numbering import assign_graphs
 from tripletide.operators.ontology import is_typing
-from tripletide.operators.quality import hits, policy_pivot, run_average, window_quality
-from tripletide.operators.window import assign_ttl, bump, evict, expire, fill, seconds, touch, trace
+from tripletide.operators.quality import MEASURES, hits, policy_pivot, run_average, window_quality
+from tripletide.operators.window import POLICIES, assign_ttl, bump, evict, expire, fill, seconds, touch, trace
 from tripletide.plans.replay import replay, sweep
 from tripletide.plans.spec import WindowSpec
 
@@ -46,7 +46,6 @@ QUERIES: dict[str, Query] = {}
 
 N = 100  # triples per graph, where a query does not say otherwise
 SIZE = 10  # graphs per window
-SEGMENTS = 40  # graphs a whole stream is cut into for replays
 
 
 def query(name: str) -> Callable[[Query], Query]:
@@ -366,7 +365,7 @@ def explain_leaves_query(spark, sf_dir):
 def usage(spark, sf_dir) -> DataFrame:
     quads, rules = event_quads(spark, sf_dir), tbox(spark, "events")
     answers = store(instances_of(quads, rules, QUERY_CLASS), "answers").df
-    return graph_usage(explain_leaves(answers, quads, rules, EXPLAIN_CLASS))
+    return graph_usage_of(answers, quads, rules, EXPLAIN_CLASS)
 
 
 @query("graph_usage")
@@ -410,78 +409,73 @@ def window_quality_query(spark, sf_dir):
     return tumbling_quality(spark, sf_dir, N, SIZE)
 
 
-GRID = [(n, size) for n in (30, 90) for size in (5, 10)]
-
-
-def grid_quality(spark, sf_dir) -> DataFrame:
-    parts = [
-        tumbling_quality(spark, sf_dir, n, size).select(
-            F.lit(f"n{n}").alias("config"), F.lit(size).alias("size"), "epoch", "precision", "recall", "fmeasure"
-        )
-        for n, size in GRID
-    ]
-    return _union(parts)
-
-
-def _rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 9) for c in columns})
-
-
-@query("run_average")
-def run_average_query(spark, sf_dir):
-    averaged = run_average(grid_quality(spark, sf_dir), None, by=["config", "size"])
-    return _rounded(averaged, "precision", "recall", "fmeasure")
-
-
-@query("policy_pivot")
-def policy_pivot_query(spark, sf_dir):
-    averaged = run_average(grid_quality(spark, sf_dir), None, by=["config", "size"])
-    return _rounded(policy_pivot(averaged, "fmeasure", rows="size", values=["n30", "n90"]), "n30", "n90")
-
-
 # --- replay ---------------------------------------------------------------------------
 
 
-def segment_length(events: DataFrame, segments: int) -> int:
-    """Triples per graph so that the whole stream makes ``segments`` graphs."""
-    return -(-events.count() * 3 // segments)
+# (policy, triples per graph, graphs, evicted graphs, evictions)
+RUN = ("LFU", 10, 100, 50, 5)
+STREAM = ("LRU", 1000, 10, 5, None)
 
 
 @query("window_replay")
 def window_replay(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    n = segment_length(events, SEGMENTS)
+    policy, n, size, out, evictions = RUN
     quads = event_quads(spark, sf_dir, n)
-    spec = WindowSpec(SIZE, SIZE // 2, "LFU", QUERY_CLASS, EXPLAIN_CLASS, n)
+    spec = WindowSpec(size, out, policy, QUERY_CLASS, EXPLAIN_CLASS, n, evictions)
     known = store(truth(spark, sf_dir), "truth").df
     return replay(quads, clock_entries(quads), tbox(spark, "events"), spec, known)
 
 
-SWEEP = [(policy, parts, size, size * pct // 100) for policy in ("FEFO", "LRU", "LFU")
-         for parts, size in ((40, 10), (80, 20)) for pct in (25, 50, 75, 100)]
+# The settings of the published runs. Evictions per length of a graph; evicted graphs per window size.
+LENGTHS = {1: 10, 10: 5, 100: 3}
+SIZES = {10: (2, 5, 7, 10), 100: (25, 50, 75, 100), 1000: (250, 500, 750, 1000)}
+SHARES = (25, 50, 75, 100)
+PUBLISHED = [
+    (f"{policy}_{n}_{size}_{out}", policy, n, size, out, evictions, share)
+    for policy in POLICIES for n, evictions in LENGTHS.items() for size, outs in SIZES.items() for out, share in zip(outs, SHARES)
+]
 
 
-def config_id(policy: str, parts: int, size: int, out: int) -> str:
-    return f"{policy}_{parts}_{size}_{out}"
+def published_configs(spark) -> DataFrame:
+    return literal_rows(spark, [c[:6] for c in PUBLISHED], files.CONFIGS)
 
 
 @query("policy_sweep")
 def policy_sweep(spark, sf_dir):
-    events = table(spark, sf_dir, "events")
-    lengths = {parts: segment_length(events, parts) for _, parts, _, _ in SWEEP}
-    rows = [(config_id(*c), c[0], lengths[c[1]], c[2], c[3], None) for c in SWEEP]
-    configs = literal_rows(spark, rows, files.CONFIGS)
-    stream = event_triples(events)
-    graphs = stream.select(
-        F.explode(F.array(*[F.lit(n) for n in sorted(set(lengths.values()))])).alias("n_triples"), "pos"
-    ).withColumn("graph_no", F.expr("pos div n_triples"))
+    stream = event_triples(table(spark, sf_dir, "events"))
+    graphs = stream.select(F.explode(F.array(*[F.lit(n) for n in LENGTHS])).alias("n_triples"), "pos").withColumn(
+        "graph_no", F.expr("pos div n_triples")
+    )
     known = store(truth(spark, sf_dir), "truth").df
     return sweep(
-        stream, tbox(spark, "events"), configs, known, QUERY_CLASS, EXPLAIN_CLASS,
+        stream, tbox(spark, "events"), published_configs(spark), known, QUERY_CLASS, EXPLAIN_CLASS,
         all_entries=clock_entries(graphs, ("n_triples",)),
     )
 
 
+def averaged_sweep(spark, sf_dir) -> DataFrame:
+    """The published table: each run's averages over its T + 1 windows, those of a stream that ended early count 0."""
+    settings = F.broadcast(published_configs(spark))  # a literal list
+    metrics = policy_sweep(spark, sf_dir).join(settings, "config_id")
+    averaged = run_average(metrics, F.col("evictions"), by=["config_id", "policy", "n_triples", "size", "evict"])
+    return averaged.withColumns({c: F.round(c, 9) for c in MEASURES})
+
+
+@query("run_average")
+def run_average_query(spark, sf_dir):
+    return averaged_sweep(spark, sf_dir)
+
+
+@query("policy_pivot")
+def policy_pivot_query(spark, sf_dir):
+    """F1 by window size and evicted share, a column per policy and length of graphs."""
+    share = F.create_map(*[F.lit(x) for size, outs in SIZES.items() for out, s in zip(outs, SHARES) for x in (f"{size}/{out}", s)])
+    averaged = averaged_sweep(spark, sf_dir).select(
+        "size", share[F.concat_ws("/", "size", "evict")].alias("evict_pct"), F.concat_ws("_", "policy", "n_triples").alias("config"), "fmeasure"
+    )
+    return policy_pivot(averaged, "fmeasure", rows=["size", "evict_pct"], values=[f"{p}_{n}" for p in POLICIES for n in LENGTHS])
+
+
 def registered() -> dict[str, Query]:
     from tripletide.workload import file_queries, stream_queries  # noqa: F401 - they add to QUERIES
 

@@ -7,7 +7,7 @@ from tripletide.plans.spec import WindowSpec
 from tripletide.scratch import scratch_path, store
 from tripletide.streaming.keyed import keyed_policy_window
 from tripletide.streaming.semantic import read_steps, start_semantic_window
-from tripletide.workload.queries import SEGMENTS, SIZE, query, segment_length, table, truth, user_entries
+from tripletide.workload.queries import STREAM, query, table, truth, user_entries
 from tripletide.workload.tables import EXPLAIN_CLASS, QUERY_CLASS, clock_entries, event_triples, tbox
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -16,9 +16,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 @query("semantic_window_stream")
 def semantic_window_stream(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    n = segment_length(events, SEGMENTS)
+    policy, n, size, out, evictions = STREAM
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    spec = WindowSpec(SIZE, SIZE // 2, "LRU", QUERY_CLASS, EXPLAIN_CLASS, n)
+    spec = WindowSpec(size, out, policy, QUERY_CLASS, EXPLAIN_CLASS, n, evictions)
     state = scratch_path(spark, "stream")
     started = start_semantic_window(
         event_triples(stream).withColumnRenamed("pos", "at"), tbox(spark, "events"), spec, state, ["at"],
