@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from tripletide.scratch import Stored, store
 
 MIN_DOCS = 10
 TOP = 10
-BLOCK_ENTRIES = 200_000
+BLOCK_ENTRIES = 500_000
 BLOCK_BYTES = 32 << 20
 BATCH_ROWS = 20_000
 PAIRS = 1 << 20
@@ -57,23 +58,20 @@ def terms_of(text: bytes) -> list[bytes]:
 
 def _run(held: dict) -> Iterator[pa.RecordBatch]:
     """The block's postings in order of (lang, term, source); a group's own row has the empty term."""
-    rows = [(lang, term, source, n, docs[term]) for (lang, source), (count, docs) in held.items() for term, n in count.items()]
-    rows += [(lang, b"", source, 0, 0) for lang, source in held]
-    rows.sort()
-    start = size = 0
-    for i, row in enumerate(rows):
-        if i - start >= BATCH_ROWS or size > BLOCK_BYTES:
-            yield _batch(rows[start:i])
-            start, size = i, 0
-        size += len(row[1])
-    if start < len(rows):
-        yield _batch(rows[start:])
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    lang, term, source, n, docs = zip(*rows)
-    names = [pa.array(c, pa.binary()).cast(pa.string()) for c in (lang, term, source)]
-    return pa.RecordBatch.from_arrays([*names, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "term", "source", "n", "docs"])
+    parts = []
+    for (lang, source), (count, docs) in held.items():
+        n = len(count) + 1
+        columns = {
+            "lang": pa.array([lang], pa.binary()).take(np.zeros(n, np.int32)),
+            "term": pa.array([b"", *count], pa.binary()),
+            "source": pa.array([source], pa.binary()).take(np.zeros(n, np.int32)),
+            "n": pa.array(np.fromiter(chain((0,), count.values()), np.int64, n)),
+            "docs": pa.array(np.fromiter(chain((0,), map(docs.__getitem__, count)), np.int64, n)),
+        }
+        parts.append(pa.table(columns))
+    run = pa.concat_tables(parts).sort_by([(c, "ascending") for c in ("lang", "term", "source")])
+    names = [run.column(c).cast(pa.string()) for c in ("lang", "term", "source")]
+    yield from pa.table([*names, run.column("n"), run.column("docs")], run.column_names).to_batches(max_chunksize=BATCH_ROWS)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,7 +82,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             terms = terms_of(text[i].as_py())
             count, docs = held.setdefault((lang[i].as_py(), source[i].as_py()), (Counter(), Counter()))
             different = set(terms)
-            fresh = different - docs.keys()
+            fresh = [term for term in different if term not in docs]
             count.update(terms)
             docs.update(different)
             entries += len(fresh)
