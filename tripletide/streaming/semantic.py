@@ -4,8 +4,12 @@ Every micro-batch is numbered, cut into graphs and reduced to the facts the quer
 and the explanation need; then all windows that have enough arrived graphs step on
 together. What lies between batches is a set of Parquet tables under
 ``state_dir/<batch_id>``: windows, waiting triples, entries and facts. A batch reads
-the tables of the one before and overwrites its own, so a repeated batch has the
+the tables of those before and overwrites its own, so a repeated batch has the
 same outcome.
+
+Facts are written once, by the batch they arrive in. Every COMPACT batches the facts that a
+window still needs are gathered into one table, and the older ones go once that batch is done.
+``finish`` ends the stream: the short last graph counts, and windows take their last steps.
 """
 
 from __future__ import annotations
@@ -36,6 +40,9 @@ from tripletide.scratch import store
 
 TERMS = ("s", "p", "o", "o_kind")
 
+# Batches between gatherings of the facts still needed.
+COMPACT = 16
+
 
 class SemanticWindow:
     """The per-batch work: ``stream.writeStream.foreachBatch(window.step)``.
@@ -71,10 +78,12 @@ class SemanticWindow:
     def _path(self, batch_id: int, name: str) -> str:
         return f"{self.state_dir}/{batch_id}/{name}"
 
+    def _exists(self, batch_id: int, name: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self._path(batch_id, name)}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
     def _read(self, batch_id: int, name: str) -> DataFrame | None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(batch_id, name))
-        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return self.spark.read.parquet(path.toString()) if fs.exists(path) else None
+        return self.spark.read.parquet(self._path(batch_id, name)) if self._exists(batch_id, name) else None
 
     def _write(self, df: DataFrame, batch_id: int, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self._path(batch_id, name))
@@ -87,17 +96,36 @@ class SemanticWindow:
     # --- one micro-batch
 
     def step(self, batch: DataFrame, batch_id: int) -> None:
+        self._forget(batch_id)
         finished, waiting = self._cut(batch, batch_id)
-        new_facts = facts_of(finished, self.both, [*self.source, "graph_no"])
-        parts = {"evidence": new_facts.evidence, "links": new_facts.links, "edges": new_facts.edges}
-        facts = {n: self._with_before(df, batch_id, n) for n, df in parts.items() if df is not None}
+        self._move(finished, waiting, batch_id, final=False)
+
+    def finish(self) -> None:
+        """Ends the stream after its last batch; repeating it has the same outcome."""
+        done = [i for i in self._batches() if self._exists(i, "moves") and not self._exists(i, "ended")]
+        if not done:
+            return
+        batch_id = max(done) + 1
+        waiting = self._read(batch_id - 1, "waiting")
+        finished = waiting.withColumn("graph_no", F.expr(f"pos div {self.spec.n_triples}"))
+        self._write(self.spark.range(1), batch_id, "ended")
+        self._move(finished, waiting.filter("false"), batch_id, final=True)
+
+    def _move(self, finished: DataFrame, waiting: DataFrame, batch_id: int, final: bool) -> None:
+        new = facts_of(finished, self.both, [*self.source, "graph_no"])
+        parts = {"evidence": new.evidence, "links": new.links, "edges": new.edges}
+        gathers = batch_id % COMPACT == 0
+        facts = {}
+        for name, df in parts.items():
+            if df is not None:
+                fresh = self._write(df, batch_id, f"new-{name}" if gathers else name)
+                facts[name] = self._since_gathered(fresh, batch_id, name)
         entries = store(self._with_before(self.entries(finished), batch_id, "entries"), "entries", sort_by=["graph_no"]).df
-        facts = {n: store(df, n, sort_by=["graph_no"]).df for n, df in facts.items()}
         reasoning = Reasoning(
             Facts(facts["evidence"], facts.get("links"), facts.get("edges")),
             self.query, self.spec.query_class, self.explain, self.spec.explain_class,
         )
-        rows, answers, moves = self._advance_ready(self._windows(entries, batch_id), entries, reasoning)
+        rows, answers, moves = self._advance_ready(self._windows(entries, batch_id), entries, reasoning, final)
         rows = self._write(rows, batch_id, "windows")
         self._write(waiting, batch_id, "waiting")
         # Graphs that no window holds any more and every window has passed are not carried on.
@@ -114,11 +142,36 @@ class SemanticWindow:
             return inside.unionByName(ahead)
 
         self._write(needed(entries), batch_id, "entries")
-        for name, df in facts.items():
-            self._write(needed(df), batch_id, name)
+        if gathers:
+            for name, df in facts.items():
+                self._write(needed(df), batch_id, name)
         self._write(answers, batch_id, "answers")
         self._write(moves, batch_id, "moves")
 
+    def _since_gathered(self, fresh: DataFrame, batch_id: int, name: str) -> DataFrame:
+        """All facts that windows may need: those of the last gathering, of the batches since, and the new ones."""
+        start = (batch_id - 1) // COMPACT * COMPACT
+        for i in range(max(0, start), batch_id):
+            before = self._read(i, name)
+            fresh = fresh if before is None else fresh.unionByName(before.select(fresh.columns))
+        return fresh
+
+    def _batches(self) -> list[int]:
+        root = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.state_dir)
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = fs.listStatus(root) if fs.exists(root) else []
+        return sorted(int(f.getPath().getName()) for f in found if f.getPath().getName().isdigit())
+
+    def _forget(self, batch_id: int) -> None:
+        """Deletes state that no batch from ``batch_id`` on reads; the batches before it are done."""
+        start = max(0, (batch_id - 1) // COMPACT * COMPACT)
+        for i in self._batches():
+            old = ["evidence", "links", "edges", "new-evidence", "new-links", "new-edges"] if i < start else []
+            old += ["entries", "windows", "waiting", "next"] if i < batch_id - 1 else []
+            for name in old:
+                path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._path(i, name))
+                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
     def _cut(self, batch: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """(quads of finished graphs, numbered triples of the unfinished one), numbering on from before."""
         numbered = number_rows(batch, self.order, self.key)
@@ -172,9 +225,13 @@ class SemanticWindow:
         return Windows(tuple(self.by), tuple(self.source), slots)
 
     def _advance_ready(
-        self, rows: DataFrame, entries: DataFrame, reasoning: Reasoning
+        self, rows: DataFrame, entries: DataFrame, reasoning: Reasoning, final: bool
     ) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Steps every window for which all the graphs a step may read have arrived."""
+        """Steps every window for which all the graphs a step may read have arrived.
+
+        At the end of the stream, ``final``, nothing more arrives: a full window takes what is there, one that never
+        stepped does with fewer graphs, and a window that cannot be filled again is through.
+        """
         n_windows = rows.filter("graph_no is null").count()
         win = self._naming(n_windows * self.spec.size)
         tracked = self.spec.policy != "FEFO" and self.spec.evict != self.spec.size
@@ -184,12 +241,13 @@ class SemanticWindow:
             clock = topped.withColumn("_now", F.max("arrival_ts").over(win.over()))
             gone = F.count_if(F.col("expire_ts") < F.col("_now")).over(win.over())
             arrived = F.col("n_graphs") - F.col("cursor")
-            able = (held(win) == F.col("size")) & (gone <= arrived)
+            full = held(win) == F.col("size")
+            able = full | (F.col("evict_no") == 1) if final else full & (gone <= arrived)
             marked = store(clock.withColumn("_ready", able).drop("_now"), "window").df
             if marked.filter("_ready").isEmpty():
                 break
             ready = store_windows(marked.filter("_ready").drop("_ready"), reasoning)
-            done = advance(ready, entries, reasoning, win, any_usage=tracked, stop_when_short=False)
+            done = advance(ready, entries, reasoning, win, any_usage=tracked, stop_when_short=final)
             epoch = (F.col("evict_no") - 1).alias("epoch")
             header = done.current.df.filter("graph_no is null").select(*self.by, epoch)
             answers.append(done.answers.df.join(header, self.by))
@@ -199,7 +257,8 @@ class SemanticWindow:
                     F.least(F.count("graph_no"), F.max(to_evict())).cast("bigint").alias("n_evicted"),
                 )
             )
-            rows = store(marked.filter("not _ready").drop("_ready").unionByName(done.following.df), "window").df
+            rest = marked.filter("false" if final else "not _ready").drop("_ready")
+            rows = store(rest.unionByName(done.following.df), "window").df
         empty = topped.filter("false")
         none = empty.select(*self.by, F.col("policy").alias("s"), F.col("evict_no").alias("epoch"))
         unmoved = empty.select(
@@ -220,7 +279,10 @@ def read_steps(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
 def start_semantic_window(
     stream: DataFrame, axioms: DataFrame | TBox, spec: WindowSpec, state_dir: str, order: Sequence[str], **options
 ) -> StreamingQuery:
-    """Starts the window on a stream of triples; ``options`` as for SemanticWindow, and ``trigger``."""
+    """Starts the window on a stream of triples; ``options`` as for SemanticWindow, and ``trigger``.
+
+    When a stream has come to its end for good, ``end_semantic_window`` takes the last steps.
+    """
     trigger = options.pop("trigger", {"availableNow": True})
     window = SemanticWindow(stream.sparkSession, axioms, spec, f"{state_dir}/tables", order, **options)
     return (
@@ -229,3 +291,11 @@ def start_semantic_window(
         .trigger(**trigger)
         .start()
     )
+
+
+def end_semantic_window(
+    spark: SparkSession, axioms: DataFrame | TBox, spec: WindowSpec, state_dir: str, order: Sequence[str], **options
+) -> None:
+    """The last steps of a terminated stream started with the same settings; then ``read_steps`` has all of them."""
+    options.pop("trigger", None)
+    SemanticWindow(spark, axioms, spec, f"{state_dir}/tables", order, **options).finish()

@@ -201,27 +201,19 @@ def replay_sql(configs: list[tuple], steps: int, columns: str = "*") -> str:
     return f"{replay_ctes(configs, steps)}\nSELECT {columns} FROM scored JOIN moves USING (config_id, epoch)"
 
 
-def keyed_sql(size: int, evict: int, steps: int) -> str:
-    """Per-user windows ranked by use count, unrolled; a user steps while whole refills are there."""
-    ctes = [f"""al AS (SELECT * FROM entries),
-st0 AS (SELECT user_id, count(*) AS n_graphs, least({size}, count(*)) AS cursor FROM al GROUP BY user_id),
-en0 AS (SELECT al.* FROM al JOIN st0 USING (user_id) WHERE graph_no < cursor)"""]
-    for k in range(steps):
-        ctes.append(f"""ck{k} AS (SELECT *, max(arrival_ts) OVER (PARTITION BY user_id) AS now FROM en{k}),
-rd{k} AS MATERIALIZED (SELECT user_id, n_graphs, cursor, count(*) FILTER (expire_ts < now) AS gone
-  FROM ck{k} JOIN st{k} USING (user_id) GROUP BY user_id, n_graphs, cursor
-  HAVING count(*) = {size} AND count(*) FILTER (expire_ts < now) <= n_graphs - cursor),
-cu{k} AS (SELECT user_id, graph_no, use_count, arrival_ts, expire_ts FROM ck{k} SEMI JOIN rd{k} USING (user_id) WHERE expire_ts >= now
-  UNION ALL SELECT al.* FROM al JOIN rd{k} USING (user_id) WHERE graph_no >= cursor AND graph_no < cursor + gone),
-rk{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY use_count, graph_no) AS rn FROM cu{k}),
-out{k} AS (SELECT user_id, CAST({k} AS BIGINT) AS epoch, graph_no, 'expired' AS cause FROM ck{k} SEMI JOIN rd{k} USING (user_id) WHERE expire_ts < now
-  UNION ALL SELECT user_id, {k}, graph_no, 'evicted' FROM rk{k} JOIN rd{k} USING (user_id) WHERE rn <= {evict} - gone),
-st{k + 1} AS MATERIALIZED (SELECT user_id, n_graphs, cursor + gone AS start,
-  cursor + gone + least(greatest(0, {evict} - gone), n_graphs - cursor - gone) AS cursor FROM rd{k}),
-en{k + 1} AS MATERIALIZED (SELECT user_id, graph_no, use_count, arrival_ts, expire_ts FROM rk{k} JOIN rd{k} USING (user_id) WHERE rn > {evict} - gone
-  UNION ALL SELECT al.* FROM al JOIN st{k + 1} USING (user_id) WHERE graph_no >= start AND graph_no < cursor)""")
-    left = " UNION ALL ".join(f"SELECT * FROM out{k}" for k in range(steps))
-    return f"{USERS},\n" + ",\n".join(ctes) + f"\n{left}"
+def keyed_sql(size: int, evict: int) -> str:
+    """Per-user windows ranked by use count, a row per step with the window as a list; a user steps while whole refills are there."""
+    return f"""{USERS.replace("WITH ", "WITH RECURSIVE ", 1)},
+al AS (SELECT user_id, list(struct_pack(u := use_count, g := graph_no, a := arrival_ts, e := expire_ts) ORDER BY graph_no) AS al FROM entries GROUP BY user_id),
+st AS (SELECT user_id, al, CAST(-1 AS BIGINT) AS epoch, al[1:{size}] AS held, least({size}, len(al)) AS cursor, al[1:0] AS gone, al[1:0] AS evicted FROM al
+  UNION ALL SELECT user_id, al, epoch + 1, ranked[k + 1:] || al[filled + 1:filled + k], least(len(al), filled + k), gone, ranked[1:k] FROM (
+    SELECT user_id, al, epoch, gone, cursor + len(gone) AS filled, greatest(0, {evict} - len(gone)) AS k,
+      list_sort(list_filter(held, lambda x: x.e >= now) || al[cursor + 1:cursor + len(gone)]) AS ranked FROM (
+      SELECT user_id, al, epoch, held, cursor, now, list_filter(held, lambda x: x.e < now) AS gone FROM (
+        SELECT user_id, al, epoch, held, cursor, list_max(list_transform(held, lambda x: x.a)) AS now FROM st WHERE len(held) = {size}) clocked) marked
+    WHERE len(gone) <= len(al) - cursor) stepped)
+SELECT user_id, epoch, unnest(gone).g AS graph_no, 'expired' AS cause FROM st
+UNION ALL SELECT user_id, epoch, unnest(evicted).g, 'evicted' FROM st"""
 
 
 PART_EDGES = """WITH RECURSIVE edge AS (
@@ -244,7 +236,7 @@ NT = f"""SELECT CAST(event_id * 2 + i AS BIGINT) AS seq,
 # A run with T evictions has T + 1 steps; the stream of 30 graphs ends before STREAM_STEPS.
 SWEEP = [c[:6] for c in PUBLISHED]
 SWEEP_STEPS = max(c[5] for c in SWEEP) + 1
-STREAM_STEPS, KEYED_STEPS = 16, 16
+STREAM_STEPS = 16
 AVERAGED = f"""{replay_ctes(SWEEP, SWEEP_STEPS)},
 averaged AS (SELECT config_id, policy, n, size, evict, {", ".join(f"round(sum({m}) / (evictions + 1), 9) AS {m}" for m in ("precision", "recall", "fmeasure"))}
   FROM scored JOIN cf USING (config_id) GROUP BY config_id, policy, n, size, evict, evictions)"""
@@ -330,7 +322,7 @@ FROM averaged JOIN shares USING (size, evict) GROUP BY size, evict_pct""",
     "window_replay": replay_sql([("run", *RUN)], RUN[-1] + 1),
     "policy_sweep": replay_sql(SWEEP, SWEEP_STEPS),
     "semantic_window_stream": replay_sql([("run", *STREAM)], STREAM_STEPS, "* EXCLUDE (config_id)"),
-    "keyed_policy_window": keyed_sql(6, 3, KEYED_STEPS),
+    "keyed_policy_window": keyed_sql(6, 3),
     "nt_scan": f"{NT}, CASE WHEN i = 0 THEN '{BASE}/event/' || event_id ELSE props END AS o, "
                "CASE WHEN i = 0 THEN 'iri' ELSE 'lit' END AS o_kind FROM events, (VALUES (0), (1)) AS two(i)",
     "nt_scan_compat": f"""{NT}, CASE WHEN i = 0 THEN '{BASE}/event/' || event_id ELSE
