@@ -20,7 +20,7 @@ def test_stages_act_on_what_is_kept(spark):
             assert docs.columns == before.columns
     good, unique = seen["quality classifier"], seen["MinHash near-dedup"]
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
-    assert {r["doc_id"] for r in unique.collect()} == {d for d, n, _, kept in brute.near_duplicates(rows) if kept or not n}
+    assert {r["doc_id"] for r in unique.collect()} == {d for d, n, _, kept in brute.near_duplicates(rows, corpus_pipeline.NEAR) if kept or not n}
     clean, mix = seen["benchmark decontamination"], seen["mixing sources"]
     items = [" ".join(brute.words(r["text"])) for r in table(spark, SF, "benchmark").collect()]
     held = {r["doc_id"] for r in unique.collect() if any(i in " ".join(brute.words(r["text"])) for i in items)}

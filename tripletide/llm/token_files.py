@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from tripletide.scratch import scratch_path
 LIMIT = 16
 CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 16
-# Entries of a worker's cache of words; a full cache is emptied and begins anew.
+# Entries of a worker's cache of words; a full cache loses its older half.
 CACHED_WORDS = 500_000
 
 # The outer cuts of the byte-level pattern: no token crosses them.
@@ -94,33 +95,36 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
 
-    def _learn(self, piece: str) -> bytes:
-        out = []
-        for part in _FINE.findall(piece):
-            held = self.fine.get(part)
-            if held is None:
-                spelled = part.encode().decode("latin-1").translate(self.letters)
-                held = self.fine[part] = self._bytes([t.id for t in self.whole.model.tokenize(spelled)])
-            out.append(held)
-        held = self.words[piece] = b"".join(out)
-        return held
+    def _learn(self, pieces: list[str]) -> None:
+        """Puts words into the cache; their parts not met before go to the library in one call."""
+        cut = [_FINE.findall(p) for p in pieces]
+        fresh = list(dict.fromkeys(part for parts in cut for part in parts if part not in self.fine))
+        for part, found in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False)):
+            self.fine[part] = self._bytes(found.ids)
+        for piece, parts in zip(pieces, cut):
+            self.words[piece] = b"".join(map(self.fine.__getitem__, parts))
 
     def _is_odd(self, text: str) -> bool:
-        beyond = len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text)
-        return beyond or any(t in text for t in self.special) or self.odd.search(text) is not None
-
-    def encode(self, text: str) -> bytes:
-        if not self.plain or self._is_odd(text):
-            return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.fine) > CACHED_WORDS:
-            self.fine.clear()
-        pieces = _PIECES.findall(text)
-        found = list(map(self.words.get, pieces))
-        if None in found:
-            found = [self.words.get(p) or self._learn(p) if v is None else v for p, v in zip(pieces, found)]
-        return b"".join(found)
+        if any(t in text for t in self.special):
+            return True
+        if text.isascii():
+            return any(c in text for c in "\x1c\x1d\x1e\x1f")
+        return len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text) or self.odd.search(text) is not None
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, as bytes."""
+        for cache in (self.words, self.fine):
+            if len(cache) > CACHED_WORDS:
+                for word in list(islice(cache, len(cache) // 2)):
+                    del cache[word]
+        pieces = [_PIECES.findall(t) if self.plain and not self._is_odd(t) else None for t in texts]
+        known = self.words
+        self._learn(list(dict.fromkeys(p for found in pieces if found for p in found if p not in known)))
+        return [
+            self._bytes(self.whole.encode(t, add_special_tokens=False).ids) if found is None
+            else b"".join(map(known.__getitem__, found))
+            for t, found in zip(texts, pieces)
+        ]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -138,7 +142,7 @@ def _tokenized(path: str, end_id: int):
         end = np.array([end_id], enc.width).tobytes()
         for batch in batches:
             for part in runs(batch, "text"):
-                ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
+                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
                 lengths = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
                 before = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
@@ -279,10 +283,11 @@ def _packed(base: dict[int, int], lengths: np.ndarray, width: str):
         code = Code(lengths)
         words = code.words()
         held: list[tuple[int, int, int | None, int, np.ndarray]] = []
+        total = 0
 
         def block():
             payload, marks = pack(np.concatenate([h[4] for h in held]), code, words)
-            row = [held[0][0], base[held[0][0]] + held[0][1], sum(h[3] for h in held), [h[2] for h in held], [h[3] for h in held], marks.tolist(), payload]
+            row = [held[0][0], base[held[0][0]] + held[0][1], total, [h[2] for h in held], [h[3] for h in held], marks.tolist(), payload]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [c.split()[0] for c in _BLOCK.split(", ")])
@@ -290,9 +295,11 @@ def _packed(base: dict[int, int], lengths: np.ndarray, width: str):
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("shard", "at", "doc_id", "n")]
             for shard, at, doc, n, ids in zip(*cols, batch.column("ids")):
-                if held and (shard != held[0][0] or at != held[-1][1] + held[-1][3] or sum(h[3] for h in held) >= BLOCK_TOKENS):
+                if held and (shard != held[0][0] or at != held[-1][1] + held[-1][3] or total >= BLOCK_TOKENS):
                     yield block()
+                    total = 0
                 held.append((shard, at, doc, n, np.frombuffer(ids.as_py(), width)))
+                total += n
         if held:
             yield block()
 
