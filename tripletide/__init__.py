@@ -18,6 +18,7 @@ from tripletide.operators.window import assign_ttl, bump, evict, expire, fill, t
 from tripletide.plans.replay import replay, sweep
 from tripletide.plans.spec import WindowSpec
 from tripletide.sources.metrics import read_bench, write_metrics
+from tripletide.sources.result_files import write_results
 from tripletide.sources.ntriples import read_ntriples, rejected_lines
 from tripletide.sources.ontology import read_ontology
 from tripletide.sources.quads import read_quads, write_quads
@@ -29,5 +30,5 @@ __all__ = [
     "instances_of", "match", "number_rows", "policy_pivot", "propagate_props", "propagate_types",
     "read_bench", "read_ntriples", "read_ontology", "read_quads", "read_truth", "rejected_lines", "replay", "run_average",
     "saturate_tbox", "sweep", "touch", "trace", "types_from_domain", "types_from_range",
-    "types_from_restrictions", "union_graphs", "window_quality", "write_metrics", "write_quads",
+    "types_from_restrictions", "union_graphs", "window_quality", "write_metrics", "write_quads", "write_results",
 ]

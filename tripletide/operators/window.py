@@ -41,8 +41,10 @@ def assign_ttl(quads: DataFrame, ttl: Column | None = None, by: Sequence[str] =
     )
 
 
-def fill(all_entries: DataFrame, entries: DataFrame, size: int, cursor: int, by: Sequence[str] = ()) -> DataFrame:
-    """Entries topped up to ``size`` with the next graphs from ``cursor`` on."""
+def fill(
+    all_entries: DataFrame, entries: DataFrame, size: int, cursor: int | Column, by: Sequence[str] = ()
+) -> DataFrame:
+    """Entries topped up to ``size`` with the next graphs from ``cursor`` on (a number, or a column over ``by``)."""
     if not by:
         free = F.lit(size) - entries.agg(F.count(F.lit(1))).scalar()
         taken = all_entries.filter((F.col("graph_no") >= cursor) & (F.col("graph_no") < cursor + free))
@@ -86,13 +88,15 @@ def evict(
 ) -> tuple[DataFrame, DataFrame]:
     """(kept, evicted): the window loses ``max(0, evict - n_expired)`` graphs by policy.
 
-    ``n_expired`` is a number, or per key a DataFrame (key..., n_expired). When
-    ``evict`` equals ``size`` everything goes, without ranking.
+    ``n_expired`` is a number, or for windows told apart by ``key`` a DataFrame
+    (key..., n_expired). When ``evict`` equals ``size`` everything goes, without ranking.
     """
+    if isinstance(n_expired, DataFrame) and not key:
+        raise ValueError("n_expired per window needs a key; one window takes a number")
     if size is not None and evict == size:
         return entries.filter(F.lit(False)), entries
     by = [key] if isinstance(key, str) else list(key or [])
-    if not by and not isinstance(n_expired, DataFrame):
+    if not by:
         gone = entries.orderBy(*policy_order(policy)).limit(max(0, evict - n_expired))
     else:
         rank = F.row_number().over(Window.partitionBy(*by).orderBy(*policy_order(policy)))
@@ -130,6 +134,10 @@ def trace(entries: DataFrame, now: Column, config: str | Column, epoch: int | Co
     )
 
 
-def graph_label(number: Column, base: str = "http://example.org/graphID") -> Column:
+# Fixed value: what the IRIs of graphs begin with.
+GRAPH_BASE = "http://example.org/graphID"
+
+
+def graph_label(number: Column, base: str = GRAPH_BASE) -> Column:
     """The graph's IRI, for output; inside, graphs are numbers."""
     return F.concat(F.lit(base), number.cast("string"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,13 @@ HEADER = ("sparql", "precision", "recall", "fmeasure", "explain", "evict", "memo
 FILE_NAME = r"([A-Za-z]+?)(FEFO|LRU|LFU)([A-Za-z]+)_bench_(\d+)_(\d+)_(\d+)\.csv$"
 
 
+def averages(metrics: DataFrame, by: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """Sums over the ``evictions`` + 1 windows of each run, divided by them; without ``evictions`` by those there are."""
+    evictions = F.max("evictions") if "evictions" in metrics.columns else F.lit(None).cast("int")
+    windows = F.coalesce(evictions + 1, F.count(F.lit(1)))
+    return metrics.groupBy(*by).agg(*[(F.sum(c) / windows).alias(c) for c in measures])
+
+
 def write_metrics(metrics: DataFrame, path: str, averaged: bool, fmt: str = "csv") -> None:
     """Rows per window, or one averaged row per run, in a folder per setting.
 
@@ -20,12 +29,11 @@ def write_metrics(metrics: DataFrame, path: str, averaged: bool, fmt: str = "csv
     for averaging ``evictions`` (null: average over the windows there are).
     """
     if averaged:
-        windows = F.coalesce(F.max("evictions") + 1, F.count(F.lit(1)))
         numbers = [
             c for c, t in metrics.dtypes
             if c not in (*SETTING_COLUMNS, "config_id", "epoch", "evictions") and t not in ("string", "boolean")
         ]
-        metrics = metrics.groupBy(*SETTING_COLUMNS).agg(*[(F.sum(c) / windows).alias(c) for c in numbers])
+        metrics = averages(metrics, SETTING_COLUMNS, numbers)
     writer = metrics.write.partitionBy(*SETTING_COLUMNS)
     writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
 

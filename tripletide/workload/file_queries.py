@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripletide.scratch import scratch_path
-from tripletide.sources.metrics import read_bench, write_metrics
+from tripletide.operators.quality import MEASURES
+from tripletide.scratch import scratch_path, store
+from tripletide.sources.metrics import read_bench
 from tripletide.sources.ntriples import read_ntriples
 from tripletide.sources.ontology import read_ontology
 from tripletide.sources.quads import read_quads, write_quads
+from tripletide.sources.result_files import write_results
 from tripletide.sources.truth import read_truth
 from tripletide.workload import files
 from tripletide.workload.queries import N, SIZE, event_quads, query, table, tumbling_quality
@@ -41,14 +43,20 @@ def ground_truth_scan(spark, sf_dir):
 
 @query("metrics_sink")
 def metrics_sink(spark, sf_dir):
+    """Window rows and averages as result files of exact names, read back by the scan of published files."""
     settings = {"policy": F.lit("FEFO"), "n_triples": F.lit(N), "size": F.lit(SIZE), "evict": F.lit(SIZE)}
-    path = scratch_path(spark, "metrics")
-    write_metrics(tumbling_quality(spark, sf_dir, N, SIZE).withColumns(settings), path, averaged=False)
-    schema = (
-        "epoch bigint, n_results bigint, hits bigint, precision double, recall double, fmeasure double, "
-        "policy string, n_triples int, size int, evict int"
-    )
-    return spark.read.schema(schema).csv(path, header=True)
+    metrics = store(tumbling_quality(spark, sf_dir, N, SIZE).withColumns(settings), "metrics").df
+    parts = []
+    for kind in ("window", "average"):
+        path = scratch_path(spark, f"results-{kind}")
+        write_results(metrics, path, averaged=kind == "average")
+        parts.append(read_bench(spark, path).withColumn("kind", F.lit(kind)))
+    columns = ["kind", "store", "policy", "storage", "n_triples", "size", "evict", "explain"]
+    return parts[0].unionByName(parts[1]).select(*columns, *[F.round(c, 9).alias(c) for c in MEASURES])
+
+
+# Policy and length of graphs in the name of each event type's file.
+BENCH_KINDS = {"click": ("FEFO", 10), "purchase": ("LRU", 10), "view": ("LFU", 10), "error": ("FEFO", 100), "signup": ("LRU", 100)}
 
 
 @query("bench_results_scan")
@@ -57,16 +65,14 @@ def bench_results_scan(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     folder = scratch_path(spark, "bench")
     header = "sparql, precision, recall, fmeasure, explain, evict, memory"
-    kinds = {"click": "FEFO", "purchase": "LRU", "view": "LFU"}
+    n, low, high = F.count(F.lit(1)), F.min("event_id"), F.max("event_id")
+    counts = store(events.groupBy("event_type").agg(n.alias("n"), low.alias("low"), high.alias("high")), "counts").df
     paths = []
-    for kind, policy in kinds.items():
-        for store, explain in (("one", "7, "), ("two", "")):
-            n, low, high = F.count(F.lit(1)), F.min("event_id"), F.max("event_id")
-            row = events.filter(F.col("event_type") == kind).agg(
-                F.array(F.lit(header), F.concat(n, F.lit(", 1.0, 0.5, 0.25, " + explain), low, F.lit(", "), high)).alias("v")
-            )
-            lines = row.select(F.explode("v").alias("value"))
-            paths.append(files.named_file(lines, folder, f"{store}{policy}mem_bench_10_100_25.csv"))
+    for kind, (policy, length) in BENCH_KINDS.items():
+        for name, explain in (("one", "7, "), ("two", "")):
+            row = F.array(F.lit(header), F.concat("n", F.lit(", 1.0, 0.5, 0.25, " + explain), "low", F.lit(", "), "high"))
+            lines = counts.filter(F.col("event_type") == kind).select(F.explode(row).alias("value"))
+            paths.append(files.named_file(lines, folder, f"{name}{policy}mem_bench_{length}_100_25.csv"))
     return read_bench(spark, paths)
 
 

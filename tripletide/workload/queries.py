@@ -324,13 +324,18 @@ def evict_lfu(spark, sf_dir):
 
 @query("evict_net_of_expired")
 def evict_net_of_expired(spark, sf_dir):
-    """A step of every user's first window: expire, refill, and evict what is left of five."""
+    """A step of every window of SIZE graphs of every user: expire, refill, and evict what is left of five."""
     entries = store(user_entries(spark, sf_dir), "entries").df
-    live, gone = expire(at_last_arrival(entries.filter(f"graph_no < {SIZE}")), F.col("now"))
-    n_expired = gone.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_expired"))
-    window = fill(entries, live.select(entries.columns), SIZE, SIZE, by=["user_id"])
-    _, out = evict(window, "FEFO", 5, n_expired, key="user_id")
-    return out.select("user_id", "graph_no")
+    by = ["user_id", "window"]
+    windows = entries.withColumn("window", F.expr(f"graph_no div {SIZE}"))
+    now = windows.groupBy(*by).agg(F.max("arrival_ts").alias("now"))
+    live, gone = expire(windows.join(now, by), F.col("now"))
+    n_expired = gone.groupBy(*by).agg(F.count(F.lit(1)).alias("n_expired"))
+    # A window refills from the graphs after it.
+    after = windows.withColumn("window", F.col("window") - 1).filter("window >= 0")
+    filled = fill(after, live.select(windows.columns), SIZE, (F.col("window") + 1) * SIZE, by=by)
+    _, out = evict(filled, "FEFO", 5, n_expired, key=by)
+    return out.select("user_id", "window", "graph_no")
 
 
 @query("evict_all")
