@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripletide.llm.tables import runs, saved
+from tripletide.llm.tables import dropped, runs, saved
 from tripletide.llm.words import mix, shingle_hashes, word_hashes
 
 PASSAGE = 50
@@ -194,24 +194,31 @@ def _merged(spans: DataFrame) -> DataFrame:
     return whole.select("doc_id", *[F.col(c).cast("int").alias(c) for c in ("start", "end")], (F.col("end") - F.col("start")).cast("int").alias("n_words"), "other_id")
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """Asks for a sort-merge join: these tables grow with the corpus, and joins go the same way at every size."""
+    return df.hint("merge")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, other_id) of every stretch of ``docs`` (doc_id, text) that other documents repeat.
 
     ``start`` and ``end`` count words; every stretch consists of passages of at least PASSAGE words. ``other_id``
     is the least id found among the documents it was compared with.
     """
+    spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
-    seeds, _ = saved(keyed.select("doc", "text").mapInArrow(_seeded, "doc long, at int, seed long"), "seeds")
+    seeds, seeds_at = saved(keyed.select("doc", "text").mapInArrow(_seeded, "doc long, at int, seed long"), "seeds")
     # a row that is there twice has every seed twice, all in one document
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    often, _ = saved(often, "often")  # a table of its own, so that a seed of very many suffixes can be split in the join
-    chosen = seeds.join(often, "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("at", "seed")).alias("s"))
+    often, often_at = saved(often, "often")  # a table of its own, so that a seed of very many suffixes can be split in the join
+    chosen = seeds.join(_sorted(often), "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("at", "seed")).alias("s"))
     chosen = chosen.select("doc", F.col("s.at").alias("places"), F.col("s.seed").alias("seeds"))
-    texts = keyed.join(chosen, "doc").select("doc_id", "doc", "text", "places", "seeds")
+    texts = keyed.join(_sorted(chosen), "doc").select("doc_id", "doc", "text", "places", "seeds")
     suffixes = texts.mapInArrow(_contexts, _SUFFIX).dropDuplicates(["doc", "at"])
     suffixes, _ = saved(suffixes, "suffixes")
+    dropped(spark, seeds_at, often_at)
     order = ["seed", "after", "doc", "at"]
-    sorted_, _ = saved(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _EDGE), "neighbours")
+    sorted_, sorted_at = saved(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _EDGE), "neighbours")
     ends = sorted_.filter("shard is not null")
     row = F.struct("seed", "after", "before", "doc", "at")
     # two rows of each partition, in order
@@ -219,34 +226,36 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     matches = sorted_.filter("shard is null").select("doc", "at", "left", "right", "other")
     matches = matches.unionByName(pairs.mapInArrow(_ends, _MATCH))
     matches, _ = saved(matches, "matches")
+    dropped(spark, sorted_at)
     best = matches.groupBy("doc", "at").agg(F.max(F.struct(F.col("left") + F.col("right"), "left", "right")).alias("one"))
     best = best.select("doc", "at", F.col("one.left").alias("left"), F.col("one.right").alias("right"))
     most = F.least(F.lit(REACH), F.octet_length("before") / 4)  # words a window may begin before the seed
     least = F.greatest(F.lit(0), REACH - F.octet_length("after") / 4)
     covered = F.coalesce((most <= F.col("left")) & (REACH - least <= F.col("right")), F.lit(False))
     context = F.xxhash64("seed", "after", "before")
-    uncovered = suffixes.join(best, ["doc", "at"], "left").filter((least <= most) & ~covered)
+    uncovered = suffixes.join(_sorted(best), ["doc", "at"], "left").filter((least <= most) & ~covered)
     uncovered, _ = saved(uncovered.select("seed", context.alias("context"), "doc", "at"), "uncovered")
     # equal contexts have equal windows: they are looked up once for all documents that hold them
-    asked_seeds, _ = saved(uncovered.select("seed").distinct(), "open-seeds")
-    asked = suffixes.join(asked_seeds, "seed", "left_semi")
+    asked_seeds, asked_at = saved(uncovered.select("seed").distinct(), "open-seeds")
+    asked = suffixes.join(_sorted(asked_seeds), "seed", "left_semi")
     asked = asked.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
     asked = asked.select(context.alias("context"), "seed", "after", "before", "one", "two")
     open_, _ = saved(asked.mapInArrow(_windows, "context long, one long, two long, back byte, mark long"), "windows")
+    dropped(spark, asked_at)
     shared = open_.groupBy("mark").agg(F.min("one").alias("least"), F.max("two").alias("most")).filter("least != most")
     # all windows around a seed overlap, so those that others hold make one span
-    wide = open_.select("context", "back", "mark").join(shared, "mark").groupBy("context").agg(
+    wide = open_.select("context", "back", "mark").join(_sorted(shared), "mark").groupBy("context").agg(
         F.min("back").alias("low"), F.max("back").alias("high"), F.min("least").alias("one"), F.max("most").alias("two")
     )
-    late = uncovered.join(wide, "context").select(
+    late = uncovered.join(_sorted(wide), "context").select(
         "doc", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + PASSAGE).alias("end"),
         F.when(F.col("doc") == F.col("one"), F.col("two")).otherwise(F.col("one")).alias("other"),
     )
     early = matches.select("doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + SEED + F.col("right")).alias("end"), "other")
     found = early.unionByName(late).groupBy("doc", "start", "end").agg(F.min("other").alias("other"))
-    names = keyed.select("doc", "doc_id").join(chosen.select("doc"), "doc", "left_semi").groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    names = keyed.select("doc", "doc_id").join(_sorted(suffixes.select("doc").distinct()), "doc", "left_semi").groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     names, _ = saved(names, "names")
     other = names.select(F.col("doc").alias("other"), F.col("doc_id").alias("other_id"))
-    spans = found.join(names, "doc").join(other, "other", "left").select("doc", "doc_id", "start", "end", "other_id")
+    spans = found.join(_sorted(names), "doc").join(_sorted(other), "other", "left").select("doc", "doc_id", "start", "end", "other_id")
     twice = keyed.join(names.filter("rows > 1").select("doc"), "doc").dropDuplicates(["doc"]).mapInArrow(_counted, "doc long, doc_id long, start int, end int, other_id long")
     return _merged(spans.unionByName(twice))
