@@ -39,10 +39,12 @@ LIMIT = 16
 CHECKPOINT = 512
 BLOCK_TOKENS = 1 << 16
 # Entries of a worker's cache of words; a full cache loses its older half.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 800_000
 
 # The outer cuts of the byte-level pattern: no token crosses them.
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
+# Without these, and no blank at either end, the pieces are lines' words, each with the blank before it, and line ends.
+_GAPS = ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")
 _FINE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
@@ -58,6 +60,17 @@ def _odd_pattern() -> str:
     return "[" + "".join(odd) + "]"
 
 
+class _Words(dict):
+    """Ids of words met before, each with ``before`` in front; a new one is learnt when it is asked for."""
+
+    def __init__(self, encoder: Encoder, before: str):
+        self.encoder, self.before = encoder, before
+
+    def __missing__(self, word: str) -> bytes:
+        held = self[word] = self.encoder.learn(self.before + word)
+        return held
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with a cache of the words met before.
 
@@ -77,7 +90,7 @@ class Encoder:
         spelled = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
         rest = [b for b in range(256) if b not in set(spelled)]
         self.letters = {b: b for b in spelled} | {b: 256 + k for k, b in enumerate(rest)}
-        self.words: dict[str, bytes] = {}
+        self.words, self.spaced = _Words(self, ""), _Words(self, " ")
         self.fine: dict[str, bytes] = {}
         self.plain = self._is_plain()
 
@@ -95,14 +108,15 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return np.array(ids, self.width).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Puts words into the cache; their parts not met before go to the library in one call."""
-        cut = [_FINE.findall(p) for p in pieces]
-        fresh = list(dict.fromkeys(part for parts in cut for part in parts if part not in self.fine))
-        for part, found in zip(fresh, self.whole.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.fine[part] = self._bytes(found.ids)
-        for piece, parts in zip(pieces, cut):
-            self.words[piece] = b"".join(map(self.fine.__getitem__, parts))
+    def learn(self, piece: str) -> bytes:
+        out = []
+        for part in _FINE.findall(piece):
+            held = self.fine.get(part)
+            if held is None:
+                spelled = part.encode().decode("latin-1").translate(self.letters)
+                held = self.fine[part] = self._bytes([t.id for t in self.whole.model.tokenize(spelled)])
+            out.append(held)
+        return b"".join(out)
 
     def _is_odd(self, text: str) -> bool:
         if any(t in text for t in self.special):
@@ -111,20 +125,20 @@ class Encoder:
             return any(c in text for c in "\x1c\x1d\x1e\x1f")
         return len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text) or self.odd.search(text) is not None
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text, as bytes."""
-        for cache in (self.words, self.fine):
+    def encode(self, text: str) -> bytes:
+        if not self.plain or self._is_odd(text):
+            return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+        for cache in (self.words, self.spaced, self.fine):
             if len(cache) > CACHED_WORDS:
                 for word in list(islice(cache, len(cache) // 2)):
                     del cache[word]
-        pieces = [_PIECES.findall(t) if self.plain and not self._is_odd(t) else None for t in texts]
-        known = self.words
-        self._learn(list(dict.fromkeys(p for found in pieces if found for p in found if p not in known)))
-        return [
-            self._bytes(self.whole.encode(t, add_special_tokens=False).ids) if found is None
-            else b"".join(map(known.__getitem__, found))
-            for t, found in zip(texts, pieces)
-        ]
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(gap in text for gap in _GAPS):
+            return b"".join(map(self.words.__getitem__, _PIECES.findall(text)))
+        out = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out += [self.words["\n"], self.words[first], *map(self.spaced.__getitem__, rest)]
+        return b"".join(out[1:])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -142,7 +156,7 @@ def _tokenized(path: str, end_id: int):
         end = np.array([end_id], enc.width).tobytes()
         for batch in batches:
             for part in runs(batch, "text"):
-                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
+                ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
                 lengths = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
                 before = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
