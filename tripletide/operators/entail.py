@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tripletide.operators.closure import closure
 from tripletide.operators.joins import skew_join
 from tripletide.operators.ontology import Goal, TBox, cue_of, goal_for, property_paths
+from tripletide.operators.paths import reaching
 from tripletide.scratch import pin, store
 
 LEAF = ("leaf_s", "leaf_p", "leaf_o")
@@ -143,28 +144,63 @@ def _far() -> Column:
     return F.when(F.col("flip"), F.col("s")).otherwise(F.col("o")).alias("y")
 
 
-def path_links(facts: Facts, goal: Goal, by: Sequence[str], leaves: bool = False) -> DataFrame | None:
-    """All links, those along paths of transitive properties included.
+RULE = ("need", "c", "d", "c_given", "d_given")
 
-    With ``leaves`` a path link is repeated for every edge lying on a path from its
-    first to its last node; without, it carries no leaf.
+
+def plain_links(facts: Facts, goal: Goal, by: Sequence[str]) -> DataFrame | None:
+    """Links of single triples, and of paths whose far end needs no proof: one edge shows that there is a path."""
+    if facts.links is None:
+        return None
+    base = [*by, "x", "y", *RULE]
+    links = facts.links.select(base)
+    if facts.edges is None or goal.rules is None:
+        return links
+    short = facts.edges.select(*by, "via", "src", "dst").join(goal.rules.filter("via is not null and d_given").drop("p"), "via")
+    return links.unionByName(short.select(*by, *_turned("x", "y"), *RULE))
+
+
+def _turned(near: str, far: str) -> list[Column]:
+    return [
+        F.when(F.col("flip"), F.col("dst")).otherwise(F.col("src")).alias(near),
+        F.when(F.col("flip"), F.col("src")).otherwise(F.col("dst")).alias(far),
+    ]
+
+
+class Paths:
+    """Rules over transitive properties: x is a ``need`` if a path leads to a member of d (and x is a c)."""
+
+    def __init__(self, facts: Facts, goal: Goal, by: Sequence[str]) -> None:
+        self.by, self.rules = list(by), goal.rules.filter("via is not null and not d_given").drop("p").distinct()
+        self.way = ["via", "flip", "d"]
+        ways = self.rules.select(self.way).distinct()
+        # One set of edges per property, direction and class looked for.
+        self.edges = store(
+            facts.edges.select(*by, "via", "src", "dst").join(ways, "via").select(*by, *self.way, *_turned("_src", "_dst")).distinct(), "path-edges"
+        ).df.withColumnsRenamed({"_src": "src", "_dst": "dst"})
+        self.ways = ways
+
+    def proven(self, types: DataFrame) -> DataFrame:
+        """(by..., x, need, c, c_given) of the paths that end in a member."""
+        ends = types.select(*self.by, "node", F.col("cls").alias("d")).join(self.ways, "d")
+        found = reaching(self.edges, ends, [*self.by, *self.way])
+        return found.join(self.rules, self.way).select(*self.by, F.col("node").alias("x"), "need", "c", "c_given")
+
+
+def path_links(facts: Facts, goal: Goal, by: Sequence[str]) -> DataFrame | None:
+    """All links with their leaves, those along paths of transitive properties included.
+
+    A path link is repeated for every edge lying on a path from its first to its last node.
     """
-    base = [*by, "x", "y", "need", "c", "d", "c_given", "d_given"]
+    base = [*by, "x", "y", *RULE]
     leaf_cols = [c for c in facts.evidence.columns if c in LEAF or (c == "graph_no" and c not in by)]
-    cols = [*base, *leaf_cols] if leaves else base
     if facts.links is None:
         return None
-    links = facts.links.select(cols)
+    links = facts.links.select(*base, *leaf_cols)
     if facts.edges is None or goal.rules is None:
         return links
     edges = facts.edges
     pairs = closure(edges.select(*by, "via", "src", "dst"), by=[*by, "via"])
     rules = goal.rules.filter("via is not null").drop("p")
-    ends = pairs.join(rules, "via")
-    x = F.when(F.col("flip"), F.col("dst")).otherwise(F.col("src")).alias("x")
-    y = F.when(F.col("flip"), F.col("src")).otherwise(F.col("dst")).alias("y")
-    if not leaves:
-        return links.unionByName(ends.select(*by, x, y, "need", "c", "d", "c_given", "d_given"))
     # An edge u-v lies on a path from src to dst if src reaches u (or is u) and v reaches dst (or is v).
     e = edges.select(*by, "via", F.col("src").alias("u"), F.col("dst").alias("v"), *leaf_cols)
     before = pairs.select(*by, "via", "src", F.col("dst").alias("u"))
@@ -172,10 +208,12 @@ def path_links(facts: Facts, goal: Goal, by: Sequence[str], leaves: bool = False
     after = pairs.select(*by, "via", F.col("src").alias("v"), "dst")
     on_path = into.join(after, [*by, "via", "v"]).unionByName(into.withColumn("dst", F.col("v")))
     placed = on_path.select(*by, "via", "src", "dst", *leaf_cols).distinct().join(rules, "via")
-    return links.unionByName(placed.select(*by, x, y, "need", "c", "d", "c_given", "d_given", *leaf_cols))
+    return links.unionByName(placed.select(*by, *_turned("x", "y"), *RULE, *leaf_cols))
 
 
-def _apply_rules(types: DataFrame, links: DataFrame, by: Sequence[str], goal: Goal | None = None) -> DataFrame:
+def _apply_rules(
+    types: DataFrame, links: DataFrame, by: Sequence[str], goal: Goal | None = None, paths: Paths | None = None
+) -> DataFrame:
     """(node, cls) newly shown by the links, given the types known so far."""
     def among(classes: tuple[str, ...] | None) -> DataFrame:
         return types if classes is None else types.filter(F.col("cls").isin(*classes))
@@ -187,7 +225,10 @@ def _apply_rules(types: DataFrame, links: DataFrame, by: Sequence[str], goal: Go
         links.filter("d_given")
     )
     # A node may have very many links; once their far end is checked one per rule is enough.
-    per_start = far_ok.select(*by, "x", "need", "c", "c_given").distinct()
+    per_start = far_ok.select(*by, "x", "need", "c", "c_given")
+    if paths is not None:
+        per_start = per_start.unionByName(paths.proven(types))
+    per_start = per_start.distinct()
     near_ok = per_start.filter(~F.col("c_given")).join(starts, [*by, "x", "c"], "left_semi").unionByName(
         per_start.filter("c_given"), allowMissingColumns=True
     )
@@ -197,17 +238,18 @@ def _apply_rules(types: DataFrame, links: DataFrame, by: Sequence[str], goal: Go
 def types_of(facts: Facts, goal: Goal, by: Sequence[str] = ()) -> DataFrame:
     """All (node, cls) of the goal's classes and the classes they depend on."""
     types = facts.evidence.select(*by, "node", "cls").distinct()
-    links = path_links(facts, goal, by)
+    links = plain_links(facts, goal, by)
     if links is None:
         return types
-    if goal.rounds == 1:
+    paths = Paths(facts, goal, by) if facts.edges is not None else None
+    if goal.rounds == 1 and paths is None:
         return types.unionByName(_apply_rules(types, links, by, goal)).distinct()
     # Each round reads the last one several times, so rounds are written down.
     links = store(links.distinct(), "links").df
     known = store(types, "types")
     rounds = 0
     while goal.rounds is None or rounds < goal.rounds:
-        new = store(_apply_rules(known.df, links, by, goal).join(known.df, [*by, "node", "cls"], "left_anti"), "types")
+        new = store(_apply_rules(known.df, links, by, goal, paths).join(known.df, [*by, "node", "cls"], "left_anti"), "types")
         if not new.rows:
             break
         known, rounds = known.plus(new), rounds + 1

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletide.operators.joins import skew_join
+from tripletide.operators.joins import SKEW_CHECK_BYTES, input_bytes, skew_join
+from tripletide.scratch import store
 
 TERMS = ("s", "p", "o")
 
@@ -39,30 +40,52 @@ def match(
     return rows.distinct() if distinct else rows
 
 
-def _bindings(quads: DataFrame, pattern: tuple[str, str, str]) -> DataFrame:
-    """Distinct values of the pattern's variables (terms starting with ``?``)."""
-    rows, seen = quads, {}
-    for name, term in zip(TERMS, pattern):
-        if not term.startswith("?"):
-            rows = rows.filter(F.col(name) == term)
-        elif term in seen:
-            rows = rows.filter(F.col(name) == F.col(seen[term]))
-        else:
-            seen[term] = name
-    return rows.select([F.col(c).alias(v[1:]) for v, c in seen.items()]).distinct()
+Pattern = tuple[str, str, str]
 
 
-def _variables(pattern: tuple[str, str, str]) -> set[str]:
-    return {t for t in pattern if t.startswith("?")}
+def _variables(pattern: Pattern) -> list[str]:
+    return list(dict.fromkeys(t for t in pattern if t.startswith("?")))
 
 
-def _join_order(patterns: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """Most constants first, then always a pattern that shares a variable with those before."""
-    waiting = sorted(patterns, key=lambda t: len(_variables(t)))
+def _fits(pattern: Pattern) -> Column:
+    """Whether a triple has the pattern's constants, and equal terms where a variable stands twice."""
+    fits, seen = F.lit(True), {}
+    for name, term in zip(TERMS, pattern):
+        if not term.startswith("?"):
+            fits = fits & (F.col(name) == term)
+        elif term in seen:
+            fits = fits & (F.col(name) == F.col(seen[term]))
+        seen.setdefault(term, name)
+    return fits
+
+
+def _bindings(quads: DataFrame, patterns: Sequence[Pattern]) -> tuple[list[DataFrame], list[int]]:
+    """Per pattern the distinct values of its variables and their number, all from one scan of the triples."""
+    places = [{v: TERMS[t.index(v)] for v in _variables(t)} for t in patterns]
+    found = F.array(*[
+        F.when(_fits(t), F.struct(F.lit(i).alias("pattern"), *[
+            (F.col(c) if c in at.values() else F.lit(None).cast("string")).alias(c) for c in TERMS
+        ]))
+        for i, (t, at) in enumerate(zip(patterns, places))
+    ])
+    some = quads.filter(reduce(Column.__or__, map(_fits, patterns)))
+    tagged = some.select(F.explode(found).alias("t")).filter("t is not null").select("t.*").distinct()
+    tagged = store(tagged, "bindings", folder_by="pattern").df
+    counts = dict(tagged.groupBy("pattern").count().collect())  # a number per pattern
+    rows = [
+        tagged.filter(F.col("pattern") == i).select([F.col(c).alias(v[1:]) for v, c in at.items()])
+        for i, at in enumerate(places)
+    ]
+    return rows, [counts.get(i, 0) for i in range(len(patterns))]
+
+
+def _join_order(patterns: Sequence[Pattern], counts: Sequence[int]) -> list[int]:
+    """The fewest bindings first, then always the fewest among those that share a variable with what is there."""
+    waiting = sorted(range(len(patterns)), key=lambda i: (counts[i], i))
     ordered = [waiting.pop(0)]
     while waiting:
-        bound = set().union(*map(_variables, ordered))
-        linked = next((t for t in waiting if _variables(t) & bound), None)
+        bound = {v for i in ordered for v in _variables(patterns[i])}
+        linked = next((i for i in waiting if bound.intersection(_variables(patterns[i]))), None)
         if linked is None:
             raise ValueError("patterns must be connected by shared variables")
         ordered.append(linked)
@@ -70,13 +93,34 @@ def _join_order(patterns: Sequence[tuple[str, str, str]]) -> list[tuple[str, str
     return ordered
 
 
-def bgp(quads: DataFrame, patterns: Sequence[tuple[str, str, str]], select: Sequence[str]) -> DataFrame:
-    """Distinct answers of a conjunction of triple patterns over the union of all graphs."""
-    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        return skew_join(left, right, [c for c in left.columns if c in right.columns])
+# A pattern with so many times fewer bindings than another thins that one out before they are joined.
+THINS = 4
+
 
+def bgp(quads: DataFrame, patterns: Sequence[Pattern], select: Sequence[str]) -> DataFrame:
+    """Distinct answers of a conjunction of triple patterns over the union of all graphs.
+
+    Bindings are counted as they are read; the counts give the order of the joins, and patterns with few
+    bindings first take out of larger ones what can have no partner.
+    """
     open_patterns = [t for t in patterns if _variables(t)]
-    answers = reduce(joined, [_bindings(quads, t) for t in _join_order(open_patterns)])
+    rows, counts = _bindings(quads, open_patterns)
+    order = _join_order(open_patterns, counts)
+
+    def shared(left: DataFrame, right: DataFrame) -> list[str]:
+        return [c for c in left.columns if c in right.columns]
+
+    thin = dict(enumerate(rows))
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            on = shared(thin[i], rows[j])
+            if on and THINS * counts[j] <= counts[i]:
+                thin[i] = skew_join(thin[i], rows[j].select(on), on, "left_semi")
+    answers = thin[order[0]]
+    for i in order[1:]:
+        if input_bytes(answers) >= SKEW_CHECK_BYTES:  # else looking for frequent keys would repeat the joins before
+            answers = store(answers, "answers").df
+        answers = skew_join(answers, thin[i], shared(answers, thin[i]))
     for s, p, o in (t for t in patterns if not _variables(t)):
         answers = answers.filter(match(quads, s, p, o, distinct=False).exists())
     return answers.select([v.lstrip("?") for v in select]).distinct()
