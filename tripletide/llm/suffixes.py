@@ -237,8 +237,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     uncovered, _ = saved(uncovered.select("seed", context.alias("context"), "doc", "at"), "uncovered")
     # equal contexts have equal windows: they are looked up once for all documents that hold them
     asked_seeds, asked_at = saved(uncovered.select("seed").distinct(), "open-seeds")
-    asked = suffixes.join(_sorted(asked_seeds), "seed", "left_semi")
-    asked = asked.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
+    # Combined before the join, so that a seed of very many suffixes is a few contexts, and nothing after the join
+    # keeps Spark from splitting it.
+    contexts = suffixes.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
+    asked = contexts.join(_sorted(asked_seeds), "seed", "left_semi")
     asked = asked.select(context.alias("context"), "seed", "after", "before", "one", "two")
     open_, _ = saved(asked.mapInArrow(_windows, "context long, one long, two long, back byte, mark long"), "windows")
     dropped(spark, asked_at)
