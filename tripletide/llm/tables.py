@@ -19,11 +19,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` written once to the shared scratch folder and read back, with its path."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def saved(df: DataFrame, name: str, tidy: bool = False) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared scratch folder and read back, with its path.
+
+    With ``tidy`` Spark deletes the shuffle files of the write as soon as the table is there, not when it next cleans up.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    try:
+        if tidy:
+            spark.conf.set(SHUFFLE_CLEANUP, "true")
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 def listed(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
