@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,7 +68,8 @@ class _Words(dict):
         self.encoder, self.before = encoder, before
 
     def __missing__(self, word: str) -> bytes:
-        held = self[word] = self.encoder.learn(self.before + word)
+        piece = self.before + word
+        held = self[word] = self.encoder.learn([piece] if word.isalpha() else _FINE.findall(piece))
         return held
 
 
@@ -106,11 +108,11 @@ class Encoder:
         )
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.width).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
 
-    def learn(self, piece: str) -> bytes:
+    def learn(self, parts: list[str]) -> bytes:
         out = []
-        for part in _FINE.findall(piece):
+        for part in parts:
             held = self.fine.get(part)
             if held is None:
                 spelled = part.encode().decode("latin-1").translate(self.letters)
