@@ -14,6 +14,7 @@ import time
 from pyspark.sql import SparkSession
 
 from tripletide.operators.quality import MEASURES
+from tripletide.operators.window import POLICIES
 from tripletide.plans.replay import replay
 from tripletide.plans.spec import WindowSpec
 from tripletide.scratch import store
@@ -27,11 +28,18 @@ HEADLINE = (
 )
 
 
-def published_setting(spark: SparkSession, sf_dir: str):
-    """100 triples per graph, 1000 graphs, 750 evicted, three evictions, least frequently used."""
-    quads = event_quads(spark, sf_dir, 100)
-    spec = WindowSpec(1000, 750, "LFU", QUERY_CLASS, EXPLAIN_CLASS, 100, evictions=3)
-    return replay(quads, clock_entries(quads), tbox(spark, "events"), spec, store(truth(spark, sf_dir), "truth").df)
+# Published settings to compare: triples per graph, graphs, evicted graphs, evictions.
+SETTINGS = ((1, 10, 2, 10), (10, 100, 50, 5), (100, 1000, 750, 3))
+
+
+def published_setting(policy: str, n: int, size: int, out: int, evictions: int):
+    def run(spark: SparkSession, sf_dir: str):
+        quads = event_quads(spark, sf_dir, n)
+        spec = WindowSpec(size, out, policy, QUERY_CLASS, EXPLAIN_CLASS, n, evictions)
+        known = store(truth(spark, sf_dir), "truth").df
+        return replay(quads, clock_entries(quads), tbox(spark, "events"), spec, known)
+
+    return run
 
 
 def main() -> None:
@@ -71,7 +79,9 @@ def main() -> None:
         timed(name, queries[name])
     timed_windows("window_replay", queries["window_replay"])
     timed_windows("policy_sweep", queries["policy_sweep"])
-    timed_windows("replay_lfu_100_1000_750", published_setting)
+    for policy in POLICIES:
+        for setting in SETTINGS:
+            timed_windows(f"replay_{policy.lower()}_{'_'.join(map(str, setting[:3]))}", published_setting(policy, *setting))
     n_triples = table(spark, sf_dir, "events").count() * 3
     print(
         json.dumps(

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.university import AXIOM_ROWS, names
-from tripletide import read_bench, read_ntriples, read_ontology, read_quads, read_truth, write_metrics, write_quads
+from tripletide import read_bench, read_ntriples, read_ontology, read_quads, read_truth, write_metrics, write_quads, write_results
 from tests import university
 from tripletide.sources.ntriples import rejected_lines
 
@@ -129,3 +129,22 @@ def test_quads_by_predicate(spark, tmp_path):
     assert back.count() == quads.count()
     plan = back.filter("p = 'headOf'")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(p" in plan
+
+
+def test_result_files_by_exact_name(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("LRU", 10, 100, 25, e, 1.0, 0.1 * e, 0.2 * e, 3, float(e)) for e in range(3)] + [("FEFO", 1, 10, 2, 0, 0.5, 1e-7, 2e-7, None, 9.0)],
+        "policy string, n_triples int, size int, evict int, epoch long, precision double, recall double, fmeasure double, evictions int, sparql double",
+    )
+    for averaged in (False, True):
+        path = tmp_path / str(averaged)
+        write_results(rows, str(path), averaged)
+        assert sorted(p.name for p in path.iterdir()) == ["sparkFEFOmem_bench_1_10_2.csv", "sparkLRUmem_bench_10_100_25.csv"]
+        lines = (path / "sparkLRUmem_bench_10_100_25.csv").read_text().splitlines()
+        assert lines[0] == "sparql, precision, recall, fmeasure, explain, evict, memory"
+        assert lines[1:] == (["0.75, 0.75, 0.07500000000000001, 0.15000000000000002, 0.0, 0.0, 0.0"] if averaged else lines[1:])
+        assert [x.split(", ")[0] for x in lines[1:]] == (["0.75"] if averaged else ["0.0", "1.0", "2.0"])
+        back = {r.policy: r for r in read_bench(spark, str(path)).filter("recall > 0 and sparql < 2 or policy = 'FEFO'").collect()}
+        assert (back["FEFO"].n_triples, back["FEFO"].evict, back["FEFO"].recall, back["FEFO"].memory) == (1, 2, 1e-7, 0.0)
+    write_results(rows.filter("false"), str(tmp_path / "none"), False)
+    assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())

@@ -164,13 +164,14 @@ def modelled(triples, spec, per_graph):
             return steps
 
 
-@pytest.mark.parametrize("policy, size, out, evictions", [("LFU", 6, 3, None), ("LRU", 6, 2, 3), ("FEFO", 6, 6, None)])
+@pytest.mark.parametrize("policy, size, out, evictions", [("LFU", 6, 3, None), ("LRU", 6, 2, 3), ("FEFO", 6, 6, None), ("FEFO", 6, 2, 4), ("LRU", 6, 6, 2)])
 def test_replay_follows_the_model(spark, policy, size, out, evictions):
     triples = stream()
     quads = university.quads(spark, triples, n=4)
     spec = WindowSpec(size, out, policy, "c:Buyer", "c:User", 4, evictions)
     truth = university.subjects(spark, *[f"u:{i}" for i in range(N_USERS)])
-    got = replay(quads, clock_entries(quads), axioms(spark, "events"), spec, truth).orderBy("epoch").collect()
+    # Folders of two graphs each: a step lists only those its window reaches into.
+    got = replay(quads, clock_entries(quads), axioms(spark, "events"), spec, truth, width=8).orderBy("epoch").collect()
     want = modelled(triples, spec, 4)
     assert [(r.n_results, r.n_expired, r.n_evicted) for r in got] == want
     assert all(r.precision in (0.0, 1.0) for r in got)

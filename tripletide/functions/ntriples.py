@@ -22,8 +22,16 @@ def is_blank(line: Column) -> Column:
     return line.rlike(r"^\s*(?:#.*)?$")
 
 
-def _part(line: Column, group: int) -> Column:
-    return F.regexp_extract(line, LINE, group)
+def line_parts(line: Column) -> Column:
+    """The eight parts of a statement by one match of the grammar; another number of them if the line is none.
+
+    A line holds no line feed, so one can stand between the parts.
+    """
+    return F.split(F.regexp_replace(line, LINE, "\n".join(f"${i}" for i in range(1, 9))), "\n")
+
+
+def all_parts(parts: Column) -> Column:
+    return F.size(parts) == 8
 
 
 def unescape(text: Column) -> Column:
@@ -40,17 +48,18 @@ def unescape(text: Column) -> Column:
     return F.when(text.contains("\\"), F.coalesce(decoded, text)).otherwise(text)
 
 
-def strict_terms(line: Column) -> list[Column]:
-    """s, p, o, o_kind, o_datatype, o_lang by the grammar."""
-    resource = F.concat(unescape(_part(line, 4)), _part(line, 5))
+def strict_terms(parts: Column) -> list[Column]:
+    """s, p, o, o_kind, o_datatype, o_lang from the parts of a line."""
+    part = [F.get(parts, F.lit(i)) for i in range(8)]
+    resource = F.concat(unescape(part[3]), part[4])
     is_resource = resource != ""
     return [
-        F.concat(unescape(_part(line, 1)), _part(line, 2)).alias("s"),
-        unescape(_part(line, 3)).alias("p"),
-        F.when(is_resource, resource).otherwise(unescape(_part(line, 6))).alias("o"),
+        F.concat(unescape(part[0]), part[1]).alias("s"),
+        unescape(part[2]).alias("p"),
+        F.when(is_resource, resource).otherwise(unescape(part[5])).alias("o"),
         F.when(is_resource, "iri").otherwise("lit").alias("o_kind"),
-        F.nullif(_part(line, 7), F.lit("")).alias("o_datatype"),
-        F.nullif(_part(line, 8), F.lit("")).alias("o_lang"),
+        F.nullif(part[6], F.lit("")).alias("o_datatype"),
+        F.nullif(part[7], F.lit("")).alias("o_lang"),
     ]
 
 

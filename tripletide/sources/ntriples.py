@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripletide.functions.ntriples import compat_terms, is_blank, is_statement, strict_terms
+from tripletide.functions.ntriples import all_parts, compat_terms, is_blank, is_statement, line_parts, strict_terms
 from tripletide.scratch import store
 
 
@@ -30,14 +30,17 @@ def read_ntriples(
     lines = spark.read.text(path).select(
         "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
     )
+    parts = F.col("_parts")
+    if mode == "strict":
+        lines = lines.withColumn("_parts", line_parts(line))
     if mode == "compat":
         lines = lines.filter(F.trim(line) != "")
     elif on_error == "rejects":
-        lines = lines.filter(is_statement(line))
+        lines = lines.filter(all_parts(parts))
     else:
         bad = F.raise_error(F.concat(F.lit("not an N-Triples statement: "), F.substr(line, F.lit(1), F.lit(200))))
-        lines = lines.filter(F.when(is_statement(line), True).when(is_blank(line), False).otherwise(bad.cast("boolean")))
-    terms = strict_terms(line) if mode == "strict" else compat_terms(line)
+        lines = lines.filter(F.when(all_parts(parts), True).when(is_blank(line), False).otherwise(bad.cast("boolean")))
+    terms = strict_terms(parts) if mode == "strict" else compat_terms(line)
     if not number:
         return lines.select(*terms)
     parsed = lines.select("_file", "_block", F.monotonically_increasing_id().alias("_at"), *terms)

@@ -262,6 +262,8 @@ FROM (VALUES ('none'), ('rdfs++'), ('restriction')) AS r(regime),
     "instances_of_trade": f"{TRADE_TYPES} SELECT cls, node AS s FROM types WHERE cls IN ('Employee', 'Customer', 'Organization')",
     "subclass_closure": PART_EDGES,
     "transitive_closure_prop": WITHIN,
+    "path_class": f"""{WITHIN.replace("SELECT s, 'within' AS p, o FROM reach", "")}
+SELECT DISTINCT s FROM reach WHERE o IN (SELECT 'r:' || r_regionkey FROM region WHERE r_name = 'ASIA')""",
     "type_propagation": f"{EVENTS} SELECT DISTINCT s AS node, sup AS cls FROM q JOIN sub ON sub.sub = q.o WHERE p = 'rdf:type'",
     "subproperty_propagation": f"""WITH {EV} SELECT DISTINCT s, p, o, o_kind FROM (
   SELECT s, p, o, o_kind FROM ev UNION ALL SELECT s, 'p:performed', o, o_kind FROM ev WHERE p = 'p:purchased')""",

@@ -24,7 +24,7 @@ from tripletide.operators.quality import MEASURES, hits, policy_pivot, run_avera
 from tripletide.operators.window import POLICIES, assign_ttl, bump, evict, expire, fill, seconds, touch, trace
 from tripletide.plans.replay import replay, sweep
 from tripletide.plans.spec import WindowSpec
-
+from tripletide.schema import AXIOMS
 from tripletide.scratch import literal_rows, store
 from tripletide.workload import files
 from tripletide.workload.tables import (
@@ -197,6 +197,20 @@ def asserted_types(triples: DataFrame) -> DataFrame:
     return triples.filter(is_typing()).select(F.col("s").alias("node"), F.col("o").alias("cls"))
 
 
+@query("path_class")
+def path_class(spark, sf_dir):
+    """Whatever lies within Asia, at any distance: a class defined over a transitive property."""
+    region = table(spark, sf_dir, "region").filter("r_name = 'ASIA'")
+    typed = region.select(
+        F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("s"), F.lit("rdf:type").alias("p"),
+        F.lit("AsianRegion").alias("o"), F.lit("iri").alias("o_kind"),
+    )
+    rules = literal_rows(
+        spark, [("transitive", "within", None, None, None), ("equiv_some", "Asian", None, "within", "AsianRegion")], AXIOMS
+    )
+    return instances_of(within_triples(spark, sf_dir).unionByName(typed), rules, "Asian")
+
+
 @query("type_propagation")
 def type_propagation(spark, sf_dir):
     return propagate_types(asserted_types(event_quads(spark, sf_dir)), tbox(spark, "events").order.df)
