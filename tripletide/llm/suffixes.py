@@ -207,25 +207,26 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("doc"))
-    seeds, seeds_at = saved(keyed.select("doc", "text").mapInArrow(_seeded, "doc long, at int, seed long"), "seeds", tidy=True)
+    seeds, seeds_at = saved(keyed.select("doc", "text").mapInArrow(_seeded, "doc long, at int, seed long"), "seeds")
     # a row that is there twice has every seed twice, all in one document
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("seed")
-    often, often_at = saved(often, "often", tidy=True)  # a table of its own, so that a seed of very many suffixes can be split in the join
+    often, often_at = saved(often, "often")  # a table of its own, so that a seed of very many suffixes can be split in the join
     chosen = seeds.join(_sorted(often), "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("at", "seed")).alias("s"))
     chosen = chosen.select("doc", F.col("s.at").alias("places"), F.col("s.seed").alias("seeds"))
-    texts = keyed.join(_sorted(chosen), "doc").select("doc_id", "doc", "text", "places", "seeds")
-    suffixes = texts.mapInArrow(_contexts, _SUFFIX).dropDuplicates(["doc", "at"])
-    suffixes, _ = saved(suffixes, "suffixes", tidy=True)
+    # repeated rows go while texts lie together by document; the suffixes made from them are not shuffled for it
+    texts = keyed.join(_sorted(chosen), "doc").dropDuplicates(["doc"]).select("doc_id", "doc", "text", "places", "seeds")
+    suffixes = texts.mapInArrow(_contexts, _SUFFIX)
+    suffixes, _ = saved(suffixes, "suffixes")
     dropped(spark, seeds_at, often_at)
     order = ["seed", "after", "doc", "at"]
-    sorted_, sorted_at = saved(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _EDGE), "neighbours", tidy=True)
+    sorted_, sorted_at = saved(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _EDGE), "neighbours")
     ends = sorted_.filter("shard is not null")
     row = F.struct("seed", "after", "before", "doc", "at")
     # two rows of each partition, in order
     pairs = ends.select(row.alias("end"), "last", F.lead(row).over(Window.orderBy("shard", "last")).alias("begin")).filter("last and begin is not null")
     matches = sorted_.filter("shard is null").select("doc", "at", "left", "right", "other")
     matches = matches.unionByName(pairs.mapInArrow(_ends, _MATCH))
-    matches, _ = saved(matches, "matches", tidy=True)
+    matches, _ = saved(matches, "matches")
     dropped(spark, sorted_at)
     best = matches.groupBy("doc", "at").agg(F.max(F.struct(F.col("left") + F.col("right"), "left", "right")).alias("one"))
     best = best.select("doc", "at", F.col("one.left").alias("left"), F.col("one.right").alias("right"))
@@ -234,15 +235,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     covered = F.coalesce((most <= F.col("left")) & (REACH - least <= F.col("right")), F.lit(False))
     context = F.xxhash64("seed", "after", "before")
     uncovered = suffixes.join(_sorted(best), ["doc", "at"], "left").filter((least <= most) & ~covered)
-    uncovered, _ = saved(uncovered.select("seed", context.alias("context"), "doc", "at"), "uncovered", tidy=True)
+    uncovered, _ = saved(uncovered.select("seed", context.alias("context"), "doc", "at"), "uncovered")
     # equal contexts have equal windows: they are looked up once for all documents that hold them
-    asked_seeds, asked_at = saved(uncovered.select("seed").distinct(), "open-seeds", tidy=True)
-    # Combined before the join, so that a seed of very many suffixes is a few contexts, and nothing after the join
-    # keeps Spark from splitting it.
-    contexts = suffixes.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
-    asked = contexts.join(_sorted(asked_seeds), "seed", "left_semi")
+    asked_seeds, asked_at = saved(uncovered.select("seed").distinct(), "open-seeds")
+    asked = suffixes.join(_sorted(asked_seeds), "seed", "left_semi")
+    asked = asked.groupBy("seed", "after", "before").agg(F.min("doc").alias("one"), F.max("doc").alias("two"))
     asked = asked.select(context.alias("context"), "seed", "after", "before", "one", "two")
-    open_, _ = saved(asked.mapInArrow(_windows, "context long, one long, two long, back byte, mark long"), "windows", tidy=True)
+    open_, _ = saved(asked.mapInArrow(_windows, "context long, one long, two long, back byte, mark long"), "windows")
     dropped(spark, asked_at)
     shared = open_.groupBy("mark").agg(F.min("one").alias("least"), F.max("two").alias("most")).filter("least != most")
     # all windows around a seed overlap, so those that others hold make one span
@@ -256,7 +255,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     early = matches.select("doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + SEED + F.col("right")).alias("end"), "other")
     found = early.unionByName(late).groupBy("doc", "start", "end").agg(F.min("other").alias("other"))
     names = keyed.select("doc", "doc_id").join(_sorted(suffixes.select("doc").distinct()), "doc", "left_semi").groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
-    names, _ = saved(names, "names", tidy=True)
+    names, _ = saved(names, "names")
     other = names.select(F.col("doc").alias("other"), F.col("doc_id").alias("other_id"))
     spans = found.join(_sorted(names), "doc").join(_sorted(other), "other", "left").select("doc", "doc_id", "start", "end", "other_id")
     twice = keyed.join(names.filter("rows > 1").select("doc"), "doc").dropDuplicates(["doc"]).mapInArrow(_counted, "doc long, doc_id long, start int, end int, other_id long")
