@@ -14,7 +14,6 @@ import time
 from pyspark.sql import SparkSession
 
 from tripletide.operators.quality import MEASURES
-from tripletide.operators.window import POLICIES
 from tripletide.plans.replay import replay
 from tripletide.plans.spec import WindowSpec
 from tripletide.scratch import store
@@ -28,8 +27,11 @@ HEADLINE = (
 )
 
 
-# Published settings to compare: triples per graph, graphs, evicted graphs, evictions.
-SETTINGS = ((1, 10, 2, 10), (10, 100, 50, 5), (100, 1000, 750, 3))
+# Published settings to compare: policy, triples per graph, graphs, evicted graphs, evictions.
+SETTINGS = (
+    ("FEFO", 1, 10, 2, 10), ("FEFO", 10, 100, 50, 5), ("FEFO", 100, 1000, 750, 3),
+    ("LRU", 10, 100, 50, 5), ("LFU", 100, 1000, 750, 3),
+)
 
 
 def published_setting(policy: str, n: int, size: int, out: int, evictions: int):
@@ -79,9 +81,8 @@ def main() -> None:
         timed(name, queries[name])
     timed_windows("window_replay", queries["window_replay"])
     timed_windows("policy_sweep", queries["policy_sweep"])
-    for policy in POLICIES:
-        for setting in SETTINGS:
-            timed_windows(f"replay_{policy.lower()}_{'_'.join(map(str, setting[:3]))}", published_setting(policy, *setting))
+    for policy, *setting in SETTINGS:
+        timed_windows(f"replay_{policy.lower()}_{'_'.join(map(str, setting[:3]))}", published_setting(policy, *setting))
     n_triples = table(spark, sf_dir, "events").count() * 3
     print(
         json.dumps(
