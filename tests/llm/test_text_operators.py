@@ -106,7 +106,7 @@ def test_mix_meets_targets_and_equals_its_texts(spark):
         assert r["taken"] <= 3 * r["size"]
         taken[r["source"]] += r["taken"]
         target[r["source"]] = r["target"]
-    assert all(abs(taken[s] - t) <= 200 for s, t in target.items())
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in target.items())
     assert abs(sum(target.values()) - sum(r["size"] for r in rows)) < 1
     mixed = mixing.mixed(docs, (5, 2, 1))
     sizes = mixed.groupBy("doc_id").agg(F.sum(mixing.size_of()).alias("n")).collect()

@@ -1,14 +1,19 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
-Slot t of the schedule is the golden-ratio point frac(t / phi), looked up in the cumulative
-targets of the sources, so every stretch of slots holds each source close to its share. The
-slots of a source are ranked and read its blocks in turn, pass after pass; blocks are
-BLOCK consecutive words of the source's documents in the order of a hash. Points are
-31-bit integers, so reruns and other engines get the same schedule.
+Slot t of the schedule is the van der Corput point of t (its 31 bits reversed), looked up in
+the cumulative targets of the sources, so every stretch of slots holds each source close to its
+share. The slots of a source are ranked and read its blocks in turn. A source's words, in
+documents ordered by a hash, are read pass after pass until its target, rounded to a word, is
+met; blocks are BLOCK consecutive words of that reading, so the last one may be shorter and one
+may run from the end of a pass into the next. Slots ranked beyond a source's last block are left
+out, blocks that no slot reaches (few words are less than a slot's share) are read after the
+others: every source is taken to the word. Points are integers, so reruns agree.
 
 No source is ordered in one task: documents are range partitioned by (source, hash) and
-positions are sums inside a partition plus the partition's start. Slots are ranked likewise,
-in stretches. The driver holds one row per source, and one per partition or stretch.
+positions are sums inside a partition plus the partition's start. Slots are dealt in stretches;
+how many slots of a source lie before a stretch follows from the bits of the stretch's number,
+so no counts pass from one to another. The driver holds one row per source, and one per partition
+and source in it.
 
 Cases: a null text has size 0, and a document of size 0 is in no block. A null source is a
 source of its own, in the last place. A null id is an id like any other. Repeated rows are
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripletide.llm.tables import fresh_name, listed, runs, saved
@@ -32,8 +37,9 @@ from tripletide.llm.words import text_bytes, word_spans
 
 BLOCK = 64
 MOST = 3
-POINTS = 1 << 31
-STEP = 1327217885  # POINTS divided by the golden ratio, odd
+FEW = 10_000  # sources up to which tables of them are broadcast
+BITS = 31
+POINTS = 1 << BITS
 STRETCH = 1 << 20
 
 
@@ -67,13 +73,19 @@ class Plan:
     def bounds(self) -> np.ndarray:
         """Upper end of each source's points."""
         total = sum(self.sizes)
-        return np.array([int(POINTS * c / total) if total else 0 for c in np.cumsum(self.targets)], np.int64)
+        out = np.array([int(POINTS * c / total) if total else 0 for c in np.cumsum(self.targets)], np.int64)
+        out[-1:] = POINTS
+        return out
 
     def slots(self, block: int) -> int:
         return -(-sum(self.sizes) // block)
 
+    def wanted(self) -> list[int]:
+        """Words that the mix takes of each source."""
+        return [int(t + 0.5) for t in self.targets]
+
     def blocks(self, block: int) -> np.ndarray:
-        return np.array([-(-s // block) for s in self.sizes], np.int64)
+        return np.array([-(-w // block) for w in self.wanted()], np.int64)
 
 
 def plan_of(sized: DataFrame, weights: Sequence[float], most: int = MOST) -> Plan:
@@ -83,46 +95,56 @@ def plan_of(sized: DataFrame, weights: Sequence[float], most: int = MOST) -> Pla
     return Plan(names, sizes, targets(sizes, [weights[i % len(weights)] for i in range(len(names))], most))
 
 
-def _points(stretch: int, slots: int, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.arange(stretch * STRETCH, min(slots, (stretch + 1) * STRETCH), dtype=np.int64)
-    point = (t % POINTS) * STEP % POINTS
-    return t, np.minimum(np.searchsorted(bounds, point, side="right"), len(bounds) - 1)
+def point_of(t: np.ndarray) -> np.ndarray:
+    """The van der Corput points of slots: their low BITS bits in reverse."""
+    out = np.zeros_like(t)
+    for i in range(BITS):
+        out |= ((t >> i) & 1) << (BITS - 1 - i)
+    return out
 
 
-def schedule(plan: Plan, spark, block: int = BLOCK, most: int = MOST) -> DataFrame:
-    """(slot, source_no, pass, block): which block of which source every slot reads.
+def points_below(slots: int, bounds: np.ndarray) -> np.ndarray:
+    """How many of the first ``slots`` points lie below each bound.
 
-    Slots beyond ``most`` passes of their source, a few by rounding, read nothing and are left out.
+    Slots that share their upper bits are an even grid of points, so one division counts them.
     """
-    slots, bounds, blocks = plan.slots(block), plan.bounds(), plan.blocks(block)
-    stretches = spark.range(-(-slots // STRETCH))
+    whole, rest = divmod(slots, POINTS)
+    out, start = whole * bounds, 0
+    for j in reversed(range(BITS)):
+        if rest >> j & 1:
+            offset = int(point_of(np.array([start]))[0])
+            out = out + np.clip(-((offset - bounds) >> (BITS - j)), 0, 1 << j)
+            start += 1 << j
+    return out
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for c in batch.column(0).to_pylist():
-                n = np.bincount(_points(c, slots, bounds)[1], minlength=len(bounds))
-                yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([n.tolist()])], ["stretch", "n"])
 
-    before, total = {}, np.zeros(len(bounds), np.int64)
-    for r in stretches.mapInArrow(counted, "stretch long, n array<long>").orderBy("stretch").collect():
-        before[r["stretch"]] = total
-        total = total + np.array(r["n"], np.int64)
+def schedule(plan: Plan, spark: SparkSession, block: int = BLOCK) -> DataFrame:
+    """(slot, source_no, block): which block of which source every slot reads, each block once."""
+    slots, bounds, blocks = plan.slots(block), plan.bounds(), plan.blocks(block)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in batch.column(0).to_pylist():
-                t, source = _points(c, slots, bounds)
+                t = np.arange(c * STRETCH, min(slots, (c + 1) * STRETCH), dtype=np.int64)
+                source = np.searchsorted(bounds, point_of(t), side="right")
+                before = np.diff(points_below(c * STRETCH, bounds), prepend=0)
                 order = np.argsort(source, kind="stable")
                 n = np.bincount(source, minlength=len(bounds))
                 rank = np.empty(len(t), np.int64)
-                rank[order] = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + before[c][source[order]]
-                turn = rank // np.maximum(blocks[source], 1)
-                some = (turn < most) & (blocks[source] > 0)
-                parts = [t[some], source[some], turn[some], (rank % np.maximum(blocks[source], 1))[some]]
+                rank[order] = np.arange(len(t)) - np.repeat(np.cumsum(n) - n, n) + before[source[order]]
+                some = rank < blocks[source]
+                parts = [t[some], source[some].astype(np.int64), rank[some]]
                 for i in range(0, len(parts[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[i : i + (1 << 16)]) for p in parts], ["slot", "source_no", "pass", "block"])
+                    yield pa.RecordBatch.from_arrays([pa.array(p[i : i + (1 << 16)]) for p in parts], ["slot", "source_no", "block"])
 
-    return stretches.mapInArrow(ranked, "slot long, source_no long, pass long, block long")
+    dealt = spark.range(-(-slots // STRETCH)).mapInArrow(ranked, "slot long, source_no long, block long")
+    reached = np.diff(points_below(slots, bounds), prepend=0) if len(bounds) else blocks
+    short = np.flatnonzero(reached < blocks)
+    after = slots + np.cumsum((blocks - reached)[short]) - (blocks - reached)[short]
+    rest = [(int(k), int(reached[k]), int(blocks[k]) - 1, int(a)) for k, a in zip(short, after)]
+    rest = listed(spark, rest, "source_no long, low long, high long, after long")
+    rest = rest.select("source_no", "low", "after", F.explode(F.sequence("low", "high")).alias("block"))
+    return dealt.unionByName(rest.select((F.col("after") + F.col("block") - F.col("low")).alias("slot"), "source_no", "block"))
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,34 +166,40 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("before", pa.array(before)).append_column("shard", pa.array(np.full(len(size), shard, np.int32)))
 
 
-def _uses(sized: DataFrame, plan: Plan, block: int, most: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with their places, and (row, from, to, pass) of every stretch of words a slot takes."""
+def _uses(sized: DataFrame, plan: Plan, block: int) -> tuple[DataFrame, DataFrame]:
+    """The documents with their places, and (row, pass, from, to) of every stretch of words a slot takes."""
     spark = sized.sparkSession
     numbers = listed(spark, [(s, i) for i, s in enumerate(plan.sources)], "source_name string, source_no long")
-    numbered = sized.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("source_name"))).drop("source", "source_name")
+    numbered = sized.join(_hinted(numbers, plan), F.col("source").eqNullSafe(F.col("source_name"))).drop("source", "source_name")
     order = ["source_no", "mark", "tie"]
     spread = numbered.repartitionByRange(*order).sortWithinPartitions(*order)
     schema = spread.withColumns({"before": F.lit(0).cast("long"), "shard": F.lit(0)}).schema
     placed, _ = saved(spread.mapInArrow(_placed, schema), "placed")
-    total, starts = {}, []
+    total, starts, wanted = {}, [], plan.wanted()
     for r in placed.groupBy("source_no", "shard").agg(F.sum("size").alias("n")).orderBy("source_no", "shard").collect():
-        starts.append((r["source_no"], r["shard"], total.get(r["source_no"], 0)))
-        total[r["source_no"]] = starts[-1][2] + r["n"]
-    starts = listed(spark, starts, "source_no long, shard int, start long")
-    placed = placed.join(F.broadcast(starts), ["source_no", "shard"]).withColumn("first", F.col("start") + F.col("before"))
+        k = r["source_no"]
+        starts.append((k, r["shard"], total.get(k, 0), plan.sizes[k], wanted[k]))
+        total[k] = starts[-1][2] + r["n"]
+    starts = listed(spark, starts, "source_no long, shard int, start long, of long, wanted long")
+    placed = placed.join(_hinted(starts, plan), ["source_no", "shard"]).withColumn("first", F.col("start") + F.col("before"))
     placed = placed.drop("start", "before", "shard")
-    end = F.col("first") + F.col("size")
-    cut = placed.filter("size > 0").select(
-        "source_no", "doc_id", "tie", "first", "size",
-        F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((end - 1) / block))).alias("block"),
-    )
-    slots = schedule(plan, spark, block, most).groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("passes"))
-    taken = cut.join(slots, ["source_no", "block"]).select(
-        "source_no", "doc_id", "tie", "first", "passes",
-        (F.greatest(F.col("block") * block, "first") - F.col("first")).alias("from"),
-        (F.least((F.col("block") + 1) * block, end) - F.col("first")).alias("to"),
+    # the passes that reach a document, and the blocks of the source's reading that each of them meets
+    passes = placed.filter("size > 0 AND first < wanted").withColumn("pass", F.explode(F.expr("sequence(0L, (wanted - 1 - first) div of)")))
+    passes = passes.withColumn("low", F.expr("pass * of + first"))
+    passes = passes.withColumn("high", F.expr("least(low + size, wanted)"))
+    cut = passes.withColumn("block", F.explode(F.expr(f"sequence(low div {block}, (high - 1) div {block})")))
+    # each side holds a row per block of the mix: no broadcast, however well it compresses
+    taken = cut.join(schedule(plan, spark, block).hint("merge"), ["source_no", "block"]).select(
+        "source_no", "doc_id", "tie", "first", "pass",
+        F.expr(f"greatest(block * {block}, low) - low").alias("from"),
+        F.expr(f"least((block + 1) * {block}, high) - low").alias("to"),
     )
-    return placed, taken
+    return placed.drop("of", "wanted"), taken
+
+
+def _hinted(per_source: DataFrame, plan: Plan) -> DataFrame:
+    """A table of the sources, marked for broadcast if there are few of them."""
+    return F.broadcast(per_source) if len(plan.sources) <= FEW else per_source
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -189,15 +217,15 @@ def mix(docs: DataFrame, weights: Sequence[float], block: int = BLOCK, most: int
     sized = _sized(docs.select("doc_id", "source", "text"))
     sized, _ = saved(sized, "sized")
     plan = plan_of(sized, weights, most)
-    placed, taken = _uses(sized, plan, block, most)
+    placed, taken = _uses(sized, plan, block)
     key = ["source_no", "first", "doc_id", "tie"]
-    counted = taken.groupBy("source_no", "first").agg(F.sum(F.col("passes") * (F.col("to") - F.col("from"))).alias("taken"))
+    counted = taken.groupBy("source_no", "first").agg(F.sum(F.col("to") - F.col("from")).alias("taken"))
     facts = list(zip(range(len(plan.sizes)), plan.sources, plan.sizes, plan.targets))
     facts = listed(docs.sparkSession, facts, "source_no long, source string, source_size long, target double")
     # documents of a source have different places unless they are empty
     some = placed.filter("size > 0").select(*key, "size").join(counted, ["source_no", "first"], "left")
     none = placed.filter("size = 0").select(*key, "size", F.lit(0).cast("long").alias("taken"))
-    rows = some.unionByName(none).join(F.broadcast(facts), "source_no")
+    rows = some.unionByName(none).join(_hinted(facts, plan), "source_no")
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
@@ -228,9 +256,8 @@ def mixed(docs: DataFrame, weights: Sequence[float], block: int = BLOCK, most: i
     tie, doc, start, end = (fresh_name(docs.columns, c) for c in ("tie__", "doc__", "from__", "to__"))
     sized, _ = saved(_sized(docs), "sized")
     plan = plan_of(sized, weights, most)
-    _, taken = _uses(sized, plan, block, most)
-    passes = taken.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))).alias("pass"))
-    pieces = passes.groupBy("source_no", "first", "pass", F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(
+    _, taken = _uses(sized, plan, block)
+    pieces = taken.groupBy("source_no", "first", "pass", F.col("doc_id").alias(doc), F.col("tie").alias(tie)).agg(
         F.min("from").alias(start), F.max("to").alias(end)
     ).drop("source_no", "first", "pass")
     texts = docs.withColumn(tie, F.xxhash64(*docs.columns)).dropDuplicates(["doc_id", tie])

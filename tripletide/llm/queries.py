@@ -112,16 +112,10 @@ c AS (SELECT *, (total - coalesce(sum(3 * n) OVER (ORDER BY ratio, k ROWS BETWEE
         / sum(weight) OVER (ORDER BY ratio, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS each_ FROM r),
 l AS (SELECT min_by(each_, ratio) AS level FROM c WHERE each_ <= ratio),
 t AS (SELECT c.*, CASE WHEN level * weight > 3 * n THEN (3 * n)::DOUBLE ELSE level * weight END AS target FROM c, l),
-b AS (SELECT *, CASE WHEN k = max(k) OVER () THEN 2147483648 ELSE floor(2147483648.0::DOUBLE * (sum(target) OVER (ORDER BY k)) / total)::BIGINT END AS high, ceil(n / 64.0)::BIGINT AS blocks FROM t),
-i AS (SELECT *, coalesce(lag(high) OVER (ORDER BY k), 0) AS low FROM b),
-slot AS (SELECT t, ((t % 2147483648) * 1327217885) % 2147483648 AS point FROM (SELECT unnest(range((SELECT ceil(sum(n) / 64.0)::BIGINT FROM s))) AS t)),
-ranked AS (SELECT k, blocks, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS rank FROM slot JOIN i ON point >= low AND point < high),
-uses AS (SELECT k, rank % blocks AS block, count(*) AS uses FROM ranked WHERE blocks > 0 AND rank // blocks < 3 GROUP BY ALL),
-placed AS (SELECT d.doc_id, d.size, i.k, i.n, i.target, (sum(d.size) OVER (PARTITION BY i.k ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS first
-           FROM d JOIN i ON d.source IS NOT DISTINCT FROM i.source),
-cut AS (SELECT *, unnest(range(first // 64, (first + size - 1) // 64 + 1)) AS block FROM placed WHERE size > 0),
-taken AS (SELECT doc_id, sum(uses * (least((cut.block + 1) * 64, first + size) - greatest(cut.block * 64, first)))::BIGINT AS taken FROM cut JOIN uses USING (k, block) GROUP BY doc_id)
-SELECT doc_id, size, n AS source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM placed LEFT JOIN taken USING (doc_id)
+u AS (SELECT *, floor(target + 0.5)::BIGINT AS wanted FROM t),
+placed AS (SELECT d.doc_id, d.size, u.n, u.target, u.wanted, (sum(d.size) OVER (PARTITION BY u.k ORDER BY md5(coalesce(d.doc_id::VARCHAR, '')), d.doc_id ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS first
+           FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source)
+SELECT doc_id, size, n AS source_size, target, CASE WHEN n = 0 THEN 0 ELSE wanted // n * size + greatest(0, least(size, wanted % n - first)) END::BIGINT AS taken FROM placed
 """,
     "op4_similar_vectors": f"""
 WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
