@@ -2,7 +2,11 @@
 
 Pass one gives every block a label from its stop-word density, length and link density, from
 the container it stands in (navigation, footers, forms, asides, or what a class, id or role
-names) and from whether it is part of an article. Short and middling blocks stay undecided;
+names) and from whether it is part of an article. A name counts if it is a whole class or id made
+of such words alone (``comment-list``, not ``comments-open`` or ``has-sidebar``); it never condemns
+``article`` or ``main``, nor, on a page without these, the container of the prose if nothing
+else of the page would be kept. In an article neither densities nor a notice of rights condemn a
+block: it may be a list, a licence or in a language without known stop words. Short and middling blocks stay undecided;
 in pass two they inherit the label of the nearest decided neighbour, one of the same
 container kind before others. Stop words are known for a few languages only: on a page without
 an article and with too few of them, and for blocks in other scripts, length and links decide.
@@ -64,6 +68,16 @@ FIRM = frozenset(
     """.split()
 )
 LOOSE = frozenset("sidebar banner header masthead notice notices alert widget widgets toolbar topbar skip hidden teaser".split())
+# Words that may stand beside those in a name without changing what it means.
+BESIDE = frozenset(
+    """
+    site page main global primary secondary top bottom left right upper lower inner outer post posts article articles entry list lists
+    item items area areas section box boxes block blocks bar bars panel wrapper wrap container content body inside group row col column
+    columns links link buttons button icons form forms thread section slot unit inline sticky fixed mobile desktop small large rail
+    policy message text title heading overlay dialog us with and js the
+    """.split()
+)
+RIGHTS = re.compile(r"©|\(c\) ?\d{4}|\bcopyright\b.{0,40}\d{4}|\ball rights reserved\b", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -87,6 +101,7 @@ class Block:
     article: bool
     tag: str = ""
     label: int = OPEN
+    named: int = 0  # the outermost container that only its name condemns, 0 if none
 
 
 def _named(attrs: str) -> tuple[bool, bool]:
@@ -103,16 +118,19 @@ def _named(attrs: str) -> tuple[bool, bool]:
         elif name == "style":
             firm |= re.search(r"display\s*:\s*none", value, re.I) is not None
         else:
-            words = {w.lower() for w in _WORD.findall(value)}
-            firm |= not words.isdisjoint(FIRM)
-            loose |= not words.isdisjoint(LOOSE)
+            for token in value.split():
+                words = {w.lower() for w in _WORD.findall(token)}
+                if words <= FIRM | LOOSE | BESIDE:
+                    firm |= not words.isdisjoint(FIRM)
+                    loose |= not words.isdisjoint(LOOSE)
     return firm, loose
 
 
 def blocks_of(html: str) -> list[Block]:
     """The non-empty blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, boilerplate (0 no, 1 loosely, 2 firmly), in an article
+    # tag, boilerplate (0 no, 1 loosely, 2 firmly), in an article, number of the container whose name alone condemns
+    stack: list[tuple[str, int, bool, int]] = []
     pieces: list[str] = []
     linked: list[str] = []
     links = 0
@@ -121,8 +139,8 @@ def blocks_of(html: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                tag, boiler, article = stack[-1] if stack else ("", 0, False)
-                out.append(Block(text, len(" ".join("".join(linked).split())), boiler > 0, article, tag))
+                tag, boiler, article, named = stack[-1] if stack else ("", 0, False, 0)
+                out.append(Block(text, len(" ".join("".join(linked).split())), boiler > 0, article, tag, named=named))
             pieces.clear()
             linked.clear()
 
@@ -174,20 +192,23 @@ def blocks_of(html: str) -> list[Block]:
             stack.pop()
         if tag in ("li", "option", "dt", "dd", "td", "th", "tr") and stack and stack[-1][0] == tag:
             stack.pop()
-        _, boiler, article = stack[-1] if stack else ("", 0, False)
+        _, boiler, article, named = stack[-1] if stack else ("", 0, False, 0)
         firm, loose = _named(attrs) if "=" in attrs or "hidden" in attrs else (False, False)
         if tag in ("html", "body"):
             firm = loose = False
         mine = 2 if tag in NEVER or firm else 1 if loose and not article or tag == "header" and not article else 0
         if tag in ("article", "main"):
-            if boiler < 2 and not firm:
-                boiler, article, mine = 0, True, 0
+            if boiler < 2:
+                boiler, article, mine, named = 0, True, 0, 0
         level = max(boiler, mine)
+        if level > 0:
+            # a tag that condemns by itself is not excused with the name around it
+            named = 0 if tag in NEVER or boiler and not named else named or at
         if tag not in BLOCKS:
             if level == boiler:
                 continue
             flush()
-        stack.append((tag, level, article))
+        stack.append((tag, level, article, named))
     flush()
     return out
 
@@ -198,8 +219,22 @@ def _latin(text: str) -> bool:
     return 2 * sum(c < "\u0250" or "\u1e00" <= c < "\u1f00" for c in letters) >= len(letters)
 
 
+def _excused(blocks: list[Block]) -> None:
+    """Frees the named container with most prose if its page holds no article and no other plain block."""
+    if any(b.article or not b.boiler and b.linked <= LINKED * len(b.text) for b in blocks):
+        return
+    prose: dict[int, int] = {}
+    for b in blocks:
+        if b.named and len(b.text) >= SHORT and b.linked <= LINKED * len(b.text):
+            prose[b.named] = prose.get(b.named, 0) + len(b.text)
+    best = max(prose, key=prose.__getitem__, default=0)
+    for b in blocks:
+        b.boiler &= not best or b.named != best
+
+
 def label(blocks: list[Block]) -> list[Block]:
     """Both passes; afterwards every block is GOOD or BAD."""
+    _excused(blocks)
     some_article = any(b.article and not b.boiler for b in blocks)
     counts = [(sum(w.strip(_EDGE) in STOP_WORDS for w in words), len(words)) for words in (b.text.lower().split() for b in blocks)]
     plain = [not b.boiler and b.linked <= LINKED * len(b.text) for b in blocks]
@@ -209,7 +244,7 @@ def label(blocks: list[Block]) -> list[Block]:
     for b, (n, of) in zip(blocks, counts):
         stops = n / of
         heading = b.article and len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit()
-        if b.boiler:
+        if b.boiler or not b.article and len(b.text) <= LONG and b.tag != "pre" and RIGHTS.match(b.text):
             b.label = BAD
         elif heading and b.linked > LINKED * len(b.text):
             b.label = GOOD
