@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests import university
 from tripletide import TBox, bgp, instances_of
 from tripletide.operators.lineage import explain_leaves, graph_usage, graph_usage_of
-from tripletide.operators.paths import reaching
+from tripletide.operators.paths import reaching, walks
 
 
 def brute_reaching(edges, ends):
@@ -111,3 +111,66 @@ def test_patterns_of_five_triples(spark, patterns):
     want = {tuple(b[v] for v in variables) for b in found}
     got = [tuple(r) for r in bgp(quads, patterns, variables).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def brute_walks(edges, starts):
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    out = set()
+    for start in starts:
+        seen, ahead = {start}, [start]
+        while ahead:
+            for b in after.get(ahead.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    ahead.append(b)
+        out |= {(start, n) for n in seen}
+    return out
+
+
+@pytest.mark.parametrize("seed, n, m", [(4, 14, 13), (5, 40, 40)])
+def test_walks_equal_brute_force(spark, seed, n, m):
+    rng = random.Random(seed)
+    edges = [(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(m)] + [("loop", "loop"), ("r1", "r2"), ("r2", "r1"), (None, "n1")]
+    starts = [f"n{rng.randrange(n)}" for _ in range(4)] + ["loop", "r1", "nowhere"]
+    got = [tuple(r) for r in walks(frame(spark, edges), ends_of(spark, starts)).select("start", "node").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_walks([e for e in edges if None not in e], starts)
+
+
+def brute_path_leaves(triples, prop, answers, members, back):
+    edges = [(o, s) if back else (s, o) for s, p, o, _ in triples if p == prop]
+    reach = {a: {n for _, n in brute_walks(edges, [a])} for a in {x for e in edges for x in e}}
+    out = set()
+    for a in answers:
+        for u, v in edges:
+            if u in reach.get(a, {a}) and reach[v] & members:
+                out.add((a, *((v, prop, u) if back else (u, prop, v))))
+        shown = {m for m in members if any(u in reach.get(a, {a}) and m in reach[v] for u, v in edges)}
+        out |= {(a, m, "rdf:type", "Country") for m in shown}
+    return out
+
+
+@pytest.mark.parametrize("seed, back", [(1, False), (3, True)])
+def test_leaves_of_a_class_over_paths_equal_brute_force(spark, seed, back):
+    rng = random.Random(seed)
+    inverse = [("inverse", "partOf", "holds", None, None)] if back else []
+    rules = TBox.of(university.axioms(spark, [("transitive", "partOf", None, None, None), ("equiv_some", "Local", None, "holds" if back else "partOf", "Country"), *inverse]))
+    triples = sorted({(f"n{rng.randrange(16)}", "partOf", f"n{rng.randrange(16)}", "iri") for _ in range(20)})
+    members = {rng.choice(triples)[0 if back else 2] for _ in range(2)}
+    quads = university.quads(spark, [*triples, *[(m, "rdf:type", "Country", "iri") for m in sorted(members)]])
+    answers = instances_of(quads, rules, "Local")
+    answers = spark.createDataFrame(answers.collect(), "s string")
+    lineage = explain_leaves(answers, quads, rules, "Local").collect()
+    got = [(r.s, r.leaf_s, r.leaf_p, r.leaf_o) for r in lineage]
+    want = brute_path_leaves(triples, "partOf", {r.s for r in answers.collect()}, members, back)
+    assert want and len(got) == len(set(got)) and set(got) == want
+    assert counts(graph_usage_of(answers, quads, rules, "Local")) == counts(graph_usage(spark.createDataFrame(lineage)))
+
+
+def test_leaves_over_a_chain_of_5000_edges_are_made_for_the_answers_asked_for(spark):
+    rules = TBox.of(university.axioms(spark, [("transitive", "partOf", None, None, None), ("equiv_some", "Local", None, "partOf", "Country")]))
+    triples = [(f"p{i}", "partOf", f"p{i + 1}", "iri") for i in range(5000)] + [("p4500", "rdf:type", "Country", "iri"), ("p10", "partOf", "q", "iri")]
+    quads = university.quads(spark, triples)
+    got = {(r.s, r.leaf_s) for r in explain_leaves(spark.createDataFrame([("p0",), ("p4000",), ("p4600",)], "s string"), quads, rules, "Local").collect()}
+    assert got == {("p0", f"p{i}") for i in range(4501)} | {("p4000", f"p{i}") for i in range(4000, 4501)}

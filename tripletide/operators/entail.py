@@ -12,10 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripletide.operators.closure import closure
 from tripletide.operators.joins import skew_join
 from tripletide.operators.ontology import Goal, TBox, cue_of, goal_for, property_paths
-from tripletide.operators.paths import reaching
+from tripletide.operators.paths import reaching, walks
 from tripletide.scratch import pin, store
 
 LEAF = ("leaf_s", "leaf_p", "leaf_o")
@@ -186,29 +185,54 @@ class Paths:
         return found.join(self.rules, self.way).select(*self.by, F.col("node").alias("x"), "need", "c", "c_given")
 
 
-def path_links(facts: Facts, goal: Goal, by: Sequence[str]) -> DataFrame | None:
-    """All links with their leaves, those along paths of transitive properties included.
+class PathLeaves:
+    """The edges that show rules over transitive properties, for requested nodes only.
 
-    A path link is repeated for every edge lying on a path from its first to its last node.
+    A rule (need if a path of ``via`` leads to a d, and c) rests on the edges that lie on a path from the node to any
+    member of d: those met on the walks from the node that still lead to a member. A walk's nodes are requests of a class
+    of their own, named by property, direction and d, which the edges out of them support.
     """
-    base = [*by, "x", "y", *RULE]
-    leaf_cols = [c for c in facts.evidence.columns if c in LEAF or (c == "graph_no" and c not in by)]
-    if facts.links is None:
-        return None
-    links = facts.links.select(*base, *leaf_cols)
-    if facts.edges is None or goal.rules is None:
-        return links
-    edges = facts.edges
-    pairs = closure(edges.select(*by, "via", "src", "dst"), by=[*by, "via"])
-    rules = goal.rules.filter("via is not null").drop("p")
-    # An edge u-v lies on a path from src to dst if src reaches u (or is u) and v reaches dst (or is v).
-    e = edges.select(*by, "via", F.col("src").alias("u"), F.col("dst").alias("v"), *leaf_cols)
-    before = pairs.select(*by, "via", "src", F.col("dst").alias("u"))
-    into = e.join(before, [*by, "via", "u"]).unionByName(e.withColumn("src", F.col("u")))
-    after = pairs.select(*by, "via", F.col("src").alias("v"), "dst")
-    on_path = into.join(after, [*by, "via", "v"]).unionByName(into.withColumn("dst", F.col("v")))
-    placed = on_path.select(*by, "via", "src", "dst", *leaf_cols).distinct().join(rules, "via")
-    return links.unionByName(placed.select(*by, *_turned("x", "y"), *RULE, *leaf_cols))
+
+    def __init__(self, facts: Facts, goal: Goal, types: DataFrame, by: Sequence[str]) -> None:
+        self.by, self.way = list(by), ["via", "flip", "d"]
+        leaf = [*LEAF, "graph_no"]
+        self.rules = goal.rules.filter("via is not null").select(F.col("need").alias("cls"), "c", *self.way).distinct()
+        ways, key = self.rules.select(self.way).distinct(), [*self.by, *self.way]
+        own = [c for c in leaf if c not in self.by]
+        edges = facts.edges.select(*self.by, "via", "src", "dst", *own).join(ways, "via")
+        edges = edges.select(*key, *_turned("_src", "_dst"), *own).withColumnsRenamed({"_src": "src", "_dst": "dst"})
+        edges = store(edges, "path-edges").df
+        ends = store(types.select(*self.by, "node", F.col("cls").alias("d")).join(ways, "d").select(*key, "node"), "path-ends").df
+        self.leading = store(reaching(edges, ends, key), "leading").df
+        self.ends = ends.withColumnRenamed("node", "dst")
+        live = self.leading.unionByName(ends).distinct().withColumnRenamed("node", "dst")
+        self.edges = store(skew_join(edges, live, [*key, "dst"], "left_semi"), "live-edges").df
+        self.types = types
+
+    def _token(self) -> Column:
+        return F.concat_ws("\u0001", "via", F.col("flip").cast("string"), "d").alias("cls")
+
+    def support(self) -> DataFrame:
+        """(by..., node, cls, leaf, graph_no): an edge is a leaf for each walk that passes its first node."""
+        return self.edges.select(*self.by, F.col("src").alias("node"), self._token(), *LEAF, *({"graph_no"} - set(self.by)))
+
+    def follow(self, asked: DataFrame) -> DataFrame:
+        """Requests (by..., s, node, cls) that the rules over paths add to those asked."""
+        by, key = self.by, [*self.by, *self.way]
+        near = self.types.select(*by, "node", F.col("cls").alias("c"))
+        ruled = asked.join(self.rules, "cls").select(*key, "s", "node", "c")
+        held = ruled.filter("c is null").unionByName(skew_join(ruled.filter("c is not null"), near, [*by, "node", "c"], "left_semi"))
+        started = store(skew_join(held, self.leading, [*key, "node"], "left_semi").select(*key, "s", "node", "c"), "started")
+        if not started.rows:
+            return asked.limit(0)
+        passed = walks(self.edges.select(*key, "src", "dst"), started.df.select(*key, "node").distinct(), key)
+        who = started.df.select(*key, "s", F.col("node").alias("start")).distinct()
+        met = store(skew_join(passed, who, [*key, "start"]).select(*key, "s", "node").distinct(), "passed").df
+        steps = self.edges.select(*key, F.col("src").alias("node"), "dst").distinct()
+        to_end = skew_join(steps, self.ends, [*key, "dst"], "left_semi")
+        shown = skew_join(to_end, met, [*key, "node"]).select(*by, "s", F.col("dst").alias("node"), F.col("d").alias("cls"))
+        base = started.df.filter("c is not null").select(*by, "s", "node", F.col("c").alias("cls"))
+        return met.select(*by, "s", "node", self._token()).unionByName(shown).unionByName(base).distinct()
 
 
 def _apply_rules(

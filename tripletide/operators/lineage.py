@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripletide.operators.entail import LEAF, Facts, facts_of, path_links, types_of
+from tripletide.operators.entail import LEAF, RULE, Facts, PathLeaves, facts_of, types_of
 from tripletide.operators.joins import skew_join
 from tripletide.operators.ontology import Goal, TBox, goal_for
 from tripletide.scratch import store
@@ -29,7 +29,8 @@ def requests_of(
         return first, evidence
     types = store(types_of(facts, goal, by), "types")
     known_types = types.hinted()
-    links = path_links(facts, goal, by)
+    links = facts.links.select(*by, "x", "y", *RULE, *LEAF, *({"graph_no"} - set(by)))
+    paths = PathLeaves(facts, goal, types.df, by) if facts.edges is not None else None
     far = known_types.select(*by, F.col("node").alias("y"), F.col("cls").alias("d"))
     near = known_types.select(*by, F.col("node").alias("x"), F.col("cls").alias("c"))
     held = skew_join(links, far, [*by, "y", "d"], "left_semi")
@@ -40,14 +41,16 @@ def requests_of(
     def follow(asked: DataFrame) -> DataFrame:
         used = skew_join(rests, asked, node_cls)
         base = used.select(*by, "s", F.col("node").alias("node"), F.col("c").alias("cls")).filter("cls is not null")
-        return base.unionByName(used.select(*by, "s", F.col("y").alias("node"), F.col("d").alias("cls"))).distinct()
+        found = base.unionByName(used.select(*by, "s", F.col("y").alias("node"), F.col("d").alias("cls")))
+        return (found.unionByName(paths.follow(asked)) if paths else found).distinct()
 
     asked = new = store(first, "requests")
     rounds = 0
     while new.rows and (goal.rounds is None or rounds < goal.rounds):
         new = store(follow(new.df).join(asked.df, [*node_cls, "s"], "left_anti"), "requests")
         asked, rounds = asked.plus(new), rounds + 1
-    return asked.df, evidence.unionByName(held.select(evidence.columns))
+    support = evidence.unionByName(held.select(evidence.columns))
+    return asked.df, support.unionByName(paths.support().select(evidence.columns)) if paths else support
 
 
 def leaves_of(

@@ -1,4 +1,4 @@
-"""Which nodes reach a set of nodes over edges, in space linear in the edges."""
+"""Reachability over edges: which nodes reach a set of nodes, and what lies on the walks from given nodes."""
 
 from __future__ import annotations
 
@@ -64,3 +64,42 @@ def reaching(edges: DataFrame, ends: DataFrame, by: Sequence[str] = ()) -> DataF
     through = jumps.df.filter("not found").join(reached.df.withColumnRenamed("node", "jump"), [*by, "jump"], "left_semi")
     parts = [jumps.df.filter("found").select(*by, "node"), through.select(*by, "node"), reached.df]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+
+
+def _lifts(lone: Stored, by: list[str]) -> list[Stored]:
+    """(by..., node, jump): the node 1, 2, 4, ... steps on, for as long as nodes with one edge follow each other."""
+    lifts = [lone]
+    while lifts[-1].rows and 1 << len(lifts) <= 2 * lone.rows:
+        last = lifts[-1].df
+        on = last.select(*by, F.col("node").alias("jump"), F.col("jump").alias("on"))
+        lifts.append(store(last.join(on, [*by, "jump"]).select(*by, "node", F.col("on").alias("jump")), "lifts"))
+    return [x for x in lifts if x.rows]
+
+
+def walks(edges: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., start, node): the nodes on all walks along ``edges`` (by..., src, dst) from each of ``starts`` (by..., node),
+    the start itself included.
+
+    The search goes from fork to fork, jumping over stretches of nodes with a single edge. Only stretches it has entered are
+    listed, by jumps of doubling length, once for all starts that enter them. Pairs are made for the given starts alone.
+    """
+    by = list(by)
+    known = store(edges.select(*by, "src", "dst").dropna().distinct(), "edges").df
+    degree = known.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("jump"))
+    lone = store(degree.filter("n = 1").select(*by, F.col("src").alias("node"), "jump"), "lone")
+    forks = store(skew_join(known, degree.filter("n > 1").select(*by, "src"), [*by, "src"], "left_semi"), "forks").df
+    fork = store(forks.select(*by, F.col("src").alias("node")).distinct(), "fork")
+    # Where an entry leads: the fork it is, or the fork behind its stretch.
+    leads = _jumps(lone, fork, by).df.filter("found").select(*by, F.col("node").alias("entry"), F.col("jump").alias("src"))
+    leads = leads.unionByName(fork.df.select(*by, F.col("node").alias("entry"), F.col("node").alias("src")))
+    entered = new = store(starts.select(*by, F.col("node").alias("start"), F.col("node").alias("entry")).dropna().distinct(), "entered")
+    while new.rows:
+        at = skew_join(new.df, leads, [*by, "entry"]).select(*by, "start", "src").distinct()
+        ahead = skew_join(forks, at, [*by, "src"]).select(*by, "start", F.col("dst").alias("entry")).distinct()
+        new = store(ahead.join(entered.df, [*by, "start", "entry"], "left_anti"), "entered")
+        entered = entered.plus(new)
+    along = store(entered.df.select(*by, "entry", F.col("entry").alias("node")).distinct(), "stretches").df
+    for lift in _lifts(lone, by):
+        on = along.join(lift.df, [*by, "node"]).select(*by, "entry", F.col("jump").alias("node"))
+        along = store(along.unionByName(on).distinct(), "stretches").df
+    return skew_join(along, entered.df, [*by, "entry"]).select(*by, "start", "node").distinct()
