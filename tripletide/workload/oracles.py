@@ -264,6 +264,14 @@ FROM (VALUES ('none'), ('rdfs++'), ('restriction')) AS r(regime),
     "transitive_closure_prop": WITHIN,
     "path_class": f"""{WITHIN.replace("SELECT s, 'within' AS p, o FROM reach", "")}
 SELECT DISTINCT s FROM reach WHERE o IN (SELECT 'r:' || r_regionkey FROM region WHERE r_name = 'ASIA')""",
+    "path_leaves": f"""{WITHIN.replace("SELECT s, 'within' AS p, o FROM reach", "").rstrip()},
+asia AS (SELECT 'r:' || r_regionkey AS r FROM region WHERE r_name = 'ASIA'),
+a AS (SELECT DISTINCT s FROM reach JOIN asia ON o = r),
+met AS (SELECT s, s AS n FROM a UNION SELECT s, o FROM reach JOIN a USING (s))
+SELECT met.s, e.s AS leaf_s, 'within' AS leaf_p, e.o AS leaf_o,
+  CAST(CASE split_part(e.s, ':', 1) WHEN 'or' THEN 0 WHEN 'cu' THEN 1 WHEN 'n' THEN 2 ELSE 3 END AS BIGINT) AS graph_no
+FROM met JOIN edge e ON e.s = met.n WHERE e.o IN (SELECT r FROM asia) OR e.o IN (SELECT s FROM a)
+UNION ALL SELECT s, r, 'rdf:type', 'AsianRegion', CAST(3 AS BIGINT) FROM a, asia""",
     "type_propagation": f"{EVENTS} SELECT DISTINCT s AS node, sup AS cls FROM q JOIN sub ON sub.sub = q.o WHERE p = 'rdf:type'",
     "subproperty_propagation": f"""WITH {EV} SELECT DISTINCT s, p, o, o_kind FROM (
   SELECT s, p, o, o_kind FROM ev UNION ALL SELECT s, 'p:performed', o, o_kind FROM ev WHERE p = 'p:purchased')""",

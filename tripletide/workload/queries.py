@@ -197,9 +197,8 @@ def asserted_types(triples: DataFrame) -> DataFrame:
     return triples.filter(is_typing()).select(F.col("s").alias("node"), F.col("o").alias("cls"))
 
 
-@query("path_class")
-def path_class(spark, sf_dir):
-    """Whatever lies within Asia, at any distance: a class defined over a transitive property."""
+def within_asia(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The triples of places, a graph per kind of place, with the region Asia typed, and the rules of the class over their paths."""
     region = table(spark, sf_dir, "region").filter("r_name = 'ASIA'")
     typed = region.select(
         F.concat(F.lit("r:"), F.col("r_regionkey").cast("string")).alias("s"), F.lit("rdf:type").alias("p"),
@@ -208,7 +207,22 @@ def path_class(spark, sf_dir):
     rules = literal_rows(
         spark, [("transitive", "within", None, None, None), ("equiv_some", "Asian", None, "within", "AsianRegion")], AXIOMS
     )
-    return instances_of(within_triples(spark, sf_dir).unionByName(typed), rules, "Asian")
+    kind = F.expr("CASE split_part(s, ':', 1) WHEN 'or' THEN 0L WHEN 'cu' THEN 1L WHEN 'n' THEN 2L ELSE 3L END")
+    return within_triples(spark, sf_dir).unionByName(typed).withColumn("graph_no", kind), rules
+
+
+@query("path_class")
+def path_class(spark, sf_dir):
+    """Whatever lies within Asia, at any distance: a class defined over a transitive property."""
+    return instances_of(*within_asia(spark, sf_dir), "Asian")
+
+
+@query("path_leaves")
+def path_leaves(spark, sf_dir):
+    """The triples on the way from whatever lies within Asia up to Asia."""
+    quads, rules = within_asia(spark, sf_dir)
+    answers = store(instances_of(quads, rules, "Asian"), "answers").df
+    return explain_leaves(answers, quads, rules, "Asian")
 
 
 @query("type_propagation")
