@@ -112,3 +112,27 @@ def test_keyed_semantic_windows(spark, tmp_path):
     for (k, epoch), move in moves.items():
         want = modelled(per_key[k], spec, 4)
         assert (counts.get((k, epoch), 0), *move) == want[epoch]
+
+
+def test_many_steps_take_few_jobs(spark, tmp_path, monkeypatch):
+    # Every graph shows a buyer of its own, so each step answers with its four graphs and the oldest goes.
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    triples = [
+        t for i in range(40) for t in ((f"u:{i}", "p:purchased", f"e:{i}", "iri"), (f"e:{i}", "rdf:type", "c:Purchase", "iri"))
+    ]
+    rows = spark.createDataFrame([(i, *t) for i, t in enumerate(triples)], "at long, s string, p string, o string, o_kind string")
+    written, plain = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), plain(self, path, *a, **k))[1])
+    spec = WindowSpec(4, 1, "LRU", "c:Buyer", "c:User", 2)
+
+    def entries(quads):
+        return quads.groupBy("graph_no").agg(F.lit(0).cast("bigint").alias("use_count")).select(
+            "graph_no", "use_count", F.timestamp_seconds(F.col("graph_no") + 1).alias("arrival_ts"),
+            F.timestamp_seconds(F.col("graph_no") + 1_000_000).alias("expire_ts"),
+        )
+
+    moves, answers = run_in_batches(spark, rows, [0, 80], spec, str(tmp_path), entries=entries)
+    assert sorted((r.epoch, r.n_expired, r.n_evicted) for r in moves.collect()) == [(e, 0, 1) for e in range(37)]
+    assert {(r.epoch, r.s) for r in answers.collect()} == {(e, f"u:{e + i}") for e in range(37) for i in range(4)}
+    assert len(written) < 60  # a few tables a batch, none for each of the 37 steps

@@ -1,8 +1,8 @@
 """A semantic window over arriving triples.
 
 Every micro-batch is numbered, cut into graphs and reduced to the facts the query
-and the explanation need; then all windows that have enough arrived graphs step on
-together. What lies between batches is a set of Parquet tables under
+and the explanation need; then all windows step on as far as their arrived graphs reach,
+many steps in one job. What lies between batches is a set of Parquet tables under
 ``state_dir/<batch_id>``: windows, waiting triples, entries and facts. A batch reads
 the tables of those before and overwrites its own, so a repeated batch has the
 same outcome.
@@ -25,16 +25,8 @@ from tripletide.operators.joins import skew_join
 from tripletide.operators.numbering import number_rows
 from tripletide.operators.ontology import Goal, TBox, goal_for
 from tripletide.operators.window import assign_ttl
-from tripletide.plans.epoch import (
-    Reasoning,
-    Windows,
-    advance,
-    held,
-    open_windows,
-    store_windows,
-    to_evict,
-    top_up,
-)
+from tripletide.plans.ahead import advance_all
+from tripletide.plans.epoch import Reasoning, Windows, open_windows
 from tripletide.plans.spec import WindowSpec
 from tripletide.scratch import store
 
@@ -232,43 +224,8 @@ class SemanticWindow:
         At the end of the stream, ``final``, nothing more arrives: a full window takes what is there, one that never
         stepped does with fewer graphs, and a window that cannot be filled again is through.
         """
-        n_windows = rows.filter("graph_no is null").count()
-        win = self._naming(n_windows * self.spec.size)
         tracked = self.spec.policy != "FEFO" and self.spec.evict != self.spec.size
-        answers, moves = [], []
-        while True:
-            topped = store(top_up(rows, entries, win).select(win.columns), "window").df
-            clock = topped.withColumn("_now", F.max("arrival_ts").over(win.over()))
-            gone = F.count_if(F.col("expire_ts") < F.col("_now")).over(win.over())
-            arrived = F.col("n_graphs") - F.col("cursor")
-            full = held(win) == F.col("size")
-            able = full | (F.col("evict_no") == 1) if final else full & (gone <= arrived)
-            marked = store(clock.withColumn("_ready", able).drop("_now"), "window").df
-            if marked.filter("_ready").isEmpty():
-                break
-            ready = store_windows(marked.filter("_ready").drop("_ready"), reasoning)
-            done = advance(ready, entries, reasoning, win, any_usage=tracked, stop_when_short=final)
-            epoch = (F.col("evict_no") - 1).alias("epoch")
-            header = done.current.df.filter("graph_no is null").select(*self.by, epoch)
-            answers.append(done.answers.df.join(header, self.by))
-            moves.append(
-                done.current.df.groupBy(*self.by, epoch).agg(
-                    F.max("n_expired").alias("n_expired"),
-                    F.least(F.count("graph_no"), F.max(to_evict())).cast("bigint").alias("n_evicted"),
-                )
-            )
-            rest = marked.filter("false" if final else "not _ready").drop("_ready")
-            rows = store(rest.unionByName(done.following.df), "window").df
-        empty = topped.filter("false")
-        none = empty.select(*self.by, F.col("policy").alias("s"), F.col("evict_no").alias("epoch"))
-        unmoved = empty.select(
-            *self.by, F.col("evict_no").alias("epoch"), F.col("evict_no").alias("n_expired"), F.col("evict_no").alias("n_evicted")
-        )
-        for df in answers:
-            none = none.unionByName(df)
-        for df in moves:
-            unmoved = unmoved.unionByName(df)
-        return topped, none, unmoved
+        return advance_all(rows, entries, reasoning, self._naming(0), tracked, final)
 
 
 def read_steps(spark: SparkSession, state_dir: str, name: str) -> DataFrame:
