@@ -195,3 +195,17 @@ def test_keyed_windows_follow_their_own_streams(spark):
     for k, triples in per_key.items():
         got = [(r.n_results, r.n_expired, r.n_evicted) for r in rows if r.key == k]
         assert got == modelled(triples, spec, 4)
+
+
+def test_the_replay_query_reaches_the_end_of_its_stream(spark, tmp_path):
+    # Only the last third of a long stream holds a purchase.
+    from tripletide.workload.queries import registered
+
+    events = spark.range(3000).select(
+        F.col("id").alias("event_id"), F.when(F.col("id") < 2000, 1).otherwise(2).cast("bigint").alias("user_id"),
+        F.timestamp_seconds("id").alias("ts"), F.when(F.col("id") < 2000, "click").otherwise("purchase").alias("event_type"),
+        F.lit(1.0).alias("value"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    rows = {r.epoch: r.hits for r in registered()["window_replay"](spark, str(tmp_path)).collect()}
+    assert rows[0] == 0 and rows[max(rows)] == 1

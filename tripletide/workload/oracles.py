@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tripletide.operators.window import POLICIES
-from tripletide.workload.queries import LENGTHS, N, PUBLISHED, RUN, SIZE, STREAM
+from tripletide.workload.queries import LENGTHS, N, PUBLISHED, SEGMENTS, SIZE, STREAM
 from tripletide.workload.tables import EVENT_AXIOMS, TRADE_AXIOMS
 
 EV = """ev AS (
@@ -233,10 +233,10 @@ NT = f"""SELECT CAST(event_id * 2 + i AS BIGINT) AS seq,
   CASE WHEN i = 0 THEN '{BASE}/user/' || user_id ELSE '{BASE}/event/' || event_id END AS s,
   CASE WHEN i = 0 THEN '{BASE}/did' ELSE '{BASE}/props' END AS p"""
 
-# A run with T evictions has T + 1 steps; the stream of 30 graphs ends before STREAM_STEPS.
+# A run with T evictions has T + 1 steps; the stream of 30 graphs ends before STREAM_STEPS, one of SEGMENTS graphs before REPLAY_STEPS.
 SWEEP = [c[:6] for c in PUBLISHED]
 SWEEP_STEPS = max(c[5] for c in SWEEP) + 1
-STREAM_STEPS = 16
+STREAM_STEPS, REPLAY_STEPS = 16, 16
 AVERAGED = f"""{replay_ctes(SWEEP, SWEEP_STEPS)},
 averaged AS (SELECT config_id, policy, n, size, evict, {", ".join(f"round(sum({m}) / (evictions + 1), 9) AS {m}" for m in ("precision", "recall", "fmeasure"))}
   FROM scored JOIN cf USING (config_id) GROUP BY config_id, policy, n, size, evict, evictions)"""
@@ -329,7 +329,8 @@ INTERSECT SELECT node FROM types WHERE cls = 'c:Buyer'""",
     "policy_pivot": f"""{AVERAGED}, shares AS (SELECT * FROM {values(sorted({(size, evict, share) for _, _, _, size, evict, _, share in PUBLISHED}))} AS t(size, evict, evict_pct))
 SELECT size, evict_pct, {", ".join(f"max(fmeasure) FILTER (policy = '{p}' AND n = {n}) AS {p}_{n}" for p in POLICIES for n in LENGTHS)}
 FROM averaged JOIN shares USING (size, evict) GROUP BY size, evict_pct""",
-    "window_replay": replay_sql([("run", *RUN)], RUN[-1] + 1),
+    "window_replay": replay_sql([("run", "LFU", 1, SIZE, SIZE // 2, None)], REPLAY_STEPS).replace(
+        "policy, n,", f"policy, (SELECT (count(*) + {SEGMENTS - 1}) // {SEGMENTS} FROM ev) AS n,", 1),
     "policy_sweep": replay_sql(SWEEP, SWEEP_STEPS),
     "semantic_window_stream": replay_sql([("run", *STREAM)], STREAM_STEPS, "* EXCLUDE (config_id)"),
     "keyed_policy_window": keyed_sql(6, 3),

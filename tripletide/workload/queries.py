@@ -445,16 +445,18 @@ def window_quality_query(spark, sf_dir):
 # --- replay ---------------------------------------------------------------------------
 
 
+# Graphs a whole stream is cut into for the replay.
+SEGMENTS = 40
 # (policy, triples per graph, graphs, evicted graphs, evictions)
-RUN = ("LFU", 10, 100, 50, 5)
 STREAM = ("LRU", 1000, 10, 5, None)
 
 
 @query("window_replay")
 def window_replay(spark, sf_dir):
-    policy, n, size, out, evictions = RUN
+    """A window over the whole stream, however long: it steps until the graphs are used up."""
+    n = max(1, -(-table(spark, sf_dir, "events").count() * 3 // SEGMENTS))
     quads = event_quads(spark, sf_dir, n)
-    spec = WindowSpec(size, out, policy, QUERY_CLASS, EXPLAIN_CLASS, n, evictions)
+    spec = WindowSpec(SIZE, SIZE // 2, "LFU", QUERY_CLASS, EXPLAIN_CLASS, n)
     known = store(truth(spark, sf_dir), "truth").df
     return replay(quads, clock_entries(quads), tbox(spark, "events"), spec, known)
 
