@@ -258,3 +258,20 @@ def test_boilerplate_lines(spark):
         assert got[d]["text"] == "\n".join(kept)
     assert lines.without_boilerplate(docs).count() == len(rows)
     assert lines.without_boilerplate(docs.limit(0)).collect() == []
+
+
+def test_language_limits_and_temperature_come_from_all_learning_texts(spark):
+    rng = random.Random(5)
+    rows = [(k, "ab"[i % 2], " ".join(rng.choices(("ana bana", "cab", "dada", "efe") if i % 2 else ("ono", "mopo", "dada", "efe"), k=6)))
+            for k, i in enumerate(range(24_000))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(8)
+    model = language.learn(docs, F.lit(False))
+    known = {t: model.entropy(t) for t in {t for _, _, t in rows}}
+    e = np.array([known[t] for _, _, t in rows])
+    true = np.array([model.languages.index(k) for _, k, _ in rows])
+    for k in range(2):
+        assert model.limits[k] == pytest.approx(np.quantile(e[true == k, k], 1 - language.REJECTED_SHARE), rel=1e-12)
+    gap = e - e.min(axis=1, keepdims=True)
+    own = gap[np.arange(len(e)), true]
+    loss = [(own / t + np.log(np.exp(np.maximum(-gap / t, -700)).sum(axis=1))).mean() for t in language.TRIED]
+    assert model.temperature == language.TRIED[int(np.argmin(loss))]

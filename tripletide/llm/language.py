@@ -10,7 +10,7 @@ by gram hash, with every language's log probability beside each hash, and backin
 by context.
 
 A text gets the language of the lowest cross-entropy per symbol. The score is that
-language's share after a temperature fitted on learning texts; ``rejected`` marks texts whose
+language's share after a temperature fitted on all learning texts; ``rejected`` marks texts whose
 cross-entropy lies above what nearly all learning texts of the language have.
 
 Cases: ``und`` with score 0 for a null text or one without a letter, and for every text if
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripletide.llm.quality import remainder
-from tripletide.llm.tables import runs, saved
+from tripletide.llm.tables import dropped, listed, runs, saved
 from tripletide.llm.words import mix
 
 ORDER = 4
@@ -41,9 +41,10 @@ SYMBOLS = 1 << BITS
 OWN = 160
 # Grams counted in a task before they are handed over.
 HELD = 1 << 21
-# About so many learning texts, chosen by hash, fit the temperature and the rejection limits.
-CALIBRATED = 20_000
 REJECTED_SHARE = 0.001
+# Temperatures tried, and bins of cross-entropy a unit, in which the rejection limits are looked for.
+TRIED = np.geomspace(0.01, 2, 60)
+BINS = 4096
 UNKNOWN = "und"
 
 _folds: list[np.ndarray] = []
@@ -256,36 +257,71 @@ def build(languages: list[str], alphabet: np.ndarray, grams: dict[str, tuple[np.
 
 
 def _entropies(model: Model):
+    """(lang, e) of every learning text with a letter, and per task the summed ``loss`` of every temperature."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {k: i for i, k in enumerate(model.languages)}
+        loss = np.zeros(len(TRIED))
+
+        def packed(true: list, own: list, losses: list) -> pa.RecordBatch:
+            columns = [pa.array(true, pa.int64()), pa.array(own, pa.float64()), pa.array(losses, pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, ["lang", "e", "loss"])
+
         for batch in batches:
             for part in runs(batch, "text"):
                 rows = [
-                    (place[k], model.entropy(t).tolist())
+                    (place[k], model.entropy(t))
                     for k, t in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()) if has_letter(t)
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))], ["lang", "e"]
-                )
+                if rows:
+                    true, e = np.array([k for k, _ in rows]), np.array([x for _, x in rows])
+                    own, gap = e[np.arange(len(e)), true], e - e.min(axis=1, keepdims=True)
+                    far = gap[np.arange(len(e)), true]
+                    loss += [(far / t + np.log(np.exp(np.maximum(-gap / t, -700)).sum(axis=1))).sum() for t in TRIED]
+                    yield packed(true.tolist(), own.tolist(), [None] * len(rows))
+        yield packed([None], [None], [loss.tolist()])
 
     return work
 
 
-def calibrated(model: Model, entropies: list[tuple[int, list[float]]]) -> Model:
-    """The temperature that makes the true languages likeliest, and each language's rejection limit."""
-    if not entropies:
+def _limits(found: DataFrame, n_languages: int) -> tuple[float, ...]:
+    """For every language the cross-entropy that all but REJECTED_SHARE of its texts keep to, exactly: counts by bin
+    tell the bins of the two values it lies between, and of these bins the different values are read."""
+    texts = found.filter("lang is not null").withColumn("bin", F.floor(F.col("e") * BINS))
+    counts: dict[int, list] = {}
+    for r in texts.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "bin").collect():
+        counts.setdefault(r["lang"], []).append((r["bin"], r["n"]))
+    places, wanted = {}, []
+    for k, bins in counts.items():
+        ends = np.cumsum([n for _, n in bins])
+        at = (int(ends[-1]) - 1) * (1 - REJECTED_SHARE)
+        low, high = (int(np.searchsorted(ends, i, side="right")) for i in (int(at), int(np.ceil(at))))
+        places[k] = at, int(ends[low - 1]) if low else 0
+        wanted.append((k, bins[low][0], bins[high][0]))
+    out = [float("inf")] * n_languages
+    if not wanted:
+        return tuple(out)
+    held = texts.join(F.broadcast(listed(found.sparkSession, wanted, "lang long, low long, high long")), "lang")  # a row per language
+    values: dict[int, list] = {}
+    for r in held.filter("bin between low and high").groupBy("lang", "e").agg(F.count(F.lit(1)).alias("n")).orderBy("lang", "e").collect():
+        values.setdefault(r["lang"], []).append((r["e"], r["n"]))
+    for k, (at, before) in places.items():
+        ends = before + np.cumsum([n for _, n in values[k]])
+        a, b = (values[k][int(np.searchsorted(ends, i, side="right"))][0] for i in (int(at), int(np.ceil(at))))
+        out[k] = a + (b - a) * (at - int(at))
+    return tuple(out)
+
+
+def calibrated(model: Model, texts: DataFrame) -> Model:
+    """The temperature that makes the true languages of all ``texts`` (lang, text) likeliest, and each language's
+    rejection limit."""
+    found, path = saved(texts.mapInArrow(_entropies(model), "lang long, e double, loss array<double>"), "entropies")
+    sums = found.filter("loss is not null").select(F.posexplode("loss").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    loss = {r["i"]: r["x"] for r in sums.collect()}  # a row per temperature
+    limits = _limits(found, len(model.languages))
+    dropped(found.sparkSession, path)
+    if all(np.isinf(limits)):
         return model
-    true = np.array([k for k, _ in entropies])
-    e = np.array([x for _, x in entropies])
-    gap = e - e.min(axis=1, keepdims=True)
-    own = gap[np.arange(len(e)), true]
-    tried = np.geomspace(0.01, 2, 60)
-    loss = [(own / t + np.log(np.exp(np.maximum(-gap / t, -700)).sum(axis=1))).mean() for t in tried]
-    limits = [
-        float(np.quantile(e[true == k, k], 1 - REJECTED_SHARE)) if (true == k).any() else float("inf")
-        for k in range(len(model.languages))
-    ]
-    return Model(model.languages, model.alphabet, model.levels, float(tried[int(np.argmin(loss))]), tuple(limits))
+    return Model(model.languages, model.alphabet, model.levels, float(TRIED[min(loss, key=lambda i: (loss[i], i))]), limits)
 
 
 def learn(docs: DataFrame, held_out: Column) -> Model:
@@ -307,10 +343,7 @@ def learn(docs: DataFrame, held_out: Column) -> Model:
         order = np.argsort(gram[own])
         grams[k] = (gram[own][order], n[own][order])
     model = build(languages, alphabet, grams)
-    share = min(1.0, CALIBRATED / max(1, texts.count()))
-    sample = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
-    rows = sample.mapInArrow(_entropies(model), "lang long, e array<double>").collect()
-    return calibrated(model, [(r["lang"], r["e"]) for r in rows])
+    return calibrated(model, texts.select("lang", "text"))
 
 
 def _judged(model: Model):
