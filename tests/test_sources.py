@@ -148,3 +148,14 @@ def test_result_files_by_exact_name(spark, tmp_path):
         assert (back["FEFO"].n_triples, back["FEFO"].evict, back["FEFO"].recall, back["FEFO"].memory) == (1, 2, 1e-7, 0.0)
     write_results(rows.filter("false"), str(tmp_path / "none"), False)
     assert not (tmp_path / "none").exists() or not list((tmp_path / "none").iterdir())
+
+
+def test_a_document_holds_no_more_elements_than_a_task_should_read(spark, monkeypatch):
+    from tripletide.workload import files
+
+    monkeypatch.setattr(files, "ELEMENTS", 50)
+    part = spark.range(1000).coalesce(1).select(F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit("T").alias("p_type"))
+    path = files.write_lines(files.documents(files.part_classes(part)), "classes")
+    per_file = spark.read.text(path).filter("value like '<owl:Class%'").groupBy("_metadata.file_path").count().collect()
+    assert sum(r["count"] for r in per_file) == 1000 and max(r["count"] for r in per_file) <= 60
+    assert read_ontology(spark, path, base="b").filter("kind = 'subclass'").count() == 1000

@@ -58,11 +58,18 @@ ROOT_OPEN = (
 )
 
 
+# Elements in a document at most, or nearly so: an XML file is read by one task, however long it is.
+ELEMENTS = 20_000
+
+
 def documents(elements: DataFrame) -> DataFrame:
-    """The elements with a root element around those of each partition, so that every file is a document."""
+    """The elements dealt over documents of about ELEMENTS, with a root element around those of each partition, so that
+    every file is a document."""
+    elements = elements.repartition(max(1, -(-elements.count() // ELEMENTS)))
     def wrap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([ROOT_OPEN])], ["value"])
-        yield from batches
+        # Rebuilt, since a column without nulls has another schema than the root's.
+        yield from (pa.RecordBatch.from_arrays([batch.column(0)], ["value"]) for batch in batches)
         yield pa.RecordBatch.from_arrays([pa.array(["</rdf:RDF>"])], ["value"])
 
     return elements.mapInArrow(wrap, "value string")
