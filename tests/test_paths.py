@@ -174,3 +174,15 @@ def test_leaves_over_a_chain_of_5000_edges_are_made_for_the_answers_asked_for(sp
     quads = university.quads(spark, triples)
     got = {(r.s, r.leaf_s) for r in explain_leaves(spark.createDataFrame([("p0",), ("p4000",), ("p4600",)], "s string"), quads, rules, "Local").collect()}
     assert got == {("p0", f"p{i}") for i in range(4501)} | {("p4000", f"p{i}") for i in range(4000, 4501)}
+
+
+def test_nodes_that_no_edge_leads_to_stay_out_of_the_rounds(spark, monkeypatch):
+    from tripletide.operators import paths
+
+    seen, plain = [], paths._jumps
+    monkeypatch.setattr(paths, "_jumps", lambda lone, *rest: (seen.append(lone.rows), plain(lone, *rest))[1])
+    pairs = [(f"leaf{i}", "hub" if i % 2 else "far") for i in range(200)] + [("hub", "mid"), ("mid", "end"), ("far", "off")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    found = paths.reaching(edges, spark.createDataFrame([("end",)], "node string"))
+    assert {r.node for r in found.collect()} == {"hub", "mid", *(f"leaf{i}" for i in range(1, 200, 2))}
+    assert seen == [3]

@@ -174,7 +174,7 @@ class Paths:
         ways = self.rules.select(self.way).distinct()
         # One set of edges per property, direction and class looked for.
         self.edges = store(
-            facts.edges.select(*by, "via", "src", "dst").join(ways, "via").select(*by, *self.way, *_turned("_src", "_dst")).distinct(), "path-edges"
+            facts.edges.select(*by, "via", "src", "dst").join(ways, "via").select(*by, *self.way, *_turned("_src", "_dst")), "path-edges"
         ).df.withColumnsRenamed({"_src": "src", "_dst": "dst"})
         self.ways = ways
 

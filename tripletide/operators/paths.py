@@ -22,6 +22,7 @@ def _jumps(lone: Stored, ends: Stored, by: list[str]) -> Stored:
     # Round n covers 2**n edges, so a circle is gone round once all nodes could have been passed.
     while moved and 1 << rounds <= 2 * known.rows:
         on = known.df.select(*by, F.col("node").alias("jump"), F.col("jump").alias("on"), F.col("found").alias("then"))
+        on = _ahead(known.df.filter("open"), "jump", on, by)
         step = known.df.filter("open").join(on, [*by, "jump"], "left").select(
             *key, F.coalesce("on", "jump").alias("jump"), F.coalesce("then", F.lit(False)).alias("found"),
             (F.col("on").isNotNull() & ~F.coalesce("then", F.lit(False))).alias("open"),
@@ -37,10 +38,13 @@ def reaching(edges: DataFrame, ends: DataFrame, by: Sequence[str] = ()) -> DataF
 
     ``edges`` are (by..., src, dst). Stretches of nodes with a single edge are jumped over, which takes as many rounds as
     the logarithm of their length; between nodes with several edges the search goes back edge by edge. No pairs of nodes
-    are made, and circles end by themselves.
+    are made, and circles end by themselves. Nodes that no edge leads to lie on no way but their own: all rounds go without
+    them, and they are joined once at the end.
     """
     by = list(by)
-    known = store(edges.select(*by, "src", "dst").dropna().distinct(), "edges").df
+    every = store(edges.select(*by, "src", "dst").dropna().distinct(), "edges").df
+    inner = every.select(*by, F.col("dst").alias("src")).distinct()
+    known = store(skew_join(every, inner, [*by, "src"], "left_semi"), "inner-edges").df
     ends = store(ends.select(*by, "node").dropna().distinct(), "ends")
     degree = known.groupBy(*by, "src").agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("jump"))
     lone = store(degree.filter("n = 1").select(*by, F.col("src").alias("node"), "jump"), "lone")
@@ -63,7 +67,16 @@ def reaching(edges: DataFrame, ends: DataFrame, by: Sequence[str] = ()) -> DataF
         reached = reached.plus(new)
     through = jumps.df.filter("not found").join(reached.df.withColumnRenamed("node", "jump"), [*by, "jump"], "left_semi")
     parts = [jumps.df.filter("found").select(*by, "node"), through.select(*by, "node"), reached.df]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    good = store(found.unionByName(ends.df).distinct().withColumnRenamed("node", "dst"), "good")
+    return skew_join(every, good.hinted(), [*by, "dst"], "left_semi").select(*by, F.col("src").alias("node")).distinct()
+
+
+def _ahead(at: DataFrame, column: str, table: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of ``table`` (by..., column, ...) for the values of ``column`` in ``at``. Jumps soon end in few nodes: their
+    rows are then marked for broadcast, so that not all rows that jumped there meet in one task."""
+    targets = store(at.select(*by, column).distinct(), "targets")
+    return store(table.join(F.broadcast(targets.df), [*by, column], "left_semi"), "targets").hinted() if targets.small() else table
 
 
 def _lifts(lone: Stored, by: list[str]) -> list[Stored]:
@@ -71,7 +84,7 @@ def _lifts(lone: Stored, by: list[str]) -> list[Stored]:
     lifts = [lone]
     while lifts[-1].rows and 1 << len(lifts) <= 2 * lone.rows:
         last = lifts[-1].df
-        on = last.select(*by, F.col("node").alias("jump"), F.col("jump").alias("on"))
+        on = _ahead(last, "jump", last.select(*by, F.col("node").alias("jump"), F.col("jump").alias("on")), by)
         lifts.append(store(last.join(on, [*by, "jump"]).select(*by, "node", F.col("on").alias("jump")), "lifts"))
     return [x for x in lifts if x.rows]
 
@@ -100,6 +113,6 @@ def walks(edges: DataFrame, starts: DataFrame, by: Sequence[str] = ()) -> DataFr
         entered = entered.plus(new)
     along = store(entered.df.select(*by, "entry", F.col("entry").alias("node")).distinct(), "stretches").df
     for lift in _lifts(lone, by):
-        on = along.join(lift.df, [*by, "node"]).select(*by, "entry", F.col("jump").alias("node"))
+        on = skew_join(along, lift.df, [*by, "node"]).select(*by, "entry", F.col("jump").alias("node"))
         along = store(along.unionByName(on).distinct(), "stretches").df
     return skew_join(along, entered.df, [*by, "entry"]).select(*by, "start", "node").distinct()
