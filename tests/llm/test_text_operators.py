@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -70,6 +71,15 @@ def test_passages_equal_brute_force(spark):
     assert suffixes.repeated_passages(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_rows_that_repeat_as_a_whole_take_no_second_shuffle_of_texts(spark):
+    long, longer = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("v", 60), ("u", 75)))
+    rows = [(1, long), (1, long), (2, "other"), (2, "other"), (3, longer), (3, longer), (3, longer), (4, "t " + longer), (None, long)]
+    got = suffixes.repeated_passages(spark.createDataFrame(rows, DOC))
+    # all that the result is made of are tables of hashes, places and counts
+    assert not re.search(r"\btext#", got._jdf.queryExecution().analyzed().toString())
+    assert {(r["doc_id"], r["start"], r["end"], r["n_words"]) for r in got.collect()} == {(1, 0, 60, 60), (3, 0, 75, 75), (4, 1, 76, 75), (None, 0, 60, 60)}
+
+
 def test_token_files_round_trip(spark):
     from tokenizers import Tokenizer
 

@@ -67,23 +67,23 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-_SUFFIX = "seed long, after binary, before binary, doc long, at int"
+_SUFFIX = "seed long, after binary, before binary, doc long, at int, words int"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """REACH words after the seed, and before it from the nearest on, as big-endian 32-bit hashes."""
+    """REACH words after the seed, and before it from the nearest on, as big-endian 32-bit hashes; ``words`` counts all of the text."""
     for batch in batches:
         for part in runs(batch, "text"):
             words, first = word_hashes(part.column("text"))
             short = (words >> _U(32)).astype(">u4")
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for a, b, doc, places, seeds in zip(first[:-1], first[1:], part.column("doc").to_pylist(), part.column("places").to_pylist(), part.column("seeds").to_pylist()):
                 for p, s in zip(places, seeds):
                     here = a + p
-                    row = (s, short[here + SEED : min(b, here + SEED + REACH)].tobytes(), short[max(a, here - REACH) : here][::-1].tobytes(), doc, p)
+                    row = (s, short[here + SEED : min(b, here + SEED + REACH)].tobytes(), short[max(a, here - REACH) : here][::-1].tobytes(), doc, p, b - a)
                     for column, x in zip(out, row):
                         column.append(x)
-            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32()]
+            types = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [c.split()[0] for c in _SUFFIX.split(", ")])
 
 
@@ -171,17 +171,6 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*found, pa.array(np.concatenate(backs)), pa.array(np.concatenate(marks))], ["context", "one", "two", "back", "mark"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole documents as spans."""
-    for batch in batches:
-        for part in runs(batch, "text"):
-            n = np.diff(word_hashes(part.column("text"))[1]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc"), part.column("doc_id").cast(pa.int64()), pa.array(np.zeros(len(n), np.int32)), pa.array(n), part.column("doc_id").cast(pa.int64())],
-                ["doc", "doc_id", "start", "end", "other_id"],
-            )
-
-
 def _merged(spans: DataFrame) -> DataFrame:
     """The spans of each document, overlapping ones as one."""
     order = Window.partitionBy("doc").orderBy("start", "end")
@@ -213,9 +202,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     often, often_at = saved(often, "often")  # a table of its own, so that a seed of very many suffixes can be split in the join
     chosen = seeds.join(_sorted(often), "seed", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("at", "seed")).alias("s"))
     chosen = chosen.select("doc", F.col("s.at").alias("places"), F.col("s.seed").alias("seeds"))
-    texts = keyed.join(_sorted(chosen), "doc").select("doc_id", "doc", "text", "places", "seeds")
-    suffixes = texts.mapInArrow(_contexts, _SUFFIX).dropDuplicates(["doc", "at"])
-    suffixes, _ = saved(suffixes, "suffixes")
+    # the join leaves equal rows beside each other, so one of them is taken before its suffixes would be shuffled
+    texts = keyed.join(_sorted(chosen), "doc").select("doc", "text", "places", "seeds").dropDuplicates(["doc"])
+    whole, _ = saved(texts.mapInArrow(_contexts, _SUFFIX), "suffixes")
+    suffixes = whole.drop("words")
     dropped(spark, seeds_at, often_at)
     order = ["seed", "after", "doc", "at"]
     sorted_, sorted_at = saved(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _EDGE), "neighbours")
@@ -253,9 +243,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
     early = matches.select("doc", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + SEED + F.col("right")).alias("end"), "other")
     found = early.unionByName(late).groupBy("doc", "start", "end").agg(F.min("other").alias("other"))
-    names = keyed.select("doc", "doc_id").join(_sorted(suffixes.select("doc").distinct()), "doc", "left_semi").groupBy("doc").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
+    sizes = whole.select("doc", "words").distinct()
+    names = keyed.select("doc", "doc_id").join(_sorted(sizes), "doc").groupBy("doc").agg(
+        F.min("doc_id").alias("doc_id"), F.min("words").alias("words"), F.count(F.lit(1)).alias("rows")
+    )
     names, _ = saved(names, "names")
     other = names.select(F.col("doc").alias("other"), F.col("doc_id").alias("other_id"))
     spans = found.join(_sorted(names), "doc").join(_sorted(other), "other", "left").select("doc", "doc_id", "start", "end", "other_id")
-    twice = keyed.join(names.filter("rows > 1").select("doc"), "doc").dropDuplicates(["doc"]).mapInArrow(_counted, "doc long, doc_id long, start int, end int, other_id long")
+    # rows that are there twice repeat as a whole; their words were counted above, so no text is shuffled again
+    twice = names.filter("rows > 1").select("doc", "doc_id", F.lit(0).alias("start"), F.col("words").alias("end"), F.col("doc_id").alias("other_id"))
     return _merged(spans.unionByName(twice))
