@@ -25,3 +25,14 @@ def test_very_many_empty_texts_take_linear_time(spark):
     crc = zlib.crc32(np.array([2], "<u4").tobytes())
     assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got[:3]] == [(i, i, 1, crc) for i in range(3)]
     assert len(got) == 70_000 and got[-1]["start"] == 69_999
+
+
+def test_ids_are_counted_while_they_are_made(spark):
+    docs = spark.range(500).selectExpr("id AS doc_id", "concat('word ', id % 7, ' another') AS text").repartition(3)
+    rows = docs.mapInArrow(T._tokenized(tokenizer(), 2, 50_257), "shard int, at long, doc_id long, n long, ids binary, counts binary").collect()
+    for shard in range(3):
+        own = [r for r in rows if r["shard"] == shard]
+        ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in own if r["counts"] is None), "<u2")
+        (last,) = [r for r in own if r["counts"] is not None]
+        assert last is own[-1] and last["at"] == len(ids)
+        assert (np.frombuffer(bytes(last["counts"]), np.int64) == np.bincount(ids, minlength=50_257)).all()

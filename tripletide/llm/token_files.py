@@ -152,34 +152,39 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _tokenized(path: str, end_id: int):
+_TOKENS = pa.schema([("shard", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+
+
+def _tokenized(path: str, end_id: int, vocabulary: int):
+    """Ids by document; a shard's last row, the only one with ``counts``, has its number of ids in ``at``."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at, shard = encoder(path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], enc.width).tobytes()
+        total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for part in runs(batch, "text"):
                 ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
                 lengths = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
                 before = at + np.cumsum(lengths) - lengths
                 at += int(lengths.sum())
+                total += np.bincount(np.frombuffer(b"".join(ids), enc.width), minlength=vocabulary)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), shard, np.int32)), pa.array(before), part.column("doc_id").cast(pa.int64()), pa.array(lengths), pa.array(ids, pa.binary())],
-                    ["shard", "at", "doc_id", "n", "ids"],
+                    [pa.array(np.full(len(ids), shard, np.int32)), pa.array(before), part.column("doc_id").cast(pa.int64()), pa.array(lengths), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
+                    schema=_TOKENS,
                 )
+        if at:
+            yield pa.RecordBatch.from_pylist([{"shard": shard, "at": at, "counts": total.tobytes()}], _TOKENS)
 
     return work
 
 
-def _counted(width: str, vocabulary: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, np.int64)
-        for batch in batches:
-            for ids in batch.column("ids"):
-                total += np.bincount(np.frombuffer(ids.as_buffer(), width), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "count"])
-
-    return work
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for counts in batch.column("counts"):
+            total = np.frombuffer(counts.as_buffer(), np.int64)
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "count"])
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -247,17 +252,17 @@ class Code:
 
 def pack(ids: np.ndarray, code: Code, words: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The code words of ``ids`` in a row, and the bit offset of every CHECKPOINT-th id."""
-    size = code.lengths[ids].astype(np.int64)
+    lengths = code.lengths.astype(np.int64)
+    size = lengths[ids]
     offset = np.cumsum(size) - size
     bits = int(size.sum())
     cells = np.zeros(bits // 64 + 2, np.uint64)
-    cell, room = offset >> 6, 64 - (offset & 63) - size
-    word = words[ids]
-    left = np.where(room >= 0, word << np.maximum(room, 0).astype(np.uint64), word >> np.maximum(-room, 0).astype(np.uint64))
+    cell, skip = offset >> 6, offset & 63
+    word = (words << np.where(lengths > 0, 64 - lengths, 0).astype(np.uint64))[ids]  # from a cell's first bit on
     starts = np.flatnonzero(np.diff(cell, prepend=-1))
-    cells[cell[starts]] = np.bitwise_or.reduceat(left, starts)
-    over = np.flatnonzero(room < 0)
-    cells[cell[over] + 1] |= word[over] << (64 + room[over]).astype(np.uint64)
+    cells[cell[starts]] = np.bitwise_or.reduceat(word >> skip.astype(np.uint64), starts)
+    over = np.flatnonzero(skip + size > 64)
+    cells[cell[over] + 1] |= word[over] << (64 - skip[over]).astype(np.uint64)
     return cells.astype(">u8").tobytes()[: (bits + 7) // 8], offset[::CHECKPOINT]
 
 
@@ -329,18 +334,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, out: str, end_id: int = 2, lim
     width, vocabulary = enc.width, max(enc.whole.get_vocab_size(), end_id + 1)
     tie = F.xxhash64("text")
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie)
-    tokens = ordered.mapInArrow(_tokenized(tokenizer, end_id), "shard int, at long, doc_id long, n long, ids binary")
+    tokens = ordered.mapInArrow(_tokenized(tokenizer, end_id, vocabulary), "shard int, at long, doc_id long, n long, ids binary, counts binary")
     path = scratch_path(spark, "tokens")
     tokens.write.option("compression", "zstd").parquet(path)
     tokens = spark.read.schema(tokens.schema).parquet(path)
+    ends, tokens = tokens.filter("counts is not null"), tokens.filter("counts is null").drop("counts")
 
     counts = np.zeros(vocabulary, np.int64)  # one number for each id of the vocabulary
-    for r in tokens.select("ids").mapInArrow(_counted(width, vocabulary), "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
+    for r in ends.select("counts").mapInArrow(_counted, "id long, count long").groupBy("id").agg(F.sum("count").alias("count")).collect():
         counts[r["id"]] = r["count"]
     lengths = code_lengths(counts, limit)
     base, total = {}, 0  # one number for each shard
-    for r in tokens.groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect():
-        base[r["shard"]], total = total, total + r["n"]
+    for r in ends.select("shard", "at").orderBy("shard").collect():
+        base[r["shard"]], total = total, total + r["at"]
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").write.parquet(f"{out}/code")
     blocks = tokens.mapInArrow(_packed(base, lengths, width), _BLOCK)
     blocks.write.option("compression", "uncompressed").partitionBy("shard").parquet(f"{out}/blocks")
