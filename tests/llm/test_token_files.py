@@ -36,3 +36,13 @@ def test_ids_are_counted_while_they_are_made(spark):
         (last,) = [r for r in own if r["counts"] is not None]
         assert last is own[-1] and last["at"] == len(ids)
         assert (np.frombuffer(bytes(last["counts"]), np.int64) == np.bincount(ids, minlength=50_257)).all()
+
+
+def test_words_are_held_once_and_freed_before_packing():
+    enc = T.encoder(tokenizer())
+    T.forget_words()
+    enc.encode("so one, (two) three 3, one two, three. and, and")
+    assert not any(part.strip().isalpha() for part in enc.fine)  # these stand with the words
+    assert "two" in enc.words and "one" in enc.spaced and "and," in enc.spaced
+    assert list(T._packed({}, np.zeros(0, np.uint8), "<u2")(iter([]))) == []
+    assert not enc.words and not enc.spaced and not enc.fine

@@ -69,7 +69,7 @@ class _Words(dict):
 
     def __missing__(self, word: str) -> bytes:
         piece = self.before + word
-        held = self[word] = self.encoder.learn([piece] if word.isalpha() else _FINE.findall(piece))
+        held = self[word] = self.encoder.ids(piece) if word.isalpha() else self.encoder.learn(_FINE.findall(piece))
         return held
 
 
@@ -110,16 +110,29 @@ class Encoder:
     def _bytes(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
 
+    def ids(self, part: str) -> bytes:
+        spelled = part.encode().decode("latin-1").translate(self.letters)
+        return self._bytes([t.id for t in self.whole.model.tokenize(spelled)])
+
     def learn(self, parts: list[str]) -> bytes:
+        """Ids of a word's parts; parts of letters are words themselves and stand with these only."""
         out = []
         for part in parts:
-            held = self.fine.get(part)
-            if held is None:
-                spelled = part.encode().decode("latin-1").translate(self.letters)
-                held = self.fine[part] = self._bytes([t.id for t in self.whole.model.tokenize(spelled)])
+            if part.isalpha():
+                held = self.words[part]
+            elif part[0] == " " and part[1:].isalpha():
+                held = self.spaced[part[1:]]
+            else:
+                held = self.fine.get(part)
+                if held is None:
+                    held = self.fine[part] = self.ids(part)
             out.append(held)
         return b"".join(out)
 
+    def forget(self) -> None:
+        for cache in (self.words, self.spaced, self.fine):
+            cache.clear()
+
     def _is_odd(self, text: str) -> bool:
         if any(t in text for t in self.special):
             return True
@@ -155,6 +168,12 @@ def encoder(path: str) -> Encoder:
 _TOKENS = pa.schema([("shard", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
+def forget_words() -> None:
+    """Frees the words this worker has met, which it would hold while other tasks need its memory."""
+    for enc in _encoders.values():
+        enc.forget()
+
+
 def _tokenized(path: str, end_id: int, vocabulary: int):
     """Ids by document; a shard's last row, the only one with ``counts``, has its number of ids in ``at``."""
 
@@ -301,6 +320,7 @@ _BLOCK = "shard int, start long, n_tokens long, doc_ids array<long>, lengths arr
 
 def _packed(base: dict[int, int], lengths: np.ndarray, width: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_words()  # all texts are tokenized by now
         code = Code(lengths)
         words = code.words()
         held: list[tuple[int, int, int | None, int, np.ndarray]] = []
