@@ -46,3 +46,23 @@ def test_words_are_held_once_and_freed_before_packing():
     assert "two" in enc.words and "one" in enc.spaced and "and," in enc.spaced
     assert list(T._packed({}, np.zeros(0, np.uint8), "<u2")(iter([]))) == []
     assert not enc.words and not enc.spaced and not enc.fine
+
+
+def test_texts_of_a_run_ask_once_for_each_word():
+    whole, enc = Tokenizer.from_file(tokenizer()), T.Encoder(tokenizer())
+    asked = []
+
+    class Counted(T._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    enc.words, enc.spaced = Counted(enc, ""), Counted(enc, " ")
+    texts = ["one two, two.\nthree one's x!? dogs'", "", "two", "  gap one", "x\x1cy one", "one\ntwo\nthree", "\n", "<|endoftext|> one", "über één\nÈé, 12ab. _."] * 200
+    ids, lengths = enc.encode_all(texts, np.array([2], enc.width).tobytes())
+    want = [[*whole.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+    assert asked.count("two,") == asked.count("dogs'") == 1  # texts whose gaps are wider ask for their own words
+    none, sizes = enc.encode_all([], b"")
+    assert len(none) == len(sizes) == 0

@@ -19,6 +19,7 @@ Extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -29,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,8 @@ CACHED_WORDS = 800_000
 _PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 # Without these, and no blank at either end, the pieces are lines' words, each with the blank before it, and line ends.
 _GAPS = ("  ", "\n\n", "\n ", " \n", "\t", "\r", "\x0b", "\x0c")
+# Marks that are a part of their own behind letters.
+_MARKS = frozenset(".,;:!?")
 _FINE = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
@@ -65,11 +69,17 @@ class _Words(dict):
     """Ids of words met before, each with ``before`` in front; a new one is learnt when it is asked for."""
 
     def __init__(self, encoder: Encoder, before: str):
-        self.encoder, self.before = encoder, before
+        self.encoder, self.before, self.spelled = encoder, before, encoder.spell(before)
 
     def __missing__(self, word: str) -> bytes:
-        piece = self.before + word
-        held = self[word] = self.encoder.ids(piece) if word.isalpha() else self.encoder.learn(_FINE.findall(piece))
+        enc = self.encoder
+        if word.isalpha():
+            held = enc.spelled_ids(self.spelled + (word if word.isascii() else enc.spell(word)))
+        elif word[-1:] in _MARKS and word[:-1].isalpha():
+            held = self[word[:-1]] + enc.learn([word[-1]])
+        else:
+            held = enc.learn(_FINE.findall(self.before + word))
+        self[word] = held
         return held
 
 
@@ -77,8 +87,10 @@ class Encoder:
     """Ids of texts by the tokenizers library, with a cache of the words met before.
 
     The byte-level pattern cuts a text into words that are tokenized independently, so each
-    word goes through the library's model once. Texts with characters on which the pattern's
-    classes could differ, or with a special token, go through the library whole.
+    word goes through the library's model once. Many texts are encoded together: the cache is
+    asked once for each different word of theirs, and the ids are dealt out by arrays. Texts with
+    characters on which the pattern's classes could differ, or with a special token, go through
+    the library whole.
     """
 
     def __init__(self, path: str):
@@ -92,27 +104,39 @@ class Encoder:
         spelled = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
         rest = [b for b in range(256) if b not in set(spelled)]
         self.letters = {b: b for b in spelled} | {b: 256 + k for k, b in enumerate(rest)}
+        self.packers = [struct.Struct(f"<{n}{'H' if self.width == '<u2' else 'I'}").pack for n in range(32)]
         self.words, self.spaced = _Words(self, ""), _Words(self, " ")
         self.fine: dict[str, bytes] = {}
-        self.plain = self._is_plain()
+        said = json.loads(self.whole.to_str())
+        self.plain = self._is_plain(said)
+        self.model = self._uncached(said["model"]) if self.plain else self.whole.model
 
-    def _is_plain(self) -> bool:
+    def _is_plain(self, said: dict) -> bool:
         """Whether this file is a plain byte-level model, the only kind that may be cut into words."""
-        import json
-
-        f = json.loads(self.whole.to_str())
-        kind = f.get("pre_tokenizer") or {}
+        kind = said.get("pre_tokenizer") or {}
         return (
-            f.get("normalizer") is None and f["model"].get("type") == "BPE" and not f["model"].get("ignore_merges")
+            said.get("normalizer") is None and said["model"].get("type") == "BPE" and not said["model"].get("ignore_merges")
             and kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and kind.get("use_regex", True)
         )
 
+    def _uncached(self, model: dict):
+        """The library's model without its own cache, which is no use where each word comes once."""
+        from tokenizers.models import BPE
+
+        names = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback")
+        merges = [tuple(m) for m in model["merges"]]
+        return BPE(model["vocab"], merges, cache_capacity=0, **{k: model[k] for k in names if model.get(k) is not None})
+
     def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.width == '<u2' else 'I'}", *ids)
+        return np.array(ids, self.width).tobytes()
+
+    def spell(self, part: str) -> str:
+        """The bytes of ``part`` in the letters of the model."""
+        return part.encode().decode("latin-1").translate(self.letters)
 
-    def ids(self, part: str) -> bytes:
-        spelled = part.encode().decode("latin-1").translate(self.letters)
-        return self._bytes([t.id for t in self.whole.model.tokenize(spelled)])
+    def spelled_ids(self, spelled: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        return self.packers[len(ids)](*ids) if len(ids) < len(self.packers) else self._bytes(ids)
 
     def learn(self, parts: list[str]) -> bytes:
         """Ids of a word's parts; parts of letters are words themselves and stand with these only."""
@@ -125,7 +149,7 @@ class Encoder:
             else:
                 held = self.fine.get(part)
                 if held is None:
-                    held = self.fine[part] = self.ids(part)
+                    held = self.fine[part] = self.spelled_ids(self.spell(part))
             out.append(held)
         return b"".join(out)
 
@@ -140,20 +164,58 @@ class Encoder:
             return any(c in text for c in "\x1c\x1d\x1e\x1f")
         return len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text) or self.odd.search(text) is not None
 
+    def _is_lines(self, text: str) -> bool:
+        """Whether blanks and line ends are all that cuts ``text``, each of them alone."""
+        return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(gap in text for gap in _GAPS)
+
     def encode(self, text: str) -> bytes:
-        if not self.plain or self._is_odd(text):
-            return self._bytes(self.whole.encode(text, add_special_tokens=False).ids)
+        return self.encode_all([text], b"")[0].tobytes()
+
+    def encode_all(self, texts: list[str], end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each with ``end`` behind it, and their number by text."""
         for cache in (self.words, self.spaced, self.fine):
             if len(cache) > CACHED_WORDS:
                 for word in list(islice(cache, len(cache) // 2)):
                     del cache[word]
-        if not text or text[0] in " \n" or text[-1] in " \n" or any(gap in text for gap in _GAPS):
-            return b"".join(map(self.words.__getitem__, _PIECES.findall(text)))
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out += [self.words["\n"], self.words[first], *map(self.spaced.__getitem__, rest)]
-        return b"".join(out[1:])
+        line = self.words["\n"] if self.plain else b""
+        lines: list[str | None] = []  # with a blank before every line end, and a line end more in front; no value for other texts
+        tails, tail = [end], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            odd = not self.plain or self._is_odd(text)
+            if not odd and self._is_lines(text):
+                lines.append("\n" + text.replace("\n", " \n"))
+                continue
+            lines.append(None)
+            tail[i] = len(tails)
+            if odd:
+                tails.append(self._bytes(self.whole.encode(text, add_special_tokens=False).ids) + end)
+            else:
+                tails.append(b"".join(map(self.words.__getitem__, _PIECES.findall(text))) + end)
+        parts = pc.split_pattern(pa.array(lines, pa.large_string()), " ")
+        words = parts.flatten().dictionary_encode()
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        held = [line + self.words[w[1:]] if w[0] == "\n" else self.spaced[w] for w in known] + tails
+
+        # What stands where: the words of a text, then its tail.
+        nth, behind = np.arange(len(texts)), parts.offsets.to_numpy()
+        first, last = behind[:-1] + nth, behind[1:] + nth
+        at = np.zeros(len(words) + len(texts), np.int64)
+        is_word = np.ones(len(at), bool)
+        is_word[last] = False
+        at[is_word] = words.indices.to_numpy()
+        at[last] = len(known) + tail
+
+        size = np.fromiter(map(len, held), np.int64, len(held)) // np.dtype(self.width).itemsize
+        begin = (np.cumsum(size) - size)[at]
+        size = size[at]
+        first = first[last > first]  # the line end in front goes again
+        extra = len(line) // np.dtype(self.width).itemsize
+        begin[first] += extra
+        size[first] -= extra
+        ends = np.cumsum(size)
+        place = np.repeat((begin + size - ends).astype(np.int32), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return np.frombuffer(b"".join(held), self.width)[place], np.diff(ends[last], prepend=0)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -183,15 +245,16 @@ def _tokenized(path: str, end_id: int, vocabulary: int):
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
             for part in runs(batch, "text"):
-                ids = [enc.encode(t or "") + end for t in part.column("text").to_pylist()]
-                lengths = np.fromiter((len(x) // len(end) for x in ids), np.int64, len(ids))
-                before = at + np.cumsum(lengths) - lengths
-                at += int(lengths.sum())
-                total += np.bincount(np.frombuffer(b"".join(ids), enc.width), minlength=vocabulary)
+                ids, lengths = enc.encode_all([t or "" for t in part.column("text").to_pylist()], end)
+                before = np.cumsum(lengths) - lengths
+                total += np.bincount(ids, minlength=vocabulary)
+                bounds = pa.array(np.append(before, len(ids)) * len(end), pa.int32())
+                coded = pa.Array.from_buffers(pa.binary(), len(lengths), [None, bounds.buffers()[1], pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), shard, np.int32)), pa.array(before), part.column("doc_id").cast(pa.int64()), pa.array(lengths), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())],
+                    [pa.array(np.full(len(lengths), shard, np.int32)), pa.array(at + before), part.column("doc_id").cast(pa.int64()), pa.array(lengths), coded, pa.nulls(len(lengths), pa.binary())],
                     schema=_TOKENS,
                 )
+                at += len(ids)
         if at:
             yield pa.RecordBatch.from_pylist([{"shard": shard, "at": at, "counts": total.tobytes()}], _TOKENS)
 
